@@ -37,11 +37,13 @@ add_role(
     "grouped",
     "ordered_notes",
     """SELECT clip_id, i, note_idx, onset, "offset", pitch, velocity, onset AS start,
-         note_idx AS group_idx, [pitch] AS pitches, 0 AS direction, 0 AS rise, 0 AS fall
+         onset * 1000 + pitch * 2 AS chord, [pitch] AS pitches, 0 AS direction, 0 AS rise,
+         0 AS fall
        FROM ordered_notes WHERE i = 1
        UNION ALL
        SELECT clip_id, i, note_idx, onset, "offset", pitch, velocity,
-         CASE WHEN joins THEN p_start ELSE onset END, CASE WHEN joins THEN p_group ELSE note_idx END,
+         CASE WHEN joins THEN p_start ELSE onset END, CASE WHEN joins THEN p_chord
+           ELSE onset * 1000 + pitch * 2 + CASE WHEN apart = 0 AND move = 0 THEN 1 ELSE 0 END END,
          CASE WHEN joins THEN list_append(p_pitches, pitch) ELSE [pitch] END,
          CASE WHEN NOT joins THEN 0 WHEN steers AND p_direction = 0 THEN move ELSE p_direction END,
          CASE WHEN joins AND steers AND move > 0 THEN 1 ELSE 0 END,
@@ -52,7 +54,7 @@ add_role(
          FROM (SELECT *, apart > 80 AND move <> 0 AS steers
            FROM (SELECT n.*, n.onset - g.onset AS apart, n.onset - g.start AS width,
                CASE WHEN n.pitch > g.pitch THEN 1 WHEN n.pitch < g.pitch THEN -1 ELSE 0 END AS move,
-               g.start AS p_start, g.group_idx AS p_group, g.pitches AS p_pitches,
+               g.start AS p_start, g.chord AS p_chord, g.pitches AS p_pitches,
                g.direction AS p_direction, g."offset" AS p_offset
              FROM grouped g JOIN ordered_notes n ON n.clip_id = g.clip_id AND n.i = g.i + 1)))""",
 )
@@ -172,25 +174,25 @@ def roll_starts(r: Roles):
 @query(
     "w10_strum_groups",
     with_roles(
-        "grouped", "SELECT clip_id, note_idx, start, group_idx FROM grouped", recursive=True
+        "grouped", "SELECT clip_id, note_idx, start, chord FROM grouped", recursive=True
     ),
 )
 def strum_groups(r: Roles):
-    return ops.strum_groups(r.notes()).select("clip_id", "note_idx", "start", "group_idx")
+    return ops.strum_groups(r.notes()).select("clip_id", "note_idx", "start", "chord")
 
 
 @query(
     "w10_strum_directions",
     with_roles(
         "grouped",
-        """SELECT clip_id, group_idx, start, CASE WHEN sum(rise) > sum(fall) THEN 'down' ELSE 'up' END
+        """SELECT clip_id, chord, start, CASE WHEN sum(rise) > sum(fall) THEN 'down' ELSE 'up' END
           AS direction FROM grouped GROUP BY 1, 2, 3
         HAVING count(*) >= 2 AND max(onset) - min(onset) >= 200 AND sum(rise) <> sum(fall)""",
         recursive=True,
     ),
 )
 def strum_directions(r: Roles):
-    return ops.strum_directions(ops.strum_groups(r.notes()))
+    return ops.strum_directions(ops.strike_chords(r.notes()))
 
 
 @query(
