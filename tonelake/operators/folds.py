@@ -10,9 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-
-Step = Callable[[object, tuple], tuple[object, tuple]]
-
+from pyspark.sql.types import StructType
 
 def sorted_fold(
     df: DataFrame,
@@ -28,7 +26,7 @@ def sorted_fold(
     """
     names = df.columns
     key_at = [names.index(k) for k in keys]
-    added = [part.split()[0] for part in outputs.split(",")]
+    added = StructType.fromDDL(outputs).names
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

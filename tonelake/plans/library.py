@@ -137,12 +137,12 @@ def blank_names(r: Roles):
 @query(
     "p9_quarantined_notes",
     with_roles(
-        "estimates",
+        "annotated",
         """SELECT clip_id, note_idx, concat_ws(',',
             CASE WHEN NOT pitch BETWEEN 38 AND 88 THEN 'pitch' END,
             CASE WHEN NOT velocity BETWEEN 1 AND 120 THEN 'velocity' END,
             CASE WHEN NOT "offset" - onset >= 500 THEN 'length' END) AS reasons
-        FROM estimates WHERE NOT (pitch BETWEEN 38 AND 88 AND velocity BETWEEN 1 AND 120
+        FROM annotated WHERE NOT (pitch BETWEEN 38 AND 88 AND velocity BETWEEN 1 AND 120
           AND "offset" - onset >= 500)""",
     ),
 )
@@ -152,7 +152,7 @@ def quarantined_notes(r: Roles):
         "velocity": F.col("velocity").between(1, 120),
         "length": F.col("offset") - F.col("onset") >= 500,
     }
-    _, broken = ops.quarantine(r.estimates(), rules)
+    _, broken = ops.quarantine(r.annotated(), rules)
     return broken.select("clip_id", "note_idx", F.concat_ws(",", "reasons").alias("reasons"))
 
 

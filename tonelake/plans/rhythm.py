@@ -382,12 +382,12 @@ def velocities(r: Roles):
 
 @query(
     "p16_notes_in_range",
-    with_roles("estimates", "SELECT clip_id, note_idx, pitch FROM estimates WHERE pitch BETWEEN 38 AND 88"),
+    with_roles("annotated", "SELECT clip_id, note_idx, pitch FROM annotated WHERE pitch BETWEEN 38 AND 88"),
 )
 def notes_in_range(r: Roles):
     from tonelake.functions.constants import PITCH_RANGE
 
     low, high = PITCH_RANGE["guitar"]
-    return r.estimates().where(F.col("pitch").between(low, high)).select("clip_id", "note_idx", "pitch")
+    return r.annotated().where(F.col("pitch").between(low, high)).select("clip_id", "note_idx", "pitch")
 
 

@@ -81,7 +81,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
            FROM (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 20000000 AS onset
                  FROM messages)""",
     ),
-    "estimates": (
+    "annotated": (
         ("notes",),
         """SELECT clip_id, note_idx, o AS onset, o + 490 + abs((note_idx * 53 % 9 - 4) * 120)
                AS "offset",

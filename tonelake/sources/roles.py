@@ -173,7 +173,7 @@ class Roles:
             (F.lit(1) + F.floor("value") % 127).cast("bigint").alias("velocity"),
         )
 
-    def estimates(self) -> DataFrame:
+    def annotated(self) -> DataFrame:
         """A second reading of the same notes: shifted, some lost, some an octave off."""
         n = self.notes().where(F.col("note_idx") % 11 != 0)
         jitter = (F.col("note_idx") * 37 % 13 - 6) * 100
