@@ -41,7 +41,9 @@ def rate_windows(
     return admit_first(windowed, ["user_id", "rate_window"], [at, key], limit)
 
 
-def quota_admission(ledger: DataFrame, slice_s: int = 3600) -> DataFrame:
+def quota_admission(
+    ledger: DataFrame, carried: DataFrame | None = None, slice_s: int = 3600
+) -> DataFrame:
     """Monthly quota with refunds, as running sums and maxima.
 
     `ledger` has (entry_id, user_id, at, is_refund, month_limit); a null limit admits everything.
@@ -50,6 +52,8 @@ def quota_admission(ledger: DataFrame, slice_s: int = 3600) -> DataFrame:
     the sum has so far gone over the limit, and an attempt is refused exactly when it pushes that
     excess up. Both parts are computed inside hourly slices first; only one row per (user, slice)
     is ordered across a month, so a user with a third of all rows is still spread out.
+
+    `carried` has the counter to start from, (user_id, month, counted), where there is one.
     """
     keys = ["user_id", "month"]
     sliced = ledger.select(
@@ -72,17 +76,22 @@ def quota_admission(ledger: DataFrame, slice_s: int = 3600) -> DataFrame:
     before = (
         Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = per_slice.withColumn(
-        "base", F.coalesce(F.sum("slice_sum").over(before), F.lit(0))
+    if carried is not None:
+        opening = carried.select(*keys, F.col("counted").alias("opening"))
+        per_slice = per_slice.join(opening, keys, "left")
+    else:
+        per_slice = per_slice.withColumn("opening", F.lit(0))
+    started = per_slice.withColumn(
+        "base", F.coalesce("opening", F.lit(0)) + F.coalesce(F.sum("slice_sum").over(before), F.lit(0))
     )
-    carried = carried.withColumn(
+    offsets = started.withColumn(
         "earlier_peak", F.max(F.col("base") + F.col("slice_peak")).over(before)
     ).select(*keys, "slice", "base", "earlier_peak")
 
     def excess(peak: Column) -> Column:
         return F.greatest(F.lit(0), F.coalesce(peak - F.col("month_limit"), F.lit(0)))
 
-    joined = local.join(carried, [*keys, "slice"])
+    joined = local.join(offsets, [*keys, "slice"])
     total = F.col("base") + F.col("local_sum")
     peak = F.greatest(F.col("base") + F.col("local_peak"), F.col("earlier_peak"))
     # the excess just before this row: take this row's own step off the slice's running maximum
