@@ -255,7 +255,7 @@ def report(metrics: DataFrame, names: list[str]) -> DataFrame:
     return cells.select(
         "clip_id",
         *[
-            F.when(F.col(n).isNull(), "").otherwise(F.format_string("%.3f", n)).alias(n)
+            F.when(F.col(n).isNull(), "").otherwise(F.format_string("%.3f", F.bround(n, 3))).alias(n)
             for n in names
         ],
     )

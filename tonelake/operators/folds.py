@@ -44,3 +44,37 @@ def sorted_fold(
 
     spread = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return spread.mapInPandas(run, f"{schema}, {outputs}")
+
+
+def sorted_groups(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    solve: Callable[[tuple, list[tuple]], list[tuple]],
+    schema: str,
+) -> DataFrame:
+    """`solve(key, rows)` for each group's sorted rows, many small groups to an Arrow batch.
+
+    For groups that are bounded by what they stand for (a clip's beats, one save's edits) and must
+    be seen whole. Only one group is held at a time, and a batch is not cut at every group.
+    """
+    names, made = df.columns, StructType.fromDDL(schema).names
+    key_at = [names.index(k) for k in keys]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, rows = None, []
+        for batch in batches:
+            results = []
+            for row in zip(*[batch[n].tolist() for n in names], strict=True):
+                own = tuple(row[i] for i in key_at)
+                if own != group:
+                    if rows:
+                        results.extend(solve(group, rows))
+                    group, rows = own, []
+                rows.append(row)
+            yield pd.DataFrame(results, columns=made)
+        if rows:
+            yield pd.DataFrame(solve(group, rows), columns=made)
+
+    spread = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return spread.mapInPandas(run, schema)

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonelake.functions import constants as k
-from tonelake.operators.folds import sorted_fold
+from tonelake.operators.folds import sorted_fold, sorted_groups
 
 ONSET_TOLERANCE = round(k.ONSET_TOLERANCE_S * 10_000)
 _SEGMENT = "array<struct<truth_at:bigint,truth_rank:bigint,found_at:bigint,found_rank:bigint,n:bigint>>"
@@ -199,19 +198,21 @@ def matched_with_offsets(truth: DataFrame, found: DataFrame) -> DataFrame:
         F.count_if("is_truth").alias("truths"), F.count_if(~F.col("is_truth")).alias("founds")
     ).where((F.col("truths") > 0) & (F.col("founds") > 0))
 
-    def one_stretch(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["onset", "offset"])
-        picked = [
-            list(rows.loc[rows["is_truth"] == side, ["onset", "offset", "n"]].itertuples(index=False, name=None))
-            for side in (True, False)
-        ]
-        made = most_pairs(picked[0], picked[1], ONSET_TOLERANCE)
-        return pd.DataFrame({"clip_id": [rows["clip_id"].iloc[0]], "matched": [made]})
+    def one_stretch(key: tuple, rows: list[tuple]) -> list[tuple]:
+        picked = [[row[3:6] for row in rows if row[6] == side] for side in (True, False)]
+        return [(key[0], most_pairs(picked[0], picked[1], ONSET_TOLERANCE))]
 
+    wanted = placed.join(both.select(*keys, "stretch"), [*keys, "stretch"], "left_semi").select(
+        *keys, "stretch", "onset", "offset", "n", "is_truth"
+    )
     return (
-        placed.join(both.select(*keys, "stretch"), [*keys, "stretch"], "left_semi")
-        .groupBy(*keys, "stretch")
-        .applyInPandas(one_stretch, "clip_id bigint, matched bigint")
+        sorted_groups(
+            wanted,
+            [*keys, "stretch"],
+            ["onset", "offset"],
+            one_stretch,
+            "clip_id bigint, matched bigint",
+        )
         .groupBy("clip_id")
         .agg(F.sum("matched").alias("matched"))
     )

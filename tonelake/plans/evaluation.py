@@ -519,9 +519,9 @@ def regressions(r: Roles):
     "s11_metric_report",
     with_roles(
         "metrics",
-        """SELECT clip_id, coalesce(max(printf('%.3f', value)) FILTER (metric = 'note_f1'), '') AS note_f1,
-          coalesce(max(printf('%.3f', value)) FILTER (metric = 'note_recall'), '') AS note_recall,
-          coalesce(max(printf('%.3f', value)) FILTER (metric = 'beat_f'), '') AS beat_f
+        """SELECT clip_id, coalesce(max(printf('%.3f', round_even(value, 3))) FILTER (metric = 'note_f1'), '') AS note_f1,
+          coalesce(max(printf('%.3f', round_even(value, 3))) FILTER (metric = 'note_recall'), '') AS note_recall,
+          coalesce(max(printf('%.3f', round_even(value, 3))) FILTER (metric = 'beat_f'), '') AS beat_f
         FROM metrics GROUP BY 1""",
         recursive=True,
     ),
