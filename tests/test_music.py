@@ -1,0 +1,408 @@
+"""Music operators on worked examples, and against plain walks on random and skewed input."""
+
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from tonelake.functions.constants import STANDARD_TUNING
+from tonelake.operators import bars, edits, evaluation, frames, harmony, matching, rhythm, timeline
+from tonelake.operators import tablature as tab
+
+NOTE = "clip_id bigint, note_idx bigint, onset bigint, offset bigint, pitch bigint, velocity bigint"
+
+
+def notes_of(spark, rows, clip=1):
+    """Notes from (onset_s, offset_s, pitch[, velocity])."""
+    full = [
+        (clip, i, round(r[0] * 1e4), round(r[1] * 1e4), r[2], r[3] if len(r) > 3 else 80)
+        for i, r in enumerate(rows)
+    ]
+    return spark.createDataFrame(full, NOTE)
+
+
+def beats_of(spark, seconds, clip=1, weights=None):
+    rows = [
+        (clip, i, round(t * 1e4), (weights or [100 if j % 4 == 0 else 1 for j in range(len(seconds))])[i])
+        for i, t in enumerate(seconds)
+    ]
+    return spark.createDataFrame(rows, "clip_id bigint, beat bigint, tick bigint, downbeat_weight bigint")
+
+
+@pytest.mark.parametrize(
+    ("onsets", "starts"),
+    [
+        ([1.0, 1.02, 1.04, 1.3], [1.0, 1.0, 1.0, 1.3]),
+        ([1.0, 1.05, 1.10], [1.0, 1.05, 1.10]),
+        ([1.0, 1.03, 1.06, 1.09, 1.12], [1.0, 1.0, 1.0, 1.0, 1.12]),
+    ],
+)
+def test_roll_starts(spark, onsets, starts):
+    rows = rhythm.roll_starts(notes_of(spark, [(t, t + 1, 60) for t in onsets])).collect()
+    found = {r.onset: r.roll_start for r in rows}
+    assert [found[round(t * 1e4)] / 1e4 for t in onsets] == starts
+
+
+def groups(spark, rows):
+    notes = notes_of(spark, rows)
+    found = {r.note_idx: r.chord for r in rhythm.strum_groups(notes).collect()}
+    directions = [r.direction for r in rhythm.strum_directions(rhythm.strike_chords(notes)).collect()]
+    return len(set(found.values())), directions
+
+
+def test_strums(spark):
+    rising = [(i * 0.045, 2.0, 40 + 5 * i) for i in range(5)]
+    falling = [(i * 0.04, 2.0, 60 - 5 * i) for i in range(4)]
+    melody = [(i * 0.083, i * 0.083 + 0.09, 60 + 2 * i) for i in range(4)]
+    assert groups(spark, rising) == (1, ["down"])
+    assert groups(spark, falling) == (1, ["up"])
+    assert groups(spark, melody) == (4, [])
+
+
+def walk_strums(rows):
+    """The grouping rule note by note, over every note."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][2], rows[i][4], rows[i][1]))
+    out, group, way = {}, [], 0
+    for i in order:
+        n = rows[i]
+        join = False
+        if group:
+            first, last = rows[group[0]], rows[group[-1]]
+            gap, span = n[2] - last[2], n[2] - first[2]
+            step = (n[4] > last[4]) - (n[4] < last[4])
+            steers = gap > 80 and step != 0
+            join = (gap <= 350 and span <= 1000) or (
+                gap <= 1200 and span <= 2000 and n[4] not in {rows[j][4] for j in group}
+                and last[3] >= n[2] + 1000 and not (steers and way and step != way)
+            )
+        if join:
+            group.append(i)
+            if steers and not way:
+                way = step
+        else:
+            group, way = [i], 0
+        out[n[1]] = rows[group[0]][1]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strums_on_dense_repeated_notes(spark, seed):
+    """One clip holds most rows, with many notes at the same (onset, pitch)."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(1500):
+        onset = rng.randrange(60) * 70 if i % 3 else rng.randrange(40_000)
+        rows.append((1, i, onset, onset + rng.randrange(200, 4000), rng.choice([40, 45, 50, 52]), 80))
+    found = {r.note_idx: r.chord for r in rhythm.strum_groups(spark.createDataFrame(rows, NOTE)).collect()}
+    expected = walk_strums(rows)
+    def parts(d):
+        made = {}
+        for note, name in d.items():
+            made.setdefault(name, set()).add(note)
+        return {frozenset(v) for v in made.values()}
+
+    assert parts(found) == parts(expected)
+
+
+def snapped(spark, positions, notes_per=1):
+    beats = beats_of(spark, [float(i) for i in range(12)])
+    rows = [(p, p + 0.2, 60 + i) for i, p in enumerate(positions)]
+    score, numbers = rhythm.score_notes(notes_of(spark, rows), beats, strums=False)
+    first = numbers.first().origin
+    return {r.note_idx: r.onset12 + first * 12 for r in score.collect()}
+
+
+def test_snapping_to_the_simplest_grid(spark):
+    exact = [0, 0.25, 0.5, 0.75, 1, 1.5, 2, 2.75, 3]
+    shift = [0.015, -0.015, 0.01, -0.01, 0.012, -0.015, 0.0, 0.015, -0.012]
+    got = snapped(spark, [max(0.0, e + s) for e, s in zip(exact, shift, strict=True)])
+    assert [got[i] for i in range(len(exact))] == [round(e * 12) for e in exact]
+
+
+def test_triplets_need_evidence(spark):
+    got = snapped(spark, [1.0, 1 + 1 / 3, 1 + 2 / 3, 2.0])
+    assert [got[i] for i in range(4)] == [12, 16, 20, 24]
+    assert snapped(spark, [2.33])[0] == 27
+
+
+def test_durations_stop_at_the_next_note_of_the_pitch(spark):
+    beats = beats_of(spark, [float(i) for i in range(9)])
+    short, _ = rhythm.score_notes(notes_of(spark, [(1.0, 1.02, 60)]), beats, strums=False)
+    assert short.first().duration12 == 12
+    held, _ = rhythm.score_notes(notes_of(spark, [(0.0, 5.0, 60), (2.0, 3.0, 60)]), beats, strums=False)
+    assert [r.duration12 for r in held.orderBy("onset12").collect()] == [24, 12]
+
+
+def test_numbering(spark):
+    beats = beats_of(spark, [float(i) for i in range(8)], weights=[0, 90, 0, 0, 0, 90, 0, 0])
+    _, numbers = rhythm.score_notes(notes_of(spark, [(0.0, 1.0, 60), (1.0, 2.0, 62)]), beats, strums=False)
+    assert tuple(numbers.select("origin", "pickup").first()) == (0, 1)
+    early, numbers = rhythm.score_notes(
+        notes_of(spark, [(3.0, 3.5, 60), (5.0, 5.5, 62)]), beats_of(spark, [5.0, 6.0, 7.0, 8.0]), strums=False
+    )
+    assert sorted(r.onset12 for r in early.collect()) == [0, 24]
+
+
+def test_beat_map_goes_on_past_both_ends(spark):
+    spans = timeline.beat_spans(beats_of(spark, [1.0, 2.0, 4.0]))
+    points = spark.createDataFrame([(1, 0), (1, 5000), (1, 15000), (1, 30000), (1, 60000)], "clip_id bigint, t bigint")
+    reach = spark.createDataFrame([(1, 60000)], "clip_id bigint, reach bigint")
+    placed = timeline.to_beats(points, timeline.sliced_spans(spans, reach), "t", "b").orderBy("t").collect()
+    assert [r.b for r in placed] == [-1.0, -0.5, 0.5, 1.5, 3.0]
+    back = timeline.to_ticks(spark.createDataFrame([(1, r.b) for r in placed], "clip_id bigint, b double"), spans, placed_col(), "t")
+    assert sorted(r.t for r in back.collect()) == [0.0, 5000.0, 15000.0, 30000.0, 60000.0]
+
+
+def placed_col():
+    from pyspark.sql import functions as F
+
+    return F.col("b")
+
+
+@pytest.mark.parametrize(
+    ("pitches", "key"),
+    [
+        ([60, 62, 64, 65, 67, 69, 71, 72], (0, "major", 0)),
+        ([62, 64, 66, 67, 69, 71, 73, 74], (2, "major", 2)),
+        ([69, 71, 72, 74, 76, 77, 79, 81], (9, "minor", 0)),
+        ([65, 67, 69, 70, 72, 74, 76, 77], (5, "major", -1)),
+        ([60], (0, "major", 0)),
+    ],
+)
+def test_keys(spark, pitches, key):
+    last = len(pitches) - 1
+    rows = [(1, p, 36 if i in (0, last) else 12) for i, p in enumerate(pitches)]
+    score = spark.createDataFrame(rows, "clip_id bigint, pitch bigint, duration12 bigint")
+    found = harmony.estimate_key(harmony.pitch_class_histogram(score)).first()
+    assert (found.tonic, found.mode, found.fifths) == key
+
+
+def test_bars_add_up(spark):
+    beats = beats_of(spark, [i * 0.5 for i in range(30)])
+    rng = random.Random(4)
+    rows = [(t := rng.randrange(0, 120) / 10, t + rng.random() * 2 + 0.1, rng.randrange(40, 70)) for _ in range(60)]
+    score, numbers = rhythm.score_notes(notes_of(spark, rows), beats)
+    ends = bars.score_ends(score, numbers)
+    lines = {r.bar: (r.start12, r.end12) for r in bars.bar_lines(ends).collect()}
+    pieces = bars.bar_pieces(bars.voice(score, ends), ends).collect()
+    for bar, (start, end) in lines.items():
+        own = sorted((p.from12, p.to12) for p in pieces if p.bar == bar)
+        assert own[0][0] == start and own[-1][1] == end
+        assert all(a[1] == b[0] for a, b in itertools.pairwise(own))
+    ties = sum(p.tie_start for p in pieces), sum(p.tie_stop for p in pieces)
+    assert ties[0] == ties[1]
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        scores = rng.normal(size=(5, 4)) * 3
+        keep, move = np.log(0.6), np.log(0.4 / 3)
+        def value(path):
+            return sum(scores[t, s] for t, s in enumerate(path)) + sum(
+                keep if a == b else move for a, b in itertools.pairwise(path)
+            )
+
+        best = max(value(p) for p in itertools.product(range(4), repeat=5))
+        assert value(harmony.viterbi(scores, 0.6)) == pytest.approx(best)
+
+
+def test_chord_runs_break_on_silence(spark):
+    states = spark.createDataFrame(
+        [(1, 0, 0), (1, 1, 0), (1, 2, 60), (1, 3, 0), (1, 4, 6)], "clip_id bigint, span bigint, state bigint"
+    )
+    spans = spark.createDataFrame(
+        [(1, i, i * 0.5, i * 0.5 + 0.5) for i in range(5)], "clip_id bigint, span bigint, start_s double, end_s double"
+    )
+    rows = harmony.chord_symbols(states, spans).orderBy("onset12").collect()
+    assert [(r.root, r.quality, r.onset12, r.duration12) for r in rows] == [
+        (0, "maj", 0, 12), (0, "maj", 18, 6), (1, "min", 24, 6),
+    ]
+
+
+# --- fingering ---
+
+
+def every_way(pitches, open_strings, max_fret, w):
+    options = [
+        [(s, p - o) for s, o in enumerate(open_strings) if 0 <= p - o <= max_fret] + [None] for p in pitches
+    ]
+    ways = []
+    for way in itertools.product(*options):
+        used = [x[0] for x in way if x]
+        if len(used) != len(set(used)):
+            continue
+        frets = [x[1] for x in way if x and x[1] > 0]
+        width = max(frets) - min(frets) if frets else 0
+        cost = w.drop * sum(x is None for x in way) + w.span * width + w.stretch * max(0, width - 4)
+        ways.append((cost, tuple(-1 if x is None else x[0] * 64 + x[1] for x in way)))
+    return sorted(ways, key=lambda x: x[0])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cheapest_fingerings_miss_nothing(seed):
+    rng = random.Random(seed)
+    pitches = sorted(rng.sample(range(38, 80), rng.randrange(1, 6)))
+    w = tab.Weights()
+    for beam in (5, 64):
+        got = tab.cheapest_fingerings(pitches, list(STANDARD_TUNING), 24, None, w, beam)
+        assert got == every_way(pitches, STANDARD_TUNING, 24, w)[:beam]
+
+
+def test_hand_path_is_cheapest():
+    rng = random.Random(2)
+    w = tab.Weights()
+    for _ in range(10):
+        ways = []
+        for _ in range(4):
+            p = sorted(rng.sample(range(45, 70), rng.randrange(1, 3)))
+            ways.append(tab.cheapest_fingerings(p, list(STANDARD_TUNING), 15, None, w, 4))
+
+        def hands(places):
+            frets = [x % 64 for x in places if x >= 0 and x % 64]
+            if not frets:
+                return range(1, 16)
+            if max(frets) - min(frets) > 4:
+                return [min(frets)]
+            return range(max(max(frets) - 4, 1), min(frets) + 1)
+
+        def cost(picks, path):
+            total = sum(ways[i][k][0] for i, k in enumerate(picks))
+            return total + sum(4 + abs(a - b) for a, b in itertools.pairwise(path) if a != b)
+
+        best = min(
+            cost([k for k, _ in states], [h for _, h in states])
+            for states in itertools.product(*[[(k, h) for k, (_, pl) in enumerate(o) for h in hands(pl)] for o in ways])
+        )
+        picks = tab.hand_path(ways, 15, w)
+        reached = min(cost(picks, path) for path in itertools.product(*[hands(ways[i][k][1]) for i, k in enumerate(picks)]))
+        assert reached == pytest.approx(best)
+
+
+def test_tab_plays_the_right_pitches(spark):
+    rng = random.Random(3)
+    rows = [(c, i * 12, p) for c in (1, 2) for i in range(12) for p in rng.sample(range(45, 75), 2)]
+    score = spark.createDataFrame(rows, "clip_id bigint, onset12 bigint, pitch bigint")
+    for tuning, capo in ((STANDARD_TUNING, 0), ((38, *STANDARD_TUNING[1:]), 2)):
+        found = tab.assign_tab(score, None, tuning, capo).collect()
+        assert len(found) > 40
+        assert all(tuning[-r.string] + capo + r.fret == r.pitch for r in found)
+        at = [(r.clip_id, r.onset12, r.string) for r in found]
+        assert len(at) == len(set(at))
+
+
+# --- matching ---
+
+
+def largest(truths, founds, ok):
+    """Augmenting paths over single notes."""
+    owner = {}
+
+    def seek(t, seen):
+        for f in range(len(founds)):
+            if ok(truths[t], founds[f]) and f not in seen:
+                seen.add(f)
+                if f not in owner or seek(owner[f], seen):
+                    owner[f] = t
+                    return True
+        return False
+
+    return sum(seek(t, set()) for t in range(len(truths)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matching_is_one_to_one_and_largest(spark, seed):
+    rng = random.Random(seed)
+    def made(first):
+        rows = []
+        for i in range(150):
+            clip = 1 if i % 3 else 2
+            onset = rng.randrange(0, 12_000, 100)
+            rows.append((clip, first + i, onset, onset + rng.choice([600, 900, 2000]), rng.choice([60, 61]), 80))
+        return rows
+
+    truth, found = made(0), made(1000)
+    t, f = spark.createDataFrame(truth, NOTE), spark.createDataFrame(found, NOTE)
+    pairs = evaluation.note_pairs(t, f).collect()
+    by_t, by_f = {r[1]: r for r in truth}, {r[1]: r for r in found}
+    assert len({p.truth_id for p in pairs}) == len({p.found_id for p in pairs}) == len(pairs)
+    for p in pairs:
+        a, b = by_t[p.truth_id], by_f[p.found_id]
+        assert a[0] == b[0] and a[4] == b[4] and abs(a[2] - b[2]) <= 500
+    near = lambda a, b: a[0] == b[0] and a[4] == b[4] and abs(a[2] - b[2]) <= 500
+    assert len(pairs) == largest(truth, found, near)
+    whole = lambda a, b: near(a, b) and abs(a[3] - b[3]) <= max(0.2 * (a[3] - a[2]), 500)
+    counted = sum(r.matched for r in matching.matched_with_offsets(t, f).collect())
+    assert counted == largest(truth, found, whole)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_played_events_with_repeats(spark, seed):
+    rng = random.Random(seed)
+    rows = [(1, i, o := rng.randrange(0, 20_000, 250), o + 500, rng.choice([50, 55, 60]), 80) for i in range(300)]
+    found = {r.note_idx: r.event for r in evaluation.played_events(spark.createDataFrame(rows, NOTE)).collect()}
+    group, expected = [], {}
+    for n in sorted(rows, key=lambda r: (r[2], r[4], r[1])):
+        if group and n[2] - group[-1][2] <= 1000 and n[2] - group[0][2] <= 2500 and n[4] not in {g[4] for g in group}:
+            group.append(n)
+        else:
+            group = [n]
+        expected[n[1]] = group[0][1]
+    assert found == expected
+
+
+# --- frames and edits ---
+
+
+def test_windows_cover_every_frame_once(spark):
+    lengths = spark.createDataFrame([(i, n) for i, n in enumerate([1, 999, 1000, 1001, 1900, 1901, 5432])], "clip_id bigint, n_frames bigint")
+    kept = {}
+    for r in frames.window_plan(lengths).collect():
+        assert r.keep_from >= r.start and r.keep_to <= r.start + 1000
+        kept.setdefault(r.clip_id, []).extend(range(r.keep_from, r.keep_to))
+    assert all(sorted(v) == list(range(n)) for v, n in zip((kept[i] for i in range(7)), [1, 999, 1000, 1001, 1900, 1901, 5432], strict=True))
+
+
+EDIT = """doc_id bigint, list_id bigint, seq bigint, op string, onset12 bigint, pitch bigint, new_pitch bigint,
+    duration12 bigint, string int, fret int"""
+BASE = "doc_id bigint, onset12 bigint, pitch bigint, duration12 bigint, string int, fret int"
+
+
+def replayed(spark, changes):
+    base = spark.createDataFrame([(1, 0, 64, 12, 1, 0), (1, 0, 59, 12, 2, 0), (1, 12, 60, 12, 2, 1)], BASE)
+    rows = [
+        (1, 1, i, op, kw.get("onset12"), kw.get("pitch"), kw.get("new_pitch"), kw.get("duration12"), kw.get("string"), kw.get("fret"))
+        for i, (op, kw) in enumerate(changes)
+    ]
+    found = edits.replay(base, spark.createDataFrame(rows, EDIT)).collect()
+    if found[0].reason is not None:
+        return found[0].rejected_at, found[0].reason
+    return {(r.onset12, r.pitch): (r.duration12, r.string, r.fret) for r in found}
+
+
+def test_edits_apply_in_order(spark):
+    got = replayed(spark, [
+        ("delete", dict(onset12=0, pitch=59)),
+        ("set_pitch", dict(onset12=12, pitch=60, new_pitch=62)),
+        ("set_duration", dict(onset12=0, pitch=64, duration12=24)),
+        ("add", dict(onset12=24, pitch=67, duration12=6)),
+        ("set_position", dict(onset12=0, pitch=64, string=2, fret=5)),
+    ])
+    assert got == {(0, 64): (24, 2, 5), (12, 62): (12, 2, 3), (24, 67): (6, 1, 3)}
+
+
+@pytest.mark.parametrize(
+    ("change", "reason"),
+    [
+        (("delete", dict(onset12=5, pitch=64)), "that note isn't in this version any more"),
+        (("add", dict(onset12=0, pitch=64, duration12=6)), "there is already that note at that position"),
+        (("add", dict(onset12=0, pitch=66, duration12=800)), "that note is too long"),
+        (("set_position", dict(onset12=0, pitch=64, string=2, fret=4)), "string 2, fret 4 isn't the same note"),
+        (("set_position", dict(onset12=0, pitch=64, string=2, fret=5)), "another note at that moment is already on string 2"),
+        (("set_pitch", dict(onset12=0, pitch=59, new_pitch=64)), "there is already that note at that position"),
+    ],
+)
+def test_one_bad_edit_refuses_the_list(spark, change, reason):
+    first = ("set_duration", dict(onset12=12, pitch=60, duration12=6))
+    assert replayed(spark, [first, change]) == (2, reason)

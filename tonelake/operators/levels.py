@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import constants as k
 
-SILENT = F.lit(float("-inf"))
+
+def silence() -> Column:
+    return F.lit(float("-inf"))
 
 
 def lufs(mean_square: Column) -> Column:
-    return F.when(mean_square > 0, F.lit(-0.691) + 10 * F.log10(mean_square)).otherwise(SILENT)
+    return F.when(mean_square > 0, F.lit(-0.691) + 10 * F.log10(mean_square)).otherwise(silence())
 
 
 def gating_blocks(sub_blocks: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def integrated_loudness(sub_blocks: DataFrame) -> DataFrame:
         sub_blocks.select("clip_id")
         .distinct()
         .join(measured, "clip_id", "left")
-        .select("clip_id", F.coalesce("loudness", SILENT).alias("loudness"))
+        .select("clip_id", F.coalesce("loudness", silence()).alias("loudness"))
     )
 
 
@@ -68,7 +70,7 @@ def sound_bounds(
 def gains(loudness: DataFrame, peaks: DataFrame) -> DataFrame:
     """Gain to the target loudness, held down where the peak would pass the ceiling."""
     wanted = F.when(
-        F.col("loudness") > SILENT, F.pow(F.lit(10.0), (F.lit(k.TARGET_LUFS) - F.col("loudness")) / 20)
+        F.col("loudness") > silence(), F.pow(F.lit(10.0), (F.lit(k.TARGET_LUFS) - F.col("loudness")) / 20)
     ).otherwise(F.lit(1.0))
     return (
         loudness.join(peaks, "clip_id")

@@ -705,16 +705,13 @@ def _nothing(inputs):
     raise NotImplementedError
 
 
-STEPS = (
-    incremental.Step("transcribe", "3", _nothing, ("source",), {"model": "m1"}),
-    incremental.Step("quantize", "8", _nothing, ("transcribe",)),
-    incremental.Step("tab", "4", _nothing, ("quantize",), applies=F.lit(True)),
-)
-
-
 def steps() -> tuple[incremental.Step, ...]:
     guitar = F.get_json_object("config", "$.instrument") == "guitar"
-    return (*STEPS[:2], incremental.Step("tab", "4", _nothing, ("quantize",), applies=guitar))
+    return (
+        incremental.Step("transcribe", "3", _nothing, ("source",), {"model": "m1"}),
+        incremental.Step("quantize", "8", _nothing, ("transcribe",)),
+        incremental.Step("tab", "4", _nothing, ("quantize",), applies=guitar),
+    )
 
 
 def units(r: Roles):
