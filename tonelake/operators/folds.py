@@ -12,6 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+def spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Groups hashed over the session's shuffle partitions, each partition sorted.
+
+    The count is given so that small data is not merged into one task: the walk in Python, not
+    the bytes, is what takes the time.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys, *order)
+
+
 def sorted_fold(
     df: DataFrame,
     keys: list[str],
@@ -42,8 +52,7 @@ def sorted_fold(
             columns = list(zip(*results, strict=True)) if results else [()] * len(added)
             yield batch.assign(**dict(zip(added, columns, strict=True)))
 
-    spread = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return spread.mapInPandas(run, f"{schema}, {outputs}")
+    return spread(df, keys, order).mapInPandas(run, f"{schema}, {outputs}")
 
 
 def sorted_groups(
@@ -76,5 +85,4 @@ def sorted_groups(
         if rows:
             yield pd.DataFrame(solve(group, rows), columns=made)
 
-    spread = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return spread.mapInPandas(run, schema)
+    return spread(df, keys, order).mapInPandas(run, schema)

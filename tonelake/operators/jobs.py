@@ -347,8 +347,14 @@ def result_cache(jobs: DataFrame) -> DataFrame:
 
 def files_present(needed: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
     """Keys all of whose needed files are listed."""
-    missing = needed.join(listed, [*keys, "file"], "left_anti").select(*keys).distinct()
-    return needed.select(*keys).distinct().join(missing, keys, "left_anti")
+    here = listed.select(*keys, "file", F.lit(True).alias("here"))
+    return (
+        needed.join(here, [*keys, "file"], "left")
+        .groupBy(*keys)
+        .agg(F.bool_and(F.col("here").isNotNull()).alias("whole"))
+        .where("whole")
+        .drop("whole")
+    )
 
 
 def reusable_results(

@@ -15,7 +15,7 @@ from tonelake.operators import harmony, incremental, matching, rhythm, timeline
 from tonelake.operators import tablature as tab_ops
 from tonelake.plans.harmony import chroma
 from tonelake.plans.registry import query
-from tonelake.plans.rhythm import _beat_of, score
+from tonelake.plans.rhythm import _beat_of, gridded, score
 from tonelake.plans.role_sql import add_role, with_roles
 from tonelake.session import settle
 from tonelake.sources.roles import Roles
@@ -622,15 +622,12 @@ add_role(
 )
 
 
-def edit_rows(r: Roles):
+def edit_rows(r: Roles, gridded):
     """Edits derived from the notes: each points at where its own note was written."""
-    notes = r.notes()
-    written = rhythm.on_grid(
-        rhythm.strum_groups(notes), timeline.beat_spans(r.beats()), timeline.reach_of(notes)
-    ).select(F.col("note_idx").alias("event_id"), "onset12", "pitch")
-    ops_ = F.array(*map(F.lit, ["delete", "set_pitch", "set_duration", "add", "set_duration"]))
+    written = gridded.select(F.col("note_idx").alias("event_id"), "onset12", "pitch")
+    kinds = F.array(*map(F.lit, ["delete", "set_pitch", "set_duration", "add", "set_duration"]))
     m = r.messages().where(F.col("event_type") != "error")
-    op = F.element_at(ops_, (F.col("event_id") % 5 + 1).cast("int"))
+    op = F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int"))
     return m.join(written, "event_id").select(
         F.col("user_id").alias("doc_id"),
         (F.col("k") % 10).alias("list_id"),
@@ -647,20 +644,14 @@ def edit_rows(r: Roles):
 
 @query("u4_replayed_edits")
 def replayed_edits(r: Roles):
-    notes = r.notes()
-    merged = rhythm.merge_duplicates(
-        rhythm.with_durations(
-            rhythm.on_grid(
-                rhythm.strum_groups(notes), timeline.beat_spans(r.beats()), timeline.reach_of(notes)
-            )
-        )
-    )
+    written = settle(gridded(r), "gridded")
+    merged = rhythm.merge_duplicates(rhythm.with_durations(written))
     nothing = F.lit(None).cast("int")
     base = merged.select(
         F.col("clip_id").alias("doc_id"), "onset12", "pitch", "duration12",
         nothing.alias("string"), nothing.alias("fret"),
     )
-    return edit_ops.replay(base, edit_rows(r))
+    return edit_ops.replay(base, edit_rows(r, written))
 
 
 @query(
@@ -674,7 +665,7 @@ def replayed_edits(r: Roles):
     ),
 )
 def compacted_edits(r: Roles):
-    return edit_ops.compact(edit_rows(r)).select("doc_id", "list_id", "seq", "op")
+    return edit_ops.compact(edit_rows(r, gridded(r))).select("doc_id", "list_id", "seq", "op")
 
 
 @query(
@@ -687,10 +678,7 @@ def compacted_edits(r: Roles):
     ),
 )
 def grid_checks(r: Roles):
-    notes = r.notes()
-    timed = rhythm.with_durations(
-        rhythm.on_grid(rhythm.strum_groups(notes), timeline.beat_spans(r.beats()), timeline.reach_of(notes))
-    )
+    timed = rhythm.with_durations(gridded(r))
     on_grid = (F.pmod("onset12", F.lit(3)) == 0) | (F.pmod("onset12", F.lit(4)) == 0)
     longest = k.MAX_NOTE_BEATS * k.DIVISIONS
     return timed.select(

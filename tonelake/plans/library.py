@@ -12,6 +12,7 @@ from tonelake.operators import limits, upserts
 from tonelake.plans.overview import registrations, tokens
 from tonelake.plans.registry import query
 from tonelake.plans.role_sql import add_role, with_roles
+from tonelake.session import settle
 from tonelake.sources.roles import Roles
 
 TENANT = 7
@@ -722,7 +723,8 @@ _REUSE = """
     ),
 )
 def reused_results(r: Roles):
-    return ops.reusable_results(keyed_jobs(r), version_files(r), listed_files(r))
+    keyed = settle(keyed_jobs(r).select("job_id", "status", "finished_at", "dedup_key"), "keyed")
+    return ops.reusable_results(keyed, version_files(r), listed_files(r))
 
 
 @query(
@@ -738,7 +740,10 @@ def reused_results(r: Roles):
     ),
 )
 def reuse_audit(r: Roles):
-    keyed = keyed_jobs(r)
+    wanted = ["job_id", "user_id", "status", "config", "created_at", "submitted_at", "finished_at"]
+    keyed = settle(
+        keyed_jobs(r).select(*wanted, "error_code", "error_message", "dedup_key"), "keyed"
+    )
     hits = ops.reusable_results(keyed, version_files(r), listed_files(r))
     return (
         ops.job_rows(keyed)
