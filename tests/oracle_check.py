@@ -79,7 +79,7 @@ def main() -> int:
         i = args.index("--sf")
         sf = args[i + 1]
         del args[i : i + 2]
-    sf_dir = f"/root/testdata/sf{sf}"
+    sf_dir = sf if os.path.isdir(sf) else f"/root/testdata/sf{sf}"
     spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8",
                           spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
