@@ -19,13 +19,9 @@ class StreamRoles(Roles):
     """The same roles, with tables read as streams of files."""
 
     def table(self, name: str):
-        schema = self.spark.read.parquet(self.path(name)).schema
         # a pattern, because a file stream takes a folder or a pattern, and a table may be one file
-        df = self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}[.]parquet")
-        for field in schema.fields:
-            if field.dataType.typeName() == "timestamp_ntz":
-                df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-        return df
+        pattern = f"{self.sf_dir}/{name}[.]parquet"
+        return self.spark.readStream.schema(self.schema(name)).parquet(pattern)
 
 
 def live(r: Roles) -> StreamRoles:
