@@ -184,13 +184,11 @@ def operations_snapshot(users: DataFrame, jobs: DataFrame, tokens: DataFrame, as
     )
     user_part = users.agg(F.count(F.lit(1)).alias("users_who_started"))
     token_part = tokens.agg(F.count(F.lit(1)).alias("devices_with_notifications"))
-    one = F.lit(1).alias("one")  # three single-row reports side by side
-    return (
-        job_part.withColumn("one", one)
-        .join(user_part.withColumn("one", one), "one")
-        .join(token_part.withColumn("one", one), "one")
-        .drop("one")
+    # three single-row reports become one row: each fills its own columns
+    rows = job_part.unionByName(user_part, allowMissingColumns=True).unionByName(
+        token_part, allowMissingColumns=True
     )
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def active_weeks(jobs: DataFrame) -> DataFrame:
