@@ -102,7 +102,7 @@ def position_scores(pairs: DataFrame) -> DataFrame:
 
 
 def played_events(truth: DataFrame) -> DataFrame:
-    """Annotated notes grouped into the player's events: (clip_id, note_idx, onset, event).
+    """Annotated notes grouped into the player's events: (clip_id, note_idx, onset, pitch, event).
 
     Onsets chained closely, over a limited span, each pitch once; an event is named by its first
     note. Repeats of one (onset, pitch) are folded to their first and last note before the walk;
@@ -142,7 +142,7 @@ def played_events(truth: DataFrame) -> DataFrame:
     )
     named = walked.select("clip_id", "onset", "pitch", "first_idx", "first_event")
     return truth.join(named, ["clip_id", "onset", "pitch"]).select(
-        "clip_id", "note_idx", "onset", event.alias("event")
+        "clip_id", "note_idx", "onset", "pitch", event.alias("event")
     )
 
 
@@ -162,21 +162,25 @@ def grouping_scores(events: DataFrame, written: DataFrame) -> DataFrame:
             F.collect_set("onset12").alias("positions"),
             F.min("onset").alias("first"),
             F.max("onset").alias("last"),
+            F.max(F.when(F.col("note_idx") == F.col("event"), F.col("pitch"))).alias("opened_at"),
         )
+        # events follow one another as their first notes do
+        .withColumn("place", F.struct("first", "opened_at", "event"))
     )
     strums = per_event.where(
         (F.col("notes") >= k.STRUM_MIN_NOTES) & (F.col("found") >= 2)
     ).groupBy("clip_id").agg(
         (F.count_if(F.size("positions") == 1) / F.count(F.lit(1))).alias("chords_whole")
     )
-    # one event per (first, last, name) at most two per instant matter for neighbours
-    edge = Window.partitionBy("clip_id", "first")
-    lean = per_event.withColumn(
-        "inner", (F.col("first") == F.col("last"))
-        & (F.col("event") != F.min("event").over(edge))
-        & (F.col("event") != F.max("event").over(edge))
-    ).where(~F.col("inner"))
-    order = Window.partitionBy("clip_id").orderBy("first", "last", "event")
+    # of the events at one instant only the outer two can have a neighbour at a distance
+    instant = Window.partitionBy("clip_id", "first")
+    inner = (
+        (F.col("first") == F.col("last"))
+        & (F.col("place") != F.min("place").over(instant))
+        & (F.col("place") != F.max("place").over(instant))
+    )
+    lean = per_event.withColumn("inner", inner).where(~F.col("inner"))
+    order = Window.partitionBy("clip_id").orderBy("place")
     neighbours = (
         lean.withColumn("next_first", F.lead("first").over(order))
         .withColumn("next_positions", F.lead("positions").over(order))
