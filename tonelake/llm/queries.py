@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import langid, packing, quality, toxicity
+from tonelake.llm import jaccard, langid, packing, quality, toxicity
 from tonelake.llm.common import remainder, table
 from tonelake.llm.scratch import written
 
@@ -43,6 +43,11 @@ def op5_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(stats, model).select("doc_id", *base, "base_failed", "kept", "anomaly")
 
 
+@query("op6_partenum_join")
+def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_sum_of_squares_packing")
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenised(
