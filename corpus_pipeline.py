@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tonelake.llm.scratch import written
 from tonelake.llm.stages import (
+    drop_contaminated,
+    drop_lines,
     drop_toxic,
+    one_of_each_group,
+    packed,
 )
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", drop_contaminated),
+    ("best-fit packing", packed),
 ]
 
 #: Training a network and packing by a running count cannot be said in SQL.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import jaccard, langid, packing, quality, toxicity
+from tonelake.llm import decontamination, jaccard, langid, lines, packing, quality, toxicity
 from tonelake.llm.common import remainder, table
 from tonelake.llm.scratch import written
 
@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_spaced_seeds")
+def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_toxicity_network")
 def op2_toxicity_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,6 +41,11 @@ def op2_toxicity_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text", held_out), model)
 
 
+@query("op3_line_templates")
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op5_quality_forest")
 def op5_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(quality.statistics(table(spark, sf_dir, "documents")), "statistics")
