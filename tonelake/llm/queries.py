@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import decontamination, jaccard, langid, lines, packing, quality, toxicity
+from tonelake.llm import brown, decontamination, jaccard, langid, lines, packing, quality, secrets, toxicity
 from tonelake.llm.common import remainder, table
 from tonelake.llm.scratch import written
 
@@ -75,3 +75,24 @@ def op8_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 5) == 0
     model = langid.fit(docs.where(~held_out).select("text", "lang"))
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+
+
+@query("op9_markov_secrets")
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.base_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.scanned(spans, secrets.fit(spans))
+    kinds = [secrets.number("base", kind).alias(f"n_{kind}") for kind, _, _ in secrets.FORMS]
+    return found.select(
+        "doc_id",
+        *kinds,
+        F.sha2(secrets.joined("base"), 256).alias("base_sha256"),
+        secrets.joined("spans").alias("spans"),
+    )
+
+
+@query("op10_brown_classes")
+def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 1
+    fitted = brown.fit(docs.where(~held_out))
+    return brown.scored(docs.select("doc_id", "text", held_out.alias("held_out")), fitted)
