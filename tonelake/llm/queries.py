@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import brown, decontamination, jaccard, langid, lines, packing, quality, secrets, toxicity
+from tonelake.llm import brown, decontamination, jaccard, langid, lines, packing, quality, repeats, secrets, toxicity
 from tonelake.llm.common import remainder, table
 from tonelake.llm.scratch import written
 
@@ -46,6 +46,11 @@ def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op4_merged_transforms")
+def op4_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op5_quality_forest")
 def op5_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(quality.statistics(table(spark, sf_dir, "documents")), "statistics")
