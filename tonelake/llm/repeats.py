@@ -136,19 +136,23 @@ class Shard:
         return new[start], at[start], np.diff(np.append(start, len(at)))
 
     def units(self, key: np.ndarray, low: np.ndarray, n: np.ndarray):
-        """For each anchor in the blocks: block key, first and last start of the strings it stands for.
+        """For each anchor in the blocks: the code of its core, first and last start of its strings.
 
         A string is looked after by its first anchor that is REACH or more from its start. The
-        strings of one anchor start after those of the anchor before.
+        strings of one anchor start after those of the anchor before, so all of them hold the core: the
+        bytes from REACH before the anchor to where the earliest possible string ends. Anchors are
+        in the order of the sorted suffixes.
         """
-        i = self.sa[self.rows_of(low, n)]
-        of = np.repeat(key, n)
+        by = np.argsort(low)
+        i = self.sa[self.rows_of(low[by], n[by])]
         doc, at = self.doc[i], self.at[i]
         before = np.where((i > 0) & (self.doc[i - 1] == doc), self.at[i - 1] - REACH + 1, -1)
         a = np.maximum(before, self.starts[doc])
         b = np.minimum(at - REACH, self.ends[doc] - LENGTH)
         ok = a <= b
-        return of[ok], a[ok], b[ok]
+        core, data, digest = at[ok] - REACH, self.data, xxhash.xxh3_64_intdigest
+        code = [digest(data[x : x + LENGTH - REACH + 1]) for x in core.tolist()]
+        return np.array(code, np.uint64), a[ok], b[ok]
 
     def unit_codes(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of all bytes of each anchor's strings."""
@@ -288,9 +292,15 @@ def removed(docs: DataFrame) -> DataFrame:
     units = written(
         units.withColumn("total", F.sum("n").over(w)).withColumn("one", F.min("shard").over(w)).drop("n"), "units"
     )
-    # Where some anchor's strings are not repeated as a whole, single strings of the block are
-    # compared; of equal units one is enough.
-    partial = units.where("total = 1").select("key").distinct()
+    # Where a core is repeated but some unit with it is not, single strings are compared; of equal
+    # units one is enough.
+    partial = (
+        units.where("shard = one")
+        .groupBy("key")
+        .agg(F.sum("total").alias("all"), F.min("total").alias("least"))
+        .where("all >= 2 and least = 1")
+        .select("key")
+    )
     asked = units.where("shard = one").join(partial, "key", "left_semi").select("shard", "u", "v", "total")
     mark = F.lit(None).cast("long")
     block_rows = blocks.select("shard", "key", "low", "n", mark.alias("u"), mark.alias("v"), mark.alias("total"))
@@ -307,9 +317,9 @@ def removed(docs: DataFrame) -> DataFrame:
 
     def single(rows: pa.Table, more: pa.Table) -> pa.Table:
         blocks, wanted = halves(more)
-        out: dict[str, list] = {"key": [], "w": [], "u": [], "v": [], "k": [], "total": []}
+        out: dict[str, list] = {"key": [], "w": [], "shard": [], "unit": [], "k": [], "total": []}
         if wanted.num_rows:
-            _, s, key, a, b, (u, v) = placed(rows, blocks)
+            number, s, key, a, b, (u, v) = placed(rows, blocks)
             left = {
                 (x, y): t
                 for x, y, t in zip(*(wanted.column(c).to_pylist() for c in ("u", "v", "total")))
@@ -321,33 +331,33 @@ def removed(docs: DataFrame) -> DataFrame:
                     continue
                 size = int(b[i] - a[i]) + 1
                 out["w"] += [digest(data[p : p + LENGTH]) for p in range(int(a[i]), int(b[i]) + 1)]
-                # Counted from the end: there the anchor is at a fixed distance.
                 out["k"] += range(size)
-                for name, value in (("key", int(key[i].view(np.int64))), ("u", x), ("v", y), ("total", total)):
+                for name, value in (("key", int(key[i].view(np.int64))), ("shard", number), ("unit", i), ("total", total)):
                     out[name] += [value] * size
         return pa.table(
             {
                 "key": pa.array(out["key"], pa.int64()),
                 "w": pa.array(np.array(out["w"], np.uint64).view(np.int64), pa.int64()),
-                "u": pa.array(out["u"], pa.int64()),
-                "v": pa.array(out["v"], pa.int64()),
+                "shard": pa.array(out["shard"], pa.int32()),
+                "unit": pa.array(out["unit"], pa.int32()),
                 "k": pa.array(out["k"], pa.int32()),
                 "total": pa.array(out["total"], pa.int64()),
             }
         )
 
     strings = by_shard.cogroup(with_blocks(asked).groupBy("shard")).applyInArrow(
-        single, "key long, w long, u long, v long, k int, total long"
+        single, "key long, w long, shard int, unit int, k int, total long"
     )
     met = strings.withColumn("all", F.sum("total").over(Window.partitionBy("key", "w")))
+    # A unit that occurs once is in one shard, where its place among the anchors names it.
     some = (
         met.where("all >= 2 and total = 1")
-        .groupBy("u", "v")
+        .groupBy("shard", "unit")
         .agg(F.collect_list("k").alias("ks"))
+        .select("shard", F.col("unit").cast("long").alias("u"), mark.alias("v"), "ks")
     )
     whole = units.where("total >= 2").select("shard", "u", "v", F.lit(None).cast("array<int>").alias("ks"))
-    partly = units.where("total = 1").join(some, ["u", "v"]).select("shard", "u", "v", "ks")
-    verdict = whole.unionByName(partly)
+    verdict = whole.unionByName(some)
     final_rows = block_rows.drop("total").withColumn("ks", F.lit(None).cast("array<int>")).unionByName(
         verdict.select(
             "shard", mark.alias("key"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("n"), "u", "v", "ks"
@@ -358,27 +368,21 @@ def removed(docs: DataFrame) -> DataFrame:
         if not rows.num_rows:
             return pa.table({"key": pa.array([], pa.string()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
         blocks, told = halves(more)
-        known = dict(
-            zip(
-                zip(told.column("u").to_pylist(), told.column("v").to_pylist()),
-                told.column("ks").to_pylist(),
-            )
-        )
-        if known:
+        told = list(zip(*(told.column(c).to_pylist() for c in ("u", "v", "ks"))))
+        whole_units = {(x, y) for x, y, ks in told if ks is None}
+        if told:
             _, s, _, a, b, (u, v) = placed(rows, blocks)
         else:
             s = Shard(_number(rows), rows)
-            a = b = u = v = np.empty(0, np.int64)
         change = np.zeros(len(s.data) + 1, np.int32)
-        for x, y, lo, hi in zip(u.tolist(), v.tolist(), a.tolist(), b.tolist()):
-            ks = known.get((x, y), False)
-            if ks is None:
-                change[lo] += 1
-                change[hi + LENGTH] -= 1
-            elif ks:
-                for k in ks:
-                    change[lo + k] += 1
-                    change[lo + k + LENGTH] -= 1
+        if told:
+            hit = [i for i, x in enumerate(zip(u.tolist(), v.tolist())) if x in whole_units]
+            np.add.at(change, a[hit], 1)
+            np.add.at(change, b[hit] + LENGTH, -1)
+            for unit, _, ks in told:
+                for k in ks or ():
+                    change[a[unit] + k] += 1
+                    change[a[unit] + k + LENGTH] -= 1
         gone = np.cumsum(change[:-1]) > 0
         out = []
         whole = np.frombuffer(s.data, np.uint8)
