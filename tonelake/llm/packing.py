@@ -139,12 +139,26 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return where, offset, bins
 
 
+def best_order(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each length, from the order of placing that needs the fewest bins.
+
+    Orders tried: longest first; long ones first, then the others as they come; as they come.
+    """
+    down = np.argsort(-lengths, kind="stable")
+    long = lengths[down] >= size // 2
+    orders = (down, np.concatenate([down[long], np.sort(down[~long])]), np.arange(len(lengths)))
+    packed = [sum_of_squares(lengths[o], size) for o in orders]
+    order, (where, offset, _) = min(zip(orders, packed), key=lambda x: x[1][2])
+    back = np.argsort(order)
+    return where[back], offset[back]
+
+
 def pack(pieces: DataFrame, size: int = 2048, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
     """Give each piece a sequence and an offset in it.
 
     Full pieces are sequences of their own and meet no other row. The rest are dealt evenly, by a
-    hash of their content, to as many tasks as their number asks for; each task packs its own,
-    longest first, so nothing depends on a key of the data. Equal rows get equal hashes and may
+    hash of their content, to as many tasks as their number asks for; each task packs its own
+    in the best of three orders, so nothing depends on a key of the data. Equal rows get equal hashes and may
     land together, which changes nothing. Sequence ids are the task's number and the bin's, and a
     full piece's are numbered after them, unique in the result.
     """
@@ -160,9 +174,9 @@ def pack(pieces: DataFrame, size: int = 2048, items_per_task: int = ITEMS_PER_TA
         if not held:
             return
         rows = pa.Table.from_batches(held).sort_by(
-            [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]
+            [("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")]
         )
-        where, offset, _ = sum_of_squares(rows.column("length").to_numpy(), size)
+        where, offset = best_order(rows.column("length").to_numpy(), size)
         base = TaskContext.get().partitionId() << 33
         rows = rows.append_column("sequence_id", pa.array(base + 2 * where))
         rows = rows.append_column("offset", pa.array(offset))
