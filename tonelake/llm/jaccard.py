@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,15 +31,17 @@ class Bands:
     def __init__(self, percent: int):
         self.percent, self.start = percent, [1]
 
+    def _add(self) -> None:
+        self.start.append(100 * self.start[-1] // self.percent + 1)
+
     def of(self, n: int) -> int:
         while self.start[-1] <= n:
-            self.start.append(100 * self.start[-1] // self.percent + 1)
-        return int(np.searchsorted(self.start, n, "right")) - 1
+            self._add()
+        return bisect_right(self.start, n) - 1
 
     def largest(self, instance: int) -> int:
-        self.of(self.start[-1])
         while len(self.start) <= instance + 1:
-            self.of(self.start[-1])
+            self._add()
         return self.start[instance + 1] - 1
 
     def limit(self, instance: int) -> int:
