@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     at hand, but for the held-out quarter."""
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
     model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, model, keep_text=True).where("predicted = 0").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -299,14 +299,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> Networ
     return net
 
 
-def score(docs: DataFrame, model: Network | None, threshold: float = 0.3) -> DataFrame:
+def score(
+    docs: DataFrame, model: Network | None, threshold: float = 0.3, keep_text: bool = False
+) -> DataFrame:
     """Add score (0 to 1), predicted (1 from `threshold` on) and n_windows to every row.
 
     All windows of the whole text are scored, WINDOW words each, STEP apart; the document's score
     comes from its best window. A null text, one without words, and every text under a None model
-    score 0. Columns of the same names are replaced.
+    score 0. Columns of the same names are replaced; the text itself is returned on demand only.
     """
-    keep = [c for c in docs.columns if c not in ("text", "score", "predicted", "n_windows")]
+    own = ("score", "predicted", "n_windows")
+    keep = [c for c in docs.columns if c not in own and (keep_text or c != "text")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -355,4 +358,5 @@ def score(docs: DataFrame, model: Network | None, threshold: float = 0.3) -> Dat
             yield with_columns(batch, keep, new)
 
     schema = (fields + ", " if fields else "") + "score double, predicted int, n_windows long"
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    read = keep if keep_text else [*keep, "text"]
+    return docs.select(*read).mapInArrow(run, schema)
