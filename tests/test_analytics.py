@@ -240,3 +240,24 @@ def test_text_functions(spark):
     assert row.name == "Blues riff take 2.mid" and row.blank == "Untitled score.mid"
     assert (row.note, row.same, row.escape, row.dots, row.line) == ("E4", True, None, False, False)
     assert (row.type, row.audio, row.other) == ("audio/mp4", True, False)
+
+
+def test_null_keys_have_percentiles_too(spark):
+    rows = [(None, 1.0), (None, 3.0), ("a", 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.runs, r.m) for r in quantiles.exact_percentiles(df, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {None: (2, 2.0), "a": (1, 5.0)}
+
+
+def test_only_current_terms_pass_the_gate(spark):
+    at = datetime(2026, 1, 1)
+    requests = spark.createDataFrame(
+        [(i, u, at, "audio/mp4", 10) for i, u in enumerate((1, 2, 3))],
+        "request_id long, user_id long, at timestamp, content_type string, size_bytes long",
+    )
+    users = spark.createDataFrame(
+        [(1, "free", "2026-01"), (2, "free", "2020-01"), (3, "free", None)],
+        "user_id long, plan string, terms_version string",
+    )
+    got = {r.request_id: r.status for r in jobs.upload_gate(requests, users, 5, 3600).collect()}
+    assert got == {0: 201, 1: 403, 2: 403}

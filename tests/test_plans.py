@@ -43,3 +43,10 @@ def test_roles_keep_every_row(spark, roles):
     assert roles.stage_attempts().count() == roles.table("lineitem").count()
     beats = roles.beats().groupBy("clip_id").agg(F.count("*").alias("n"), F.max("beat").alias("last"))
     assert all(r.n == r.last + 1 for r in beats.collect())
+
+
+def test_every_frame_of_a_clip_has_a_span(roles):
+    from tonelake.plans import harmony
+
+    frames = roles.frames().select("clip_id", "frame").distinct()
+    assert frames.join(harmony.members(roles), ["clip_id", "frame"], "left_anti").count() == 0

@@ -14,6 +14,7 @@ from tonelake.functions.constants import (
     PLAN_LIMITS,
     STAGE_SECONDS_BUCKETS,
     STAGES,
+    TERMS_VERSION,
 )
 from tonelake.operators.limits import rate_windows
 from tonelake.operators.upserts import first_write_wins
@@ -383,12 +384,12 @@ def upload_gate(
 ) -> DataFrame:
     """Accept or refuse each upload request; the first failing check gives the status.
 
-    Only requests of users who accepted the terms reach the rate limit, so only those count.
+    Only requests of users who accepted the current terms reach the rate limit, so only those count.
     """
     sizes = F.create_map(
         *[x for plan, row in PLAN_LIMITS.items() for x in (F.lit(plan), F.lit(row[2]).cast("bigint"))]
     )
-    known = users.select("user_id", "plan", F.col("terms_version").isNotNull().alias("terms"))
+    known = users.select("user_id", "plan", (F.col("terms_version") == TERMS_VERSION).alias("terms"))
     with_user = requests.join(known, "user_id", "left").select(
         *requests.columns,
         F.coalesce("plan", F.lit("free")).alias("plan"),

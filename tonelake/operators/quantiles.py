@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _BUCKETS = 1024
 
 
-def _matches(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+def _with(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on equal keys, where a null equals a null."""
+    other = b.select(*(F.col(k) if k not in keys else F.col(k).alias(f"_{k}") for k in b.columns))
     cond = F.lit(True)
     for key in keys:
-        cond = cond & a[key].eqNullSafe(b[key])
-    return cond
+        cond = cond & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    return a.join(other, cond).drop(*(f"_{k}" for k in keys))
 
 
 def exact_percentiles(
@@ -33,7 +35,7 @@ def exact_percentiles(
         F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("runs")
     )
     width = (F.col("high") - F.col("low")) / _BUCKETS
-    placed = counted.join(bounds, keys).withColumn(
+    placed = _with(counted, bounds, keys).withColumn(
         "bucket",
         F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / width)).otherwise(
             F.lit(0)
@@ -58,7 +60,7 @@ def exact_percentiles(
     kept = ranges.where(wanted).select(*keys, "bucket", "before")
     in_bucket = Window.partitionBy(*keys, "bucket").orderBy("v")
     ranked = (
-        placed.join(kept, [*keys, "bucket"])
+        _with(placed, kept, [*keys, "bucket"])
         .withColumn(
             "upto", F.col("before") + F.sum("n").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0))
         )

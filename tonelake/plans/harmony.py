@@ -264,9 +264,10 @@ add_role(
 )
 add_role(
     "chord_beats",
-    "frames",
-    """SELECT clip_id, unnest(range(0, 8)) AS beat, beat * (clip_id % 4 * 5 + 15) / 100.0::DOUBLE
-         AS beat_s FROM (SELECT DISTINCT clip_id FROM frames)""",
+    "frame_times",
+    """SELECT clip_id, unnest(range(0, beats)) AS beat, beat * (clip_id % 4 * 5 + 15) / 100.0::DOUBLE
+         AS beat_s FROM (SELECT clip_id, floor(max(time_s) / ((clip_id % 4 * 5 + 15) / 100.0::DOUBLE))
+           ::BIGINT + 2 AS beats FROM frame_times GROUP BY clip_id)""",
 )
 add_role(
     "chord_spans",
@@ -342,7 +343,7 @@ add_role(
     "chord_states",
     "forward_steps",
     """SELECT clip_id, span, list_position(best, list_max(best)) AS state1 FROM forward_steps
-         WHERE span = 13
+         WHERE (clip_id, span) IN (SELECT (clip_id, max(span)) FROM span_rows GROUP BY clip_id)
        UNION ALL SELECT c.clip_id, f.span - 1, f.came[c.state1] FROM chord_states c
          JOIN forward_steps f ON f.clip_id = c.clip_id AND f.span = c.span WHERE f.span > 0""",
 )
@@ -355,9 +356,11 @@ def frame_times(r: Roles):
 
 
 def chord_beats(r: Roles):
-    clips = r.frames().select("clip_id").distinct()
-    beat = F.explode(F.sequence(F.lit(0), F.lit(7))).cast("bigint")
-    return clips.select("clip_id", F.explode(F.expr("sequence(0L, 7L)")).alias("beat")).withColumn(
+    """Beats of a clip from 0 to the first one after its last frame, so every frame has a span."""
+    step = (F.col("clip_id") % 4 * 5 + 15) / 100.0
+    last = frame_times(r).groupBy("clip_id").agg(F.max("time_s").alias("last_s"))
+    beats = F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last_s") / step) + 1)
+    return last.select("clip_id", F.explode(beats).alias("beat")).withColumn(
         "beat_s", F.col("beat") * (F.col("clip_id") % 4 * 5 + 15) / 100.0
     )
 

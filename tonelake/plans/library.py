@@ -185,7 +185,7 @@ def requests(r: Roles):
     with_roles(
         "requests users",
         """WITH w AS (SELECT r.*, coalesce(u.plan, 'free') AS plan,
-            u.terms_version IS NOT NULL AS terms FROM requests r LEFT JOIN users u USING (user_id)),
+            coalesce(u.terms_version = '2026-01', false) AS terms FROM requests r LEFT JOIN users u USING (user_id)),
           ranked AS (SELECT *, row_number() OVER (PARTITION BY terms, user_id, epoch_us("at") //
             86400000000 ORDER BY "at", request_id) AS place FROM w)
         SELECT request_id, user_id, CASE WHEN NOT terms THEN 403 WHEN place > 2 THEN 429

@@ -177,7 +177,20 @@ def state_gauge(r: Roles):
     return gauge.join(last, "batch_id", "left_semi").select("state", "stages")
 
 
-@query("r6_stalled_messages")
+@query(
+    "r6_stalled_messages",
+    with_roles(
+        "messages",
+        """WITH b AS (SELECT user_id * 10 + k // 10 AS message_id, ts, (SELECT max(ts) FROM messages)
+             - INTERVAL 1 HOUR AS over FROM messages),
+           g AS (SELECT message_id, ts, coalesce(lead(ts) OVER (PARTITION BY message_id ORDER BY ts),
+             over) AS heard FROM b),
+           lost AS (SELECT message_id, ts AS last_seen, row_number() OVER (PARTITION BY message_id
+             ORDER BY ts)::INT AS attempt FROM g WHERE epoch_us(heard) - epoch_us(ts) > 86400000000)
+         SELECT *, CASE WHEN attempt = 3 THEN 'exhausted' ELSE 'stalled' END AS outcome FROM lost
+         WHERE attempt <= 3""",
+    ),
+)
 def stalled_messages(r: Roles):
     beats = live(r).messages().select((F.col("user_id") * 10 + F.expr("k div 10")).alias("message_id"), "ts")
     return jobs.stalled_messages(beats, 86_400, "1 hour", scratch_path(r.spark, "r6"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +37,9 @@ def utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's checkpoint folder if it names one.
-
-    Only a session without that setting (a local test run) falls back to a fresh local folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tonelake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """The folder every executor can reach: the cluster's checkpoint folder if it names one, or else
+    its warehouse, which is shared by definition. No folder is made up and no setting changed."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")
 
 

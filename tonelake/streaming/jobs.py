@@ -243,7 +243,7 @@ def stalled_messages(
             nonlocal attempt
             attempt += 1
             outcome = "exhausted" if attempt >= MAX_ATTEMPTS else "stalled"
-            found.append((key[0], pd.Timestamp(last, unit="us"), min(attempt, MAX_ATTEMPTS), outcome))
+            found.append((key[0], pd.Timestamp(last, unit="us"), attempt, outcome))
 
         if state.hasTimedOut:
             if not told:
@@ -252,11 +252,13 @@ def stalled_messages(
         else:
             times = pd.concat([c["ts"] for c in chunks]).sort_values()
             for at in (times.astype("datetime64[us]").astype("int64")).tolist():
+                if attempt >= MAX_ATTEMPTS:
+                    break
                 if last is not None and at - last > timeout_s * 1_000_000 and not told:
                     lost()
                 last, told = max(at, last or 0), False
         state.update((last, attempt, told))
-        if not told:
+        if not told and attempt < MAX_ATTEMPTS:
             deadline = last // 1000 + timeout_s * 1000 + 1
             state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(found, columns=["message_id", "last_seen", "attempt", "outcome"])
