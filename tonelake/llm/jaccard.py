@@ -165,16 +165,21 @@ def _far(a: str, b: str) -> Column:
     )
 
 
+def _near(percent: int) -> Column:
+    total = F.col("n_a") + F.col("n_b")
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (
+        (100 + percent) * _far("bits_a", "bits_b") <= (100 - percent) * total
+    )
+
+
 def possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, instance) that sizes and bit maps do not rule out, once each."""
     left = maps.selectExpr("cls as a", "instance", "n as n_a", "bits as bits_a")
     right = maps.selectExpr("cls as b", "instance", "n as n_b", "bits as bits_b")
-    total = F.col("n_a") + F.col("n_b")
     return (
         pairs.join(left, ["a", "instance"])
         .join(right, ["b", "instance"])
-        .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .where((100 + percent) * _far("bits_a", "bits_b") <= (100 - percent) * total)
+        .where(_near(percent))
         .select("a", "b")
         .distinct()
     )
@@ -276,15 +281,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFr
     again = docs.select(F.col("doc_id").cast("long"), "text").join(
         open_.join(owner, "cls").select("doc_id"), "doc_id", "left_semi"
     )
-    finer = written(grouped(buckets(signed(again, percent, size, 2, 4, 2)).distinct()), "buckets")
+    finer = grouped(buckets(signed(again, percent, size, 2, 4, 2)).distinct())
+    mixed = (
+        finer.withColumn("low", F.min("root").over(w))
+        .withColumn("high", F.max("root").over(w))
+        .where("low <> high")
+        .select("sig", "cls", "instance", "root")
+        .join(maps.select("cls", "instance", "n", "bits"), ["cls", "instance"])
+    )
+    mixed = written(mixed, "buckets")
+    # Sizes and bit maps are tested inside the join, so pairs that cannot link are never rows.
     cross = (
-        finer.selectExpr("sig", "instance", "cls as a", "root as root_a")
-        .join(finer.selectExpr("sig", "cls as b", "root as root_b"), "sig")
+        mixed.selectExpr("sig", "cls as a", "root as root_a", "n as n_a", "bits as bits_a")
+        .join(mixed.selectExpr("sig", "cls as b", "root as root_b", "n as n_b", "bits as bits_b"), "sig")
         .where("a < b and root_a <> root_b")
-        .select("a", "b", "instance")
+        .where(_near(percent))
+        .select("a", "b")
         .distinct()
     )
-    cross = written(possible(cross, maps, percent), "pairs")
+    cross = written(cross, "pairs")
     more = linked(cross, docs, owner, percent, size)
     group = written(components(written(links.unionByName(more), "links")), "groups")
 
