@@ -19,6 +19,8 @@ from tonelake.llm.scratch import written
 
 #: Sets a task remembers to have signed, so that copies in one partition are signed once.
 SEEN_HELD = 500_000
+#: Elements of a largest set for each 64 bits of its bit map.
+MAP_RATE = 48
 
 
 class Bands:
@@ -113,7 +115,7 @@ def described(docs: DataFrame, percent: int, size: int) -> DataFrame:
                 cls.append(set_code(s) if len(s) else None)
                 at = bands.of(len(s)) if len(s) else 0
                 first.append(at)
-                maps.append([parity(s, -(-bands.largest(i) // 96)) for i in (at, at + 1)] if len(s) else [])
+                maps.append([parity(s, -(-bands.largest(i) // MAP_RATE)) for i in (at, at + 1)] if len(s) else [])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -232,8 +234,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFr
     single blocks bring classes together; each member of a bucket is compared with the
     bucket's smallest class, which joins groups of near copies without their pairs. What is then
     still in a bucket with another component is signed again, with more selective signatures over
-    an own partition of the domain, and there all pairs of different components are compared: so no
-    link is lost, and a passage that many documents share does not bring them all together.
+    an own partition of the domain. There each bucket is compared with a member of its own choice,
+    which joins loose groups from many sides, and at last all pairs of components still apart: so
+    no link is lost, and a passage that many documents share does not bring them all together.
 
     Null or wordless texts are linked with nothing: component_id is their doc_id. A row with a null
     doc_id is in the group of its class; a group of such rows alone has a null component_id.
@@ -263,33 +266,48 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFr
     stars = written(possible(stars, maps, percent), "pairs")
     links = written(linked(stars, docs, owner, percent, size), "links")
     group = written(components(links), "groups")
+    w = Window.partitionBy("sig")
 
-    def grouped(frame: DataFrame) -> DataFrame:
+    def grouped(frame: DataFrame, group: DataFrame) -> DataFrame:
         return frame.join(group.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
             "root", F.coalesce("root", "cls")
         )
 
-    w = Window.partitionBy("sig")
-    open_ = (
-        grouped(shared)
-        .withColumn("low", F.min("root").over(w))
-        .withColumn("high", F.max("root").over(w))
-        .where("low <> high")
-        .select("cls")
-        .distinct()
-    )
+    def joined(group: DataFrame, links: DataFrame) -> DataFrame:
+        """The groups after more links; each known one is a star already, which settles quickly."""
+        edges = links.unionByName(group.selectExpr("node as a", "root as b"))
+        return written(components(written(edges, "links")), "groups")
+
+    def divided(frame: DataFrame, group: DataFrame) -> DataFrame:
+        """The rows of buckets that hold classes of several components."""
+        return (
+            grouped(frame, group)
+            .withColumn("low", F.min("root").over(w))
+            .withColumn("high", F.max("root").over(w))
+            .where("low <> high")
+            .select("sig", "cls", "instance", "root")
+        )
+
+    open_ = divided(shared, group).select("cls").distinct()
     again = docs.select(F.col("doc_id").cast("long"), "text").join(
         open_.join(owner, "cls").select("doc_id"), "doc_id", "left_semi"
     )
-    finer = grouped(buckets(signed(again, percent, size, 2, 4, 2)).distinct())
-    mixed = (
-        finer.withColumn("low", F.min("root").over(w))
-        .withColumn("high", F.max("root").over(w))
-        .where("low <> high")
-        .select("sig", "cls", "instance", "root")
-        .join(maps.select("cls", "instance", "n", "bits"), ["cls", "instance"])
+    finer = written(buckets(signed(again, percent, size, 2, 4, 2)).distinct(), "finer")
+    # Each finer bucket has a middle of its own, so a loose group gets links from many sides.
+    left = written(divided(finer, group), "divided")
+    middle = left.groupBy("sig").agg(
+        F.min_by(F.struct("cls", "root"), F.xxhash64("sig", "cls")).alias("middle")
     )
-    mixed = written(mixed, "buckets")
+    stars = (
+        left.join(middle, "sig")
+        .where("root <> middle.root")
+        .selectExpr("least(middle.cls, cls) as a", "greatest(middle.cls, cls) as b", "instance")
+        .distinct()
+    )
+    stars = written(possible(stars, maps, percent), "pairs")
+    group = joined(group, linked(stars, docs, owner, percent, size))
+    mixed = divided(finer, group).join(maps.select("cls", "instance", "n", "bits"), ["cls", "instance"])
+    mixed = written(mixed, "mixed")
     # Sizes and bit maps are tested inside the join, so pairs that cannot link are never rows.
     cross = (
         mixed.selectExpr("sig", "cls as a", "root as root_a", "n as n_a", "bits as bits_a")
@@ -300,10 +318,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFr
         .distinct()
     )
     cross = written(cross, "pairs")
-    more = linked(cross, docs, owner, percent, size)
-    group = written(components(written(links.unionByName(more), "links")), "groups")
+    group = joined(group, linked(cross, docs, owner, percent, size))
 
-    placed = grouped(rows.select("doc_id", "n", "cls"))
+    placed = grouped(rows.select("doc_id", "n", "cls"), group)
     least = placed.where("cls is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select(
         "doc_id",
