@@ -263,6 +263,25 @@ def test_recurring_lines_go_but_the_first(docs, texts):
     assert rows[0].text == texts[0] and rows[4].text is None
 
 
+@pytest.mark.parametrize("n", [100, 1_000, 5_000])
+def test_templates_with_names_recur_at_every_size(spark, n):
+    rng = random.Random(6)
+
+    def name():
+        return "".join(rng.choice("abcdefgh") for _ in range(8))
+
+    people, parts = [name() for _ in range(50)], [name() for _ in range(50)]
+    rows = [
+        (i, f"own {name()}\nThis article was posted by {rng.choice(people)} in section {rng.choice(parts)} on {i}", None, None, 0)
+        for i in range(n)
+    ]
+    rows += [(n + i, f"own {name()}\nThis article was sent to us by {name()} with kind regards", None, None, 0) for i in range(6)]
+    out = found(lines.without_recurring(spark.createDataFrame(rows, SCHEMA)))
+    assert [i for i in range(n) if not out[i].n_dropped] == [0]
+    assert [i for i in range(n, n + 6) if not out[i].n_dropped] == [n]
+    assert all(out[i].text.startswith("own ") for i in out)
+
+
 def test_toxicity_learns_words_and_empty_texts_score_zero(spark):
     rng = random.Random(1)
     clean = [" ".join(f"a{rng.randint(0, 80)}" for _ in range(40)) for _ in range(120)]

@@ -33,14 +33,23 @@ def line_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def _template(least: Column) -> Column:
+    """Hash of the `least` most frequent words of `fixed` with their places, and of all as frequent."""
+    rarest = F.get("fixed", least.cast("int") - 1)["seen"]
+    left = F.filter("fixed", lambda w: w["seen"] >= rarest)
+    return F.xxhash64("leaf", F.array_sort(F.transform(left, lambda w: F.struct(w["place"], w["word"]))))
+
+
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, doc, at, template): the lines whose template occurs in `min_docs` different texts,
     without those of the first text (smallest doc_id) that has it.
 
     The tree has a fixed depth: number of words, then DEPTH leading words. Below a leaf, a word that
     at its place occurs in fewer than `min_docs` texts is a variable field and becomes `<*>`, as
-    are words with digits; what is left is the line's template. It must keep the share FIXED of
-    its words. Leaves that too few texts reach are dropped by a count first, so only lines that
+    are words with digits. Of the others the rarest of a line become fields too, for as long as the
+    share FIXED of its words is left; what is left is the line's template. Names that a large corpus
+    repeats are thus fields as in a small one: a template's own words occur more often than they.
+    Every line that shares a longer template shares this one as well, so none is lost by it. Leaves that too few texts reach are dropped by a count first, so only lines that
     can recur are spread to words. All counts are partial sums; no leaf is gathered in one task.
     """
     rows = line_rows(docs)
@@ -65,17 +74,18 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         places.groupBy("leaf", "place", "word")
         .agg(F.sum("texts").alias("texts"))
         .where((F.col("texts") >= min_docs) & (F.col("word") != WILD))
-        .select("leaf", "place", "word")
+        .select("leaf", "place", "word", F.col("texts").alias("seen"))
     )
     kept = (
-        places.join(common, ["leaf", "place", "word"])
+        places.drop("texts")
+        .join(common, ["leaf", "place", "word"])
         .groupBy("leaf", "line")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("fixed"))
+        .agg(F.sort_array(F.collect_list(F.struct("seen", "place", "word")), asc=False).alias("fixed"))
     )
     templates = (
         texts.join(kept, ["leaf", "line"])
         .where(F.size("fixed") >= FIXED * F.size("words"))
-        .select("leaf", "line", F.xxhash64("leaf", "fixed").alias("template"))
+        .select("leaf", "line", _template(F.ceil(FIXED * F.size("words"))).alias("template"))
     )
     placed = near.select("doc_id", "doc", "at", "leaf", line).join(templates, ["leaf", "line"])
     found = placed.groupBy("template").agg(
