@@ -282,6 +282,24 @@ def test_templates_with_names_recur_at_every_size(spark, n):
     assert all(out[i].text.startswith("own ") for i in out)
 
 
+def test_long_lines_recur_from_two_texts_and_short_ones_with_digits(spark):
+    rng = random.Random(8)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+
+    passage, own, rare = prose(60), [prose(12) for _ in range(6)], prose(10)
+    rows = []
+    for i, t in enumerate(own):
+        some = ([passage] if i in (1, 4) else []) + ([rare] if i < 4 else [])
+        rows.append((i, "\n".join([t, f"Page {i} of 10", "Share this", "Home", f"{i} 17 4", *some]), None, None, 0))
+    out = found(lines.without_recurring(spark.createDataFrame(rows, SCHEMA)))
+    for i, t in enumerate(own):
+        left = [f"Page {i} of 10", "Share this", "Home"] if i == 0 else []
+        left += [f"{i} 17 4"] + ([passage] if i == 1 else []) + ([rare] if i < 4 else [])
+        assert out[i].text == "\n".join([t, *left])
+
+
 def test_toxicity_learns_words_and_empty_texts_score_zero(spark):
     rng = random.Random(1)
     clean = [" ".join(f"a{rng.randint(0, 80)}" for _ in range(40)) for _ in range(120)]

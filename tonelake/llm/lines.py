@@ -11,15 +11,22 @@ from tonelake.llm.scratch import written
 DEPTH = 3
 #: Different documents a template must occur in to be recurring.
 MIN_DOCS = 5
-#: Words of a line at least, and the share of a template's words that must be fixed.
-MIN_WORDS, FIXED = 3, 0.6
+#: The same for a template with that many fixed words.
+LONG_DOCS, LONG = 2, 20
+#: Share of a template's places that must be fixed words or fields with digits; one is a word at least.
+FIXED = 0.6
 WILD = "<*>"
 
 
+_SPACE = r" \t\r\x0B\f"
+#: A whole word with a digit in it, and a line that has a word without one.
+_FIELD = rf"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+"
+_PLAIN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9]++(?![^{_SPACE}])"
+
+
 def _words(line: Column) -> Column:
     """Words of a line; one that holds a digit is a variable field."""
-    words = F.filter(F.split(line, r"[ \t\r\x0B\f]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.when(w.rlike("[0-9]"), F.lit(WILD)).otherwise(w))
+    return F.array_remove(F.split(F.regexp_replace(line, _FIELD, WILD), f"[{_SPACE}]+"), "")
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
@@ -27,38 +34,43 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return (
         docs.where("text is not null")
         .select("doc_id", F.md5("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+        .where(F.col("line").rlike(_PLAIN))
         .select("doc_id", "doc", "at", _words(F.col("line")).alias("words"))
-        .where(F.size("words") >= MIN_WORDS)
         .withColumn("leaf", F.xxhash64(F.size("words"), F.slice("words", 1, DEPTH)))
     )
 
 
 def _template(least: Column) -> Column:
-    """Hash of the `least` most frequent words of `fixed` with their places, and of all as frequent."""
-    rarest = F.get("fixed", least.cast("int") - 1)["seen"]
+    """(template, words): hash and number of the `least` most frequent words of `fixed` with their
+    places, and of all that are as frequent as one of them."""
+    rarest = F.get("fixed", least - 1)["seen"]
     left = F.filter("fixed", lambda w: w["seen"] >= rarest)
-    return F.xxhash64("leaf", F.array_sort(F.transform(left, lambda w: F.struct(w["place"], w["word"]))))
+    left = F.array_sort(F.transform(left, lambda w: F.struct(w["place"], w["word"])))
+    return F.struct(F.xxhash64("leaf", left).alias("template"), F.size(left).alias("words"))
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, doc, at, template): the lines whose template occurs in `min_docs` different texts,
-    without those of the first text (smallest doc_id) that has it.
+    """(doc_id, doc, at): the lines whose template occurs in `min_docs` different texts, or in
+    LONG_DOCS if it has LONG fixed words, without those of the first text (smallest doc_id) that has it.
 
     The tree has a fixed depth: number of words, then DEPTH leading words. Below a leaf, a word that
-    at its place occurs in fewer than `min_docs` texts is a variable field and becomes `<*>`, as
-    are words with digits. Of the others the rarest of a line become fields too, for as long as the
-    share FIXED of its words is left; what is left is the line's template. Names that a large corpus
-    repeats are thus fields as in a small one: a template's own words occur more often than they.
-    Every line that shares a longer template shares this one as well, so none is lost by it. Leaves that too few texts reach are dropped by a count first, so only lines that
+    at its place occurs in fewer texts than a template must is a variable field and becomes `<*>`, as
+    are words with digits. Of the others the rarest of a line become fields too, for as long as they
+    and the fields with digits fill the share FIXED of its places; what is left is the line's
+    template. Names that a large corpus repeats are thus fields as in a small one: a template's own
+    words occur more often than they. Every line that shares a longer template shares this one as
+    well, so none is lost by it; a line with LONG fixed words has a second template, which keeps as
+    many, as that one needs fewer texts. Leaves that too few texts reach are dropped by a count first, so only lines that
     can recur are spread to words. All counts are partial sums; no leaf is gathered in one task.
     """
     rows = line_rows(docs)
+    wanted = F.when(F.size("words") >= LONG, min(min_docs, LONG_DOCS)).otherwise(min_docs)
     leaves = (
-        rows.select("leaf", "doc")
+        rows.select("leaf", "doc", wanted.alias("wanted"))
         .distinct()
         .groupBy("leaf")
-        .agg(F.count("*").alias("texts"))
-        .where(F.col("texts") >= min_docs)
+        .agg(F.count("*").alias("texts"), F.min("wanted").alias("wanted"))
+        .where("texts >= wanted")
         .select("leaf")
     )
     near = written(rows.join(leaves, "leaf"), "lines")
@@ -67,35 +79,50 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     texts = lines.groupBy("leaf", "line").agg(
         F.countDistinct("doc").alias("texts"), F.first("words").alias("words")
     )
-    texts = written(texts, "line_texts")
+    digits = F.size(F.filter("words", lambda w: w == WILD))
+    least = F.greatest(F.ceil(FIXED * F.size("words")) - digits, F.lit(1)).cast("int")
+    texts = written(texts.withColumn("least", least), "line_texts")
     # Distinct lines carry their counts, so a line in many texts is spread to words once.
-    places = texts.select("leaf", "line", "texts", F.posexplode("words").alias("place", "word"))
+    places = texts.select("leaf", "line", "texts", wanted.alias("wanted"), F.posexplode("words").alias("place", "word"))
     common = (
-        places.groupBy("leaf", "place", "word")
-        .agg(F.sum("texts").alias("texts"))
-        .where((F.col("texts") >= min_docs) & (F.col("word") != WILD))
-        .select("leaf", "place", "word", F.col("texts").alias("seen"))
+        places.where(F.col("word") != WILD)
+        .groupBy("leaf", "place", "word")
+        .agg(F.sum("texts").alias("seen"), F.min("wanted").alias("wanted"))
+        .where("seen >= wanted")
+        .drop("wanted")
     )
     kept = (
-        places.drop("texts")
+        places.select("leaf", "line", "place", "word")
         .join(common, ["leaf", "place", "word"])
         .groupBy("leaf", "line")
         .agg(F.sort_array(F.collect_list(F.struct("seen", "place", "word")), asc=False).alias("fixed"))
     )
+    longer = (F.col("least") < LONG) & (F.size("fixed") >= LONG)
+    one, two = _template(F.col("least")), _template(F.lit(LONG))
     templates = (
-        texts.join(kept, ["leaf", "line"])
-        .where(F.size("fixed") >= FIXED * F.size("words"))
-        .select("leaf", "line", _template(F.ceil(FIXED * F.size("words"))).alias("template"))
+        texts.select("leaf", "line", "least")
+        .join(kept, ["leaf", "line"])
+        .where(F.size("fixed") >= F.col("least"))
+        .withColumn("found", F.when(longer, F.array_distinct(F.array(one, two))).otherwise(F.array(one)))
+        .select("leaf", "line", F.inline("found"))
     )
+    templates = written(templates, "line_templates")
     placed = near.select("doc_id", "doc", "at", "leaf", line).join(templates, ["leaf", "line"])
-    found = placed.groupBy("template").agg(
-        F.countDistinct("doc").alias("texts"),
-        F.min(F.struct("doc_id", "doc")).alias("first"),
-    ).where(F.col("texts") >= min_docs)
+    found = (
+        placed.groupBy("template")
+        .agg(
+            F.countDistinct("doc").alias("texts"),
+            F.min(F.struct("doc_id", "doc")).alias("first"),
+            F.min("words").alias("words"),
+        )
+        .where(F.col("texts") >= F.when(F.col("words") >= LONG, min(min_docs, LONG_DOCS)).otherwise(min_docs))
+        .select("template", "first")
+    )
     return (
         placed.join(found, "template")
         .where(~F.col("doc").eqNullSafe(F.col("first.doc")))
-        .select("doc_id", "doc", "at", "template")
+        .select("doc_id", "doc", "at")
+        .distinct()
     )
 
 
