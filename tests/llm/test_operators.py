@@ -313,6 +313,27 @@ def test_toxicity_learns_words_and_empty_texts_score_zero(spark):
     assert toxicity.fit(docs, labels.limit(0)) is None
 
 
+def test_toxicity_threshold_covers_all_windows_of_long_texts(spark):
+    rng = random.Random(3)
+    clean = [[f"a{rng.randint(0, 3000)}" for _ in range(2_400)] for _ in range(40)]
+    short = [[f"a{rng.randint(0, 3000)}" for _ in range(40)] for _ in range(40)]
+    for k, words in enumerate([*clean[:20], *short[:20]]):
+        words[len(words) // 2 + k : len(words) // 2 + k] = ["vileword"] * 3
+    rows = [(i, " ".join(w)) for i, w in enumerate(clean + short)] + [(80, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 40 < 20).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    best = {i: r.best for i, r in found(toxicity.best_windows(docs, model)).items() if r.n_windows}
+    bad, good = ([v for i, v in best.items() if (i % 40 < 20) == kind] for kind in (True, False))
+    cuts = [min(best.values()) - 1, *best.values()]
+    most = max(np.mean(np.greater(bad, c)) + np.mean(np.less_equal(good, c)) for c in cuts)
+    out = found(toxicity.score(docs, model))
+    share = [np.mean([out[i].predicted for i in best if (i % 40 < 20) == kind]) for kind in (True, False)]
+    assert share[0] + 1 - share[1] >= most - 0.051  # one document of either kind, by the steps
+    # The middle toxic document of all scores 0.99, by the best of all its windows.
+    assert abs(np.median([out[i].score for i in best if i % 40 < 20]) - 0.99) < 0.01
+
+
 def test_language_by_nearest_centroid(spark):
     rng = random.Random(2)
     rows = []

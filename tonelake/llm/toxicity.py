@@ -17,6 +17,8 @@ WINDOW, STEP = 24, 12
 WORD_SLOTS, CHAR_SLOTS, DIM, HIDDEN = 1 << 12, 1 << 14, 12, 8
 #: Fit bounds: labelled documents of each label, and windows taken from each of them.
 FIT_DOCS, FIT_WINDOWS = 1_600, 48
+#: Steps of a logit in which labelled documents are counted for the threshold.
+BINS = 256
 #: Words whose projected inputs a task remembers.
 WORDS_HELD = 250_000
 
@@ -230,27 +232,22 @@ class Network:
                 s += 0.01 * (v * v - s)
                 fix = (1 - 0.99 ** (step + 1)) ** 0.5 / (1 - 0.9 ** (step + 1))
                 self.p[k] -= (rate * fix * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
-        logit = self.score_ids(ids, self.project(words))
-        top = np.full(doc.max() + 1, -1e9)
-        np.maximum.at(top, doc, logit)
-        truth = np.zeros(doc.max() + 1)
-        truth[doc] = y
-        self.scale = calibrated(top, truth)
 
 
-def calibrated(top: np.ndarray, truth: np.ndarray, at: float = 0.3) -> tuple[float, float]:
+def calibrated(top: np.ndarray, bad: np.ndarray, good: np.ndarray, at: float = 0.3) -> tuple[float, float]:
     """Slope and shift that make a document's best logit a score: `at` where the labels part best.
 
-    The parting point is the middle of the range with the best mean of both labels' shares on
+    top: different logits in ascending order; bad, good: how many documents of either label have
+    each as their best. The parting point is the middle of the range with the best mean of both labels' shares on
     their side; the slope makes the middle of toxic documents 0.99.
     """
-    order = np.sort(np.unique(top))
-    cuts = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2])
-    bad, good = np.sort(top[truth == 1]), np.sort(top[truth == 0])
-    right = (1 - np.searchsorted(bad, cuts) / len(bad)) + np.searchsorted(good, cuts) / len(good)
+    cuts = np.concatenate([[top[0] - 1], (top[1:] + top[:-1]) / 2])
+    below = [np.concatenate([[0], np.cumsum(n)[:-1]]) / n.sum() for n in (bad, good)]
+    right = 1 - below[0] + below[1]
     level = np.flatnonzero(right >= right.max() - 1e-9)
     cut = float((cuts[level[0]] + cuts[level[-1]]) / 2)
-    slope = (np.log(99) - np.log(at / (1 - at))) / max(float(np.median(bad)) - cut, 1e-2)
+    middle = float(top[np.searchsorted(np.cumsum(bad), bad.sum() / 2)])
+    slope = (np.log(99) - np.log(at / (1 - at))) / max(middle - cut, 1e-2)
     return float(slope), float(np.log(at / (1 - at)) - slope * cut)
 
 
@@ -287,6 +284,8 @@ def sampled(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS, windo
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> Network | None:
     """Train on labelled documents, from their texts and labels alone.
 
+    The network trains on a bounded sample. Slope and threshold come from all labelled documents, each by its
+    best window of all: the best of many windows is higher than that of the few it trained on.
     None without documents of both labels.
     """
     rows = sorted((r.toxic, list(r.windows)) for r in sampled(docs, labels, per_label))
@@ -296,9 +295,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> Networ
         return None
     net = Network()
     net.train([w.encode().split() for r in rows for w in r[1]], doc, y)
+    table = best_counts(docs, labels, net)
+    net.scale = calibrated(*table)
     return net
 
 
+def best_counts(docs: DataFrame, labels: DataFrame, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best logits of labelled documents over all their windows, in steps of 1 / BINS, ascending, and
+    how many toxic and other documents have each. Logits are bounded by the weights, so steps are few."""
+    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct()
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("toxic", "text")
+    step = F.round(F.col("best") * BINS).cast("long").alias("step")
+    found = best_windows(rows, net).where("n_windows > 0").groupBy(step, "toxic").agg(F.count("*").alias("n")).collect()
+    steps = sorted({r.step for r in found})
+    counts = {(r.step, r.toxic): r.n for r in found}
+    bad, good = (np.array([counts.get((k, toxic), 0) for k in steps]) for toxic in (1, 0))
+    return np.array(steps) / BINS, bad, good
+
+
 def score(
     docs: DataFrame, model: Network | None, threshold: float = 0.3, keep_text: bool = False
 ) -> DataFrame:
@@ -310,6 +324,19 @@ def score(
     """
     own = ("score", "predicted", "n_windows")
     keep = [c for c in docs.columns if c not in own and (keep_text or c != "text")]
+    read = keep if keep_text else [*keep, "text"]
+    a, b = model.scale if model is not None else (1.0, 0.0)
+    z = F.greatest(F.least(F.col("best") * a + b, F.lit(30.0)), F.lit(-30.0))
+    return (
+        best_windows(docs.select(*read), model, keep_text)
+        .withColumn("score", F.when((F.col("n_windows") > 0) & F.lit(model is not None), 1 / (1 + F.exp(-z))).otherwise(0.0))
+        .select(*keep, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_windows")
+    )
+
+
+def best_windows(docs: DataFrame, model: Network | None, keep_text: bool = False) -> DataFrame:
+    """Every row with best, the highest logit of all windows of its text (0 if there are none), and n_windows."""
+    keep = [c for c in docs.columns if keep_text or c != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -348,15 +375,8 @@ def score(
                 if parts:
                     logit = net.score_ids(np.concatenate(parts), proj)
                     np.maximum.at(best, np.concatenate(owner), logit)
-            a, b = net.scale if net is not None else (1.0, 0.0)
-            p = np.where(number > 0, 1 / (1 + np.exp(-np.clip(a * np.where(number > 0, best, 0) + b, -30, 30))), 0.0)
-            new = {
-                "score": pa.array(p),
-                "predicted": pa.array((p >= threshold).astype(np.int32)),
-                "n_windows": pa.array(number),
-            }
+            new = {"best": pa.array(np.where(number > 0, best, 0.0)), "n_windows": pa.array(number)}
             yield with_columns(batch, keep, new)
 
-    schema = (fields + ", " if fields else "") + "score double, predicted int, n_windows long"
-    read = keep if keep_text else [*keep, "text"]
-    return docs.select(*read).mapInArrow(run, schema)
+    schema = (fields + ", " if fields else "") + "best double, n_windows long"
+    return docs.mapInArrow(run, schema)
