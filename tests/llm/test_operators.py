@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -254,6 +255,34 @@ def test_passages_with_substitutions_are_found(spark, docs):
     assert [(r.doc_id, r.item_id, r.doc_word) for r in rows] == [(900, 0, 1)]
 
 
+def test_masks_meet_every_overlap_that_verifies():
+    for n in range(1, decontamination.WINDOW + 1):
+        masks = decontamination.SHORT.get(n, decontamination.MASKS)
+        fits = [sum(1 << (at + i) for i, b in enumerate(m) if b == "1") for m in masks for at in range(n - len(m) + 1)]
+        for out in itertools.combinations(range(n), n - math.ceil(n * decontamination.AGREE)):
+            gone = sum(1 << i for i in out)
+            assert any(not fit & gone for fit in fits), (n, out)
+
+
+@pytest.mark.parametrize("held", [0, 1_000_000])
+def test_items_of_every_length_are_found_with_substitutions(spark, monkeypatch, held):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", held)
+    rng, items, rows = random.Random(12), [], []
+    for n in range(1, 26):
+        for _ in range(3):
+            item = [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+            changed, width = list(item), min(n, 20)
+            for k in rng.sample(range(width), width - math.ceil(width * decontamination.AGREE)):
+                changed[k] = "other"
+            rows.append((len(items), " ".join(["start", "of", *changed, "end"]), None, None, 0))
+            items.append((len(items), " ".join(item)))
+    rows.append((None, items[-1][1], None, None, 0))
+    items = spark.createDataFrame(items, "item_id long, text string")
+    out = decontamination.contaminated(spark.createDataFrame(rows, SCHEMA), items).collect()
+    last = len(rows) - 2
+    assert {(r.doc_id, r.item_id) for r in out} == {(i, i) for i in range(last + 1)} | {(None, last)}
+
+
 def test_recurring_lines_go_but_the_first(docs, texts):
     rows = found(lines.without_recurring(docs))
     first = min(i for i, t in enumerate(texts) if t and t.startswith("header line"))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Which of neighbouring words a seed looks at; it ignores the others, so they may be substituted.
-#: All look at the first two, which sorts out most places of a document by one look-up.
-MASKS = ("110101101", "1101001011", "11001110001")
-#: Item starts that are seeded: every one of so many.
-STRIDE = 2
+#: All look at the first two, which sorts out most places of a document by one look-up. Whatever words
+#: of 6 to WINDOW are substituted, if AGREE still holds one of the masks fits somewhere between.
+MASKS = ("1111", "11011", "110011", "11101", "110101")
+#: The same for items of fewer words, by their number.
+SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("111",), 5: ("111", "11011")}
 #: Words compared around a hit, and the share of them that must agree.
 WINDOW, AGREE = 20, 0.8
 #: Seeds are broadcast up to this many rows (about 60 MB), and joined by shuffle beyond.
@@ -24,22 +25,25 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(words: Column, at: Column) -> Column:
+def _seeds(words: Column, at: Column, masks: tuple[str, ...]) -> Column:
     """One hash per mask for the word position `at`; null where the mask leaves the text."""
     found = []
-    for k, mask in enumerate(MASKS):
+    for mask in masks:
         seen = [F.get(words, at + i) for i, bit in enumerate(mask) if bit == "1"]
-        found.append(F.when(at + len(mask) <= F.size(words), F.xxhash64(F.lit(k), *seen)))
+        found.append(F.when(at + len(mask) <= F.size(words), F.xxhash64(F.lit(mask), *seen)))
     return F.array(*found)
 
 
-def seeds(items: DataFrame, stride: int = STRIDE) -> DataFrame:
-    """(seed, item_id, item_at) of every `stride`-th word of every item."""
+def seeds(items: DataFrame) -> DataFrame:
+    """(seed, item_id, item_at) of every word of every item, by the masks for its length."""
+    item, at = F.col("item"), F.col("item_at")
+    own = _seeds(item, at, MASKS)
+    for n, masks in SHORT.items():
+        own = F.when(F.size(item) == n, _seeds(item, at, masks)).otherwise(own)
     return (
         items.select("item_id", word_hashes(F.col("text")).alias("item"))
         .select("item_id", "item", F.posexplode("item").alias("item_at", "_w"))
-        .where(F.col("item_at") % stride == 0)
-        .select("item_id", "item_at", F.explode(_seeds(F.col("item"), F.col("item_at"))).alias("seed"))
+        .select("item_id", "item_at", F.explode(own).alias("seed"))
         .where("seed is not null")
     )
 
@@ -72,8 +76,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     WINDOW neighbouring item words (all of a shorter item) the share AGREE must be the same, so
     substituted words are tolerated. doc_word is where the item would begin; of several shifts the
     best is returned, one row per doc_id and item_id. Rows that repeat a doc_id count as one
-    document. Null and empty texts hold no passage; items shorter than the shortest mask are not
-    searched. No items give no rows.
+    document. Null and empty texts hold no passage; items of a few words are searched by all of
+    them. No items give no rows.
 
     Documents are read once and their seeds are never shuffled while the item seeds are few
     enough to broadcast, which is counted first. Beyond that they are joined by shuffle.
@@ -82,21 +86,25 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = seeds(items)
     small = found.count() <= BROADCAST_ROWS
     known = items.select("item_id", word_hashes(F.col("text")).alias("item"))
+    lengths = {r.n for r in known.select(F.size("item").alias("n")).where(F.col("n") <= max(SHORT)).distinct().collect()}
+    masks = tuple(dict.fromkeys([*MASKS, *(m for n in sorted(lengths & SHORT.keys()) for m in SHORT[n])]))
     words = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
     pairs = known.select("item", F.posexplode("item").alias("at", "_w"))
     pairs = pairs.select(_pair(F.col("item"), F.col("at")).alias("pair")).distinct()
     placed = words.select("doc_id", "words", F.posexplode("words").alias("at", "_w")).withColumn(
         "pair", _pair(F.col("words"), F.col("at"))
     )
-    seed = F.explode(_seeds(F.col("words"), F.col("at"))).alias("seed")
+    seed = F.explode(_seeds(F.col("words"), F.col("at"), masks)).alias("seed")
     if small:
-        placed = placed.join(F.broadcast(pairs), "pair", "left_semi")
+        if 1 not in lengths:  # an item of one word has no pair
+            placed = placed.join(F.broadcast(pairs), "pair", "left_semi")
         hits = placed.select("doc_id", "words", "at", seed).join(F.broadcast(found), "seed")
         hits = hits.join(F.broadcast(known), "item_id")
     else:
-        met = placed.select("doc_id", "at", seed).where("seed is not null").join(found, "seed")
-        shifts = met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-        hits = shifts.join(words, "doc_id").join(known, "item_id")
+        row = F.xxhash64("doc_id", "words").alias("row")  # doc_id may be null or repeated
+        met = placed.select(row, "at", seed).where("seed is not null").join(found, "seed")
+        shifts = met.select("row", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        hits = shifts.join(words.withColumn("row", row), "row").join(known, "item_id")
         hits = hits.withColumn("at", F.col("shift")).withColumn("item_at", F.lit(0))
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     compared = F.least(F.size("item"), F.lit(WINDOW)).alias("compared")
