@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from tonelake.llm import stages
 
 SF_DIR = "/root/testdata/sf0.01"  # large enough to learn from
 
@@ -25,3 +26,15 @@ def test_stages_and_result(spark):
         left = now
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == left
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(98)]
+    near = ["other" if i in (30, 60) else w for i, w in enumerate(words)]
+    # 84 of 104 five-word shingles are common, and 87 of 103 four-word ones: 0.808 and 0.845.
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "quite another text of some words")]
+    for size, share in ((5, 0.8), (4, 0.85)):
+        a, b = ({tuple(x[i : i + size]) for i in range(len(x) - size + 1)} for x in (words, near))
+        assert (len(a & b) / len(a | b) >= share) == (size == 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in stages.one_of_each_group(spark, docs, "").collect()} == {1, 3}

@@ -26,8 +26,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group."""
-    groups = jaccard.near_duplicates(docs)
+    """The document with the smallest doc_id of each near-duplicate group: 0.8 of five-word shingles."""
+    groups = jaccard.near_duplicates(docs, percent=80, size=5)
     first = groups.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
     return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
 
