@@ -220,6 +220,27 @@ def test_secret_spans(spark, docs, texts):
     assert out.s == f"markov:4:{4 + len(key)}"
 
 
+def test_copies_of_a_text_do_not_fill_the_secret_samples(spark):
+    rng = random.Random(15)
+
+    def drawn(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+
+    rows = [(i, f"line {i} token = {drawn(24)} end") for i in range(60)]
+    rows += [(100 + i, f"def some_ordinary_function_{i} calls another_ordinary_function") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = docs.where("doc_id < 60").orderBy(F.xxhash64("text")).first().text
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, hot) for i in range(300)], docs.schema))
+    plain, copied = (secrets.base_spans(x) for x in (docs, more))
+    values = [r.sample for r in secrets.samples(copied, 20)[0].collect()]
+    assert len(values) == len(set(values)) == 20
+    one, two = secrets.fit(plain, 20), secrets.fit(copied, 20)
+    assert one["table"] == two["table"] and abs(one["threshold"] - two["threshold"]) < 1e-9
+    # The threshold is that of all texts, not of the 20.
+    means = secrets.mean_ratios(plain, one["table"])
+    assert abs(one["threshold"] - (means[True] + means[False]) / 2) < 1e-9
+
+
 def test_unigram_base_and_model(docs, texts):
     all_ = texts + [texts[3]]
     token = lambda t: (t or "").encode().lower().split() + [None]

@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.llm.scratch import written
+
 #: Forms of secrets: name, pattern of the whole span, least length of what counts in it, and a
 #: pattern that every text with such a span contains.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
@@ -21,8 +23,8 @@ MARKOV = "markov"
 #: Characters of the models, and the runs of them that are judged.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = "[A-Za-z0-9+/_=-]{20,}"
-NAME = "[A-Za-z0-9_-]{8,}"
-#: Fit bounds: texts whose samples train each model, those with the lowest hash.
+NAME, LONG_NAME = "[A-Za-z0-9_-]{8,}", "[A-Za-z0-9_-]{20,}"
+#: Fit bounds: different texts whose samples train each model, those with the lowest hash.
 FIT_TEXTS = 4_000
 
 
@@ -94,17 +96,28 @@ def _log_table(counts: dict, smooth: float = 0.5) -> list[float]:
     return table
 
 
+def _values(base: Column) -> Column:
+    """What counts of each span: the value of an assignment, else all of it."""
+    return F.transform(base, lambda s: F.regexp_replace(s["hit"], "^" + ASSIGN, ""))
+
+
 def samples(spans: DataFrame, texts: int = FIT_TEXTS) -> tuple[DataFrame, DataFrame]:
     """Labelled samples: values of found spans are random strings, the runs of NAME in texts
-    without any span are ordinary identifiers. Each comes from at most `texts` texts, those with
-    the lowest hash."""
-    order = (F.xxhash64("text"), F.col("text"))
-    held = spans.where(F.size("base") > 0).orderBy(*order).limit(texts)
-    value = F.regexp_replace(F.col("s.hit"), "^" + ASSIGN, "")
-    random = held.select(F.explode("base").alias("s")).select(value.alias("sample"))
-    plain = spans.where((F.size("base") == 0) & F.col("text").isNotNull()).orderBy(*order).limit(texts)
-    names = plain.select(F.explode(F.regexp_extract_all("text", F.lit(f"({NAME})"), F.lit(1))).alias("sample"))
-    return random, names
+    without any span are ordinary identifiers. Each comes from at most `texts` different texts,
+    those with the lowest hash; copies of a text count once."""
+    order, holds = F.xxhash64("text"), F.size("base") > 0
+    keys = spans.where("text is not null").select(order.alias("h"), holds.alias("holds")).distinct()
+    keys = written(keys, "text_hashes")
+
+    def chosen(kind: bool) -> DataFrame:
+        last = keys.where(F.col("holds") == kind).orderBy("h").limit(texts).agg(F.max("h")).first()[0]
+        # The hash alone comes first, so only rows of these texts are searched for spans again.
+        low = spans.where(F.col("text").isNotNull() & (order <= F.lit(last).cast("long")))
+        return low.select("text", "base").where(holds == kind).dropDuplicates(["text"])
+
+    random = chosen(True).select(F.explode(_values(F.col("base"))).alias("sample"))
+    names = F.explode(F.regexp_extract_all("text", F.lit(f"({NAME})"), F.lit(1)))
+    return random, chosen(False).select(names.alias("sample"))
 
 
 def ratio(run: Column, table: list[float]) -> Column:
@@ -127,25 +140,33 @@ def ratio(run: Column, table: list[float]) -> Column:
 def fit(spans: DataFrame, texts: int = FIT_TEXTS) -> dict:
     """Both models as one table of log ratios, and the threshold between the labelled samples.
 
-    The threshold lies midway between the mean ratios of random and ordinary samples of RUN or
-    NAME length. Without samples of one kind nothing is judged random.
+    The threshold lies midway between the mean ratios of random and ordinary samples of RUN
+    length in all texts, each different text once. Without samples of one kind nothing is judged random.
     """
     random, names = samples(spans, texts)
     a, b = _pair_counts(random), _pair_counts(names)
     if not a or not b:
         return {"table": None, "threshold": 0.0}
     table = [x - y for x, y in zip(_log_table(a), _log_table(b))]
-    means = [
-        frame.where(F.length("sample") >= 20)
-        .select(F.avg(ratio(F.col("sample"), table)).alias("m"))
-        .first()
-        .m
-        for frame in (random, names)
-    ]
-    high, low = (means[0] or 0.0), (means[1] if means[1] is not None else -1.0)
+    means = mean_ratios(spans, table)
+    high, low = means.get(True, 0.0), means.get(False, -1.0)
     return {"table": table, "threshold": (high + low) / 2}
 
 
+def mean_ratios(spans: DataFrame, table: list[float]) -> dict[bool, float]:
+    """Mean ratio of the samples of at least 20 characters, of texts with spans and of texts without."""
+    holds = F.size("base") > 0
+    values = F.filter(_values(F.col("base")), lambda v: F.length(v) >= 20)
+    names = F.regexp_extract_all("text", F.lit(f"({LONG_NAME})"), F.lit(1))
+    own = F.when(holds, values).otherwise(names).alias("own")
+    rows = spans.where("text is not null").select(F.xxhash64("text").alias("h"), holds.alias("holds"), own)
+    total = F.aggregate("own", F.lit(0.0), lambda s, v: s + ratio(v, table))
+    each = rows.where(F.size("own") > 0).select("h", "holds", total.alias("total"), F.size("own").alias("n"))
+    each = each.groupBy("h", "holds").agg(F.first("total").alias("total"), F.first("n").alias("n"))
+    found = each.groupBy("holds").agg((F.sum("total") / F.sum("n")).alias("m")).collect()
+    return {r.holds: r.m for r in found}
+
+
 def scanned(docs: DataFrame, model: dict) -> DataFrame:
     """Every row of `base_spans` with `spans`: its base spans and the runs the model calls random.
 
