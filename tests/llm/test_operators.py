@@ -398,6 +398,16 @@ def test_language_by_nearest_centroid(spark):
     assert out[500].lang_pred == out[501].lang_pred == "und"
 
 
+def test_copies_of_a_text_do_not_fill_a_language(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20)), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hot = docs.orderBy(F.xxhash64("text")).first().text
+    more = docs.unionByName(spark.createDataFrame([(100 + i, hot, "en") for i in range(60)], docs.schema))
+    model = langid.fit(more, rows_per_lang=20, centroids=4)
+    assert len({tuple(c) for c in model["centres"].round(5).tolist()}) == 4
+
+
 def test_empty_tables(spark, empty):
     items = spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -93,19 +93,24 @@ def sphere_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, centroids: int = CENTROIDS) -> dict:
     """Learn from text and lang alone. Rarities come from all rows; the centroids of a language from
-    `rows_per_lang` of its rows, those with the lowest hash of their text. Spark cuts each
-    partition to that many rows per language before it shuffles them.
+    `rows_per_lang` of its different texts, those with the lowest hash: copies count once. Hashes
+    are ranked first, so only the chosen texts are shuffled.
 
     No rows give a model without languages, which calls every text `und`.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_counts(known)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    ranked = known.select("lang", "text", F.xxhash64("text").alias("h")).selectExpr(
-        "lang", "text", "row_number() over (partition by lang order by h, text) as k"
+    hashed = known.select("lang", "text", F.xxhash64("text").alias("h"))
+    ranked = hashed.select("lang", "h").distinct().selectExpr(
+        "lang", "h", "row_number() over (partition by lang order by h) as k"
     )
+    # A fixed number of hashes per language.
+    chosen = F.broadcast(ranked.where(F.col("k") <= rows_per_lang).select("lang", "h"))
+    texts = hashed.join(chosen, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
     def means(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("h")
         x = weigh(np.stack([grams(t.encode()) for t in rows["text"]]), idf)
         centres = sphere_means(x, centroids)
         cosine = x @ centres.T
@@ -117,8 +122,7 @@ def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, centroids: int = CE
         return pd.DataFrame(out, columns=["lang", "j", "centre", "least"])
 
     rows = (
-        ranked.where(F.col("k") <= rows_per_lang)
-        .groupBy("lang")
+        texts.groupBy("lang")
         .applyInPandas(means, "lang string, j int, centre array<float>, least double")
         .collect()
     )
