@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelake.llm import brown, decontamination, jaccard, langid, lines, packing, quality, repeats, secrets, toxicity
+from tonelake.llm import (
+    brown,
+    collocations,
+    decontamination,
+    jaccard,
+    langid,
+    lines,
+    manifest,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    statements,
+    toxicity,
+)
 from tonelake.llm.common import remainder, table
 from tonelake.llm.scratch import written
 
@@ -101,3 +115,13 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder("doc_id", 5) == 1
     fitted = brown.fit(docs.where(~held_out))
     return brown.scored(docs.select("doc_id", "text", held_out.alias("held_out")), fitted)
+
+
+@query("op12_merkle_windows", statements.MERKLE)
+def op12_merkle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.document_manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_free_phrases", statements.PHRASES)
+def op13_prefix_free_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
