@@ -28,6 +28,9 @@ PERIOD = 32
 #: Bits of the map of frequent phrases that tasks hold (16 MB at any input size). It spares counting
 #: longer phrases that cannot be frequent; one that it lets through in error is counted and dropped.
 MAP_BITS = 1 << 27
+#: floor(10^6 a^2 / (l r)), for counts of up to 15 digits: 10^6 times the square of one has 36 of 38.
+_A, _L, _R = (f"cast({c} as decimal(15,0))" for c in "alr")
+SCORE = f"(cast(1000000 as decimal(7,0)) * ({_A} * {_A})) div ({_L} * {_R})"
 #: Text bytes that a task parses at once, and chunk bytes it counts at once.
 PARSED, COUNTED = 4 << 20, 8 << 20
 #: Marks between pieces and between texts; both separate pieces, so no word holds them.
@@ -246,13 +249,10 @@ def collocations(
     )
     heads = counts.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l"))
     tails = counts.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r"))
-    # Counts of up to 16 digits; 10^6 times the square of one still has 38.
-    exact = {c: f"cast({c} as decimal(16,0))" for c in "alr"}
-    score = f"(cast(1000000 as decimal(7,0)) * ({exact['a']} * {exact['a']})) div ({exact['l']} * {exact['r']})"
     best = (
         cuts.join(heads, ["lang", "head"])
         .join(tails, ["lang", "tail"])
-        .withColumn("score", F.expr(score))
+        .withColumn("score", F.expr(SCORE))
         .groupBy("lang", "phrase", "a")
         .agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     )

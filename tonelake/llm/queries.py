@@ -17,6 +17,7 @@ from tonelake.llm import (
     lines,
     manifest,
     packing,
+    pii,
     quality,
     repeats,
     secrets,
@@ -117,6 +118,11 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.scored(docs.select("doc_id", "text", held_out.alias("held_out")), fitted)
 
 
+@query("op11_private_spans")
+def op11_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 @query("op12_merkle_windows", statements.MERKLE)
 def op12_merkle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.document_manifest(table(spark, sf_dir, "documents"))
