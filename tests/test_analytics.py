@@ -156,26 +156,51 @@ def test_subscription_states(spark, change, plan, line):
     assert [r.l for r in lines] == ([] if change.get("environment") == "sandbox" and plan == "free" else [line])
 
 
-def test_quota_with_refunds_matches_a_counter(spark):
+def counted_one_by_one(rows, start=None):
+    """(admitted, counted) of each entry by a plain counter per (user, month)."""
+    counts, out = dict(start or {}), {}
+    for entry, user, at, refund, limit in sorted(rows, key=lambda r: (r[2], r[0])):
+        key = (user, at.strftime("%Y-%m"))
+        before = counts.get(key, 0)
+        ok = not refund and (limit is None or before < limit)
+        counts[key] = before + (-1 if refund else int(ok))
+        out[entry] = (ok, counts[key])
+    return out
+
+
+LEDGER = "entry_id bigint, user_id string, at timestamp, is_refund boolean, month_limit int"
+
+
+@pytest.mark.parametrize("seed,limits_of", [(2, (8, 3)), (4, (None, 6, 1, 0))])
+def test_quota_equals_a_counter_while_limits_change(spark, seed, limits_of):
+    """Refunds, limits that rise, fall and end, over two months and a user with most of the rows."""
     import random
 
-    rng = random.Random(5)
-    rows, expected = [], {}
-    for user in ("hot", "cold", "free"):
-        limit = {"hot": 4, "cold": 2, "free": None}[user]
-        count = 0
-        for i in range(400 if user == "hot" else 30):
-            refund = rng.random() < 0.3
-            at = datetime(2025, 1, 1) + timedelta(minutes=7 * i)
-            ok = not refund and (limit is None or count < limit)
-            count += -1 if refund else int(ok)
-            rows.append((len(rows), user, at, refund, limit))
-            expected[len(rows) - 1] = (ok, count)
-    df = spark.createDataFrame(
-        rows, "entry_id bigint, user_id string, at timestamp, is_refund boolean, month_limit int"
-    )
-    got = {r.entry_id: (r.admitted, r.counted) for r in limits.quota_admission(df).collect()}
-    assert got == expected
+    rng = random.Random(seed)
+    rows = []
+    for user, n in (("hot", 200), ("warm", 40), ("cold", 9)):
+        limit = limits_of[0]
+        for i in range(n):
+            if rng.random() < 0.02:
+                limit = rng.choice(limits_of)
+            at = datetime(2025, 1, 1) + timedelta(hours=58 * 24 * i // n, minutes=rng.randint(0, 2) * 20)
+            rows.append((len(rows), user, at, rng.random() < 0.35, limit))
+    df = spark.createDataFrame(rows, LEDGER).repartition(5)
+    start = [("hot", "2025-01", 7), ("warm", "2025-02", 2)]
+    carried = spark.createDataFrame(start, "user_id string, month string, counted bigint")
+    got = {r.entry_id: (r.admitted, r.counted) for r in limits.quota_admission(df, carried).collect()}
+    assert got == counted_one_by_one(rows, {(u, m): n for u, m, n in start})
+
+
+def test_refused_attempts_under_two_limits_do_not_merge(spark):
+    """Counts that differ at the start may meet twice; no one pair of bounds describes such a row of steps."""
+    at = datetime(2025, 3, 1)
+    steps = [False, True, True, False]  # attempt, two refunds, attempt, all under a limit of 5
+    last = {4: 4, 5: 4, 6: 5, 7: 5, 8: 6}
+    rows = [(10 * n + i, f"u{n}", at + timedelta(hours=i), refund, 5) for n in last for i, refund in enumerate(steps)]
+    carried = spark.createDataFrame([(f"u{n}", "2025-03", n) for n in last], "user_id string, month string, counted bigint")
+    found = limits.quota_admission(spark.createDataFrame(rows, LEDGER), carried).where("entry_id % 10 = 3")
+    assert {r.user_id: r.counted for r in found.collect()} == {f"u{n}": c for n, c in last.items()}
 
 
 def test_first_admissions_of_a_hot_key(spark):

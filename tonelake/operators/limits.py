@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonelake.operators.sliced import running_sum
+from tonelake.session import settle
+
 
 def admit_first(
     df: DataFrame, keys: list[str], order: list[str], limit: int, flag: str = "admitted"
@@ -41,74 +46,103 @@ def rate_windows(
     return admit_first(windowed, ["user_id", "rate_window"], [at, key], limit)
 
 
+_MONTH = ["user_id", "month"]
+_ENTRY = ["at", "entry_id"]
+
+
+def _below_limits(rows: DataFrame) -> DataFrame:
+    """`before` and `counted`, the counter around each row, while no attempt meets a lower limit.
+
+    An attempt turns a count c into min(c + 1, its limit), a refund into c - 1. Steps of that kind
+    add up: after any of them the count is the running sum T plus min(0, the least of limit - T
+    over the attempts so far). Limits may differ from row to row. Running sums and minima are taken
+    inside hourly slices; one row per (user, slice) is ordered across a month.
+    """
+    at = Window.partitionBy(*_MONTH, "slice").orderBy(*_ENTRY)
+    here = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = at.rowsBetween(Window.unboundedPreceding, -1)
+    slack = F.when(~F.col("is_refund"), F.col("month_limit") - F.col("_sum"))
+    local = (
+        rows.withColumn("_sum", F.sum("step").over(here))
+        .withColumn("_slack", slack)
+        .withColumn("_low", F.min("_slack").over(here))
+        .withColumn("_low_before", F.min("_slack").over(earlier))
+    )
+    slices = Window.partitionBy(*_MONTH).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        local.groupBy(*_MONTH, "slice")
+        .agg(F.sum("step").alias("_total"), F.min("_slack").alias("_least"), F.min("opening").alias("_open"))
+        .withColumn("_base", F.col("_open") + F.coalesce(F.sum("_total").over(slices), F.lit(0)))
+        .withColumn("_past", F.min(F.col("_least") - F.col("_base")).over(slices))
+        .select(*_MONTH, "slice", "_base", "_past")
+    )
+
+    def level(sum_: Column, low: Column) -> Column:
+        return F.col("_base") + sum_ + F.least(F.lit(0), low - F.col("_base"), F.col("_past"))
+
+    return local.join(carry, [*_MONTH, "slice"]).select(
+        *rows.columns,
+        level(F.col("_sum") - F.col("step"), F.col("_low_before")).alias("before"),
+        level(F.col("_sum"), F.col("_low")).alias("counted"),
+    )
+
+
 def quota_admission(
     ledger: DataFrame, carried: DataFrame | None = None, slice_s: int = 3600
 ) -> DataFrame:
-    """Monthly quota with refunds, as running sums and maxima.
+    """Monthly quota with refunds, whatever happens to the limit within a month.
 
     `ledger` has (entry_id, user_id, at, is_refund, month_limit); a null limit admits everything.
-    An attempt adds one unless the count is at the limit; a refund takes one off. That counter is
-    a running sum held down at the limit, so it equals the plain running sum minus the furthest
-    the sum has so far gone over the limit, and an attempt is refused exactly when it pushes that
-    excess up. Both parts are computed inside hourly slices first; only one row per (user, slice)
-    is ordered across a month, so a user with a third of all rows is still spread out.
+    An attempt adds one if the count is below its limit, a refund takes one off; a refused attempt
+    changes nothing. `carried` has the counter to start from, (user_id, month, counted).
 
-    `carried` has the counter to start from, (user_id, month, counted), where there is one.
+    Where a limit falls below what is already counted, attempts are refused until refunds have
+    brought the count down to a limit again. Those stretches need the number of refunds only, and
+    the rows after them go on as a ledger of their own. So the work is done in rounds, as many as
+    the most times a user's limit fell below their count in a month, over ever fewer rows; no
+    user's rows are walked one by one, and each round is written before the next one reads it.
     """
-    keys = ["user_id", "month"]
-    sliced = ledger.select(
-        "*",
-        F.date_format("at", "yyyy-MM").alias("month"),
-        F.expr(f"unix_seconds(at) div {slice_s}").alias("slice"),
-        F.when(F.col("is_refund"), F.lit(-1)).otherwise(F.lit(1)).cast("bigint").alias("step"),
-    )
-    in_slice = (
-        Window.partitionBy(*keys, "slice")
-        .orderBy("at", "entry_id")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = sliced.withColumn("local_sum", F.sum("step").over(in_slice)).withColumn(
-        "local_peak", F.max("local_sum").over(in_slice)
-    )
-    per_slice = local.groupBy(*keys, "slice").agg(
-        F.sum("step").alias("slice_sum"), F.max("local_sum").alias("slice_peak")
-    )
-    before = (
-        Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    slice_ = F.expr(f"unix_seconds(at) div {slice_s}")
+    step = F.when(F.col("is_refund"), F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
+    rows = ledger.select("*", F.date_format("at", "yyyy-MM").alias("month"), slice_.alias("slice"), step.alias("step"))
     if carried is not None:
-        opening = carried.select(*keys, F.col("counted").alias("opening"))
-        per_slice = per_slice.join(opening, keys, "left")
+        opening = carried.select(*_MONTH, F.col("counted").cast("bigint").alias("opening"))
+        rows = rows.join(opening, _MONTH, "left").withColumn("opening", F.coalesce("opening", F.lit(0)))
     else:
-        per_slice = per_slice.withColumn("opening", F.lit(0))
-    started = per_slice.withColumn(
-        "base", F.coalesce("opening", F.lit(0)) + F.coalesce(F.sum("slice_sum").over(before), F.lit(0))
-    )
-    offsets = started.withColumn(
-        "earlier_peak", F.max(F.col("base") + F.col("slice_peak")).over(before)
-    ).select(*keys, "slice", "base", "earlier_peak")
-
-    def excess(peak: Column) -> Column:
-        return F.greatest(F.lit(0), F.coalesce(peak - F.col("month_limit"), F.lit(0)))
-
-    joined = local.join(offsets, [*keys, "slice"])
-    total = F.col("base") + F.col("local_sum")
-    peak = F.greatest(F.col("base") + F.col("local_peak"), F.col("earlier_peak"))
-    # the excess just before this row: take this row's own step off the slice's running maximum
-    prior = (
-        Window.partitionBy(*keys, "slice")
-        .orderBy("at", "entry_id")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    prior_peak = F.greatest(
-        F.col("base") + F.max("local_sum").over(prior), F.col("earlier_peak")
-    )
-    return joined.select(
-        *ledger.columns,
-        "month",
-        (~F.col("is_refund") & (excess(peak) == excess(prior_peak))).alias("admitted"),
-        (total - excess(peak)).alias("counted"),
-    )
+        rows = rows.withColumn("opening", F.lit(0).cast("bigint"))
+    names = [*ledger.columns, "month"]
+    place = F.struct(*_ENTRY)
+    parts = []
+    while True:
+        found = settle(_below_limits(rows), "quota")
+        admitted = (~F.col("is_refund") & (F.col("counted") > F.col("before"))).alias("admitted")
+        fell = found.where(~F.col("is_refund") & (F.col("counted") < F.col("before")))
+        first = fell.groupBy(*_MONTH).agg(F.min_by("before", place).alias("held"), F.min(place).alias("_from"))
+        if fell.isEmpty():
+            parts.append(found.select(*names, admitted, "counted"))
+            return reduce(DataFrame.unionByName, parts)
+        marked = found.join(first, _MONTH, "left")
+        settled = F.col("_from").isNull() | (place < F.col("_from"))
+        parts.append(marked.where(settled).select(*names, admitted, "counted"))
+        refund = F.col("is_refund").cast("bigint")
+        over = running_sum(
+            marked.where(~settled).withColumn("_refund", refund), _MONTH, F.col("slice"), _ENTRY, "_refund", "_refunds"
+        ).withColumn("_level", F.col("held") - F.col("_refunds"))
+        over = settle(over, "over_limit")
+        fits = F.col("month_limit").isNull() | (F.col("_level") <= F.col("month_limit"))
+        resumed = (
+            over.where(~F.col("is_refund") & fits)
+            .groupBy(*_MONTH)
+            .agg(F.min(place).alias("_again"), F.min_by("_level", place).alias("_opening"))
+        )
+        split = over.join(resumed, _MONTH, "left")
+        on = place >= F.col("_again")
+        parts.append(
+            split.where(F.col("_again").isNull() | ~on).select(
+                *names, F.lit(False).alias("admitted"), F.col("_level").alias("counted")
+            )
+        )
+        rows = split.where(on).withColumn("opening", F.col("_opening")).select(*rows.columns)
 
 
 def monthly_usage(admissions: DataFrame) -> DataFrame:

@@ -574,44 +574,62 @@ def rate_limit(r: Roles):
     return limits.rate_windows(m, "ts", "event_id", limit=3, window_s=86_400).drop("ts", "rate_window")
 
 
+# Attempts ten days later than their messages, so that they fall into two months; three users of four
+# change their limit on the way: up and down again, to none and back, and down only.
 add_role(
     "ledger",
     "messages users",
-    """SELECT m.event_id AS entry_id, m.user_id, m.ts AS "at", m.event_type = 'error' AS is_refund,
-         CASE coalesce(u.plan, 'free') WHEN 'free' THEN 10 WHEN 'pro' THEN 30 END AS month_limit
-       FROM messages m LEFT JOIN users u USING (user_id)""",
+    """SELECT *, CASE
+          WHEN user_id % 4 = 1 AND d BETWEEN 15 AND 21 THEN 30 WHEN user_id % 4 = 1 AND d > 24 THEN 4
+          WHEN user_id % 4 = 2 AND d BETWEEN 3 AND 19 THEN NULL
+          WHEN user_id % 4 = 3 AND (d > 22 OR d < 5) THEN 3
+          WHEN plan = 'free' THEN 10 WHEN plan = 'pro' THEN 30 END AS month_limit
+       FROM (SELECT m.event_id AS entry_id, m.user_id, m.ts + INTERVAL 10 DAY AS "at",
+           day(m.ts + INTERVAL 10 DAY) AS d, m.event_type = 'error' AS is_refund,
+           coalesce(u.plan, 'free') AS plan
+         FROM messages m LEFT JOIN users u USING (user_id))""",
 )
-# the counter replayed step by step, independently of the running-sum form the operator uses
+# the counter replayed step by step, independently of the running sums the operator uses
 add_role(
     "quota_steps",
     "ledger",
-    """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at", entry_id) AS i FROM ledger""",
+    """SELECT *, strftime("at", '%Y-%m') AS month, row_number() OVER (
+         PARTITION BY user_id, strftime("at", '%Y-%m') ORDER BY "at", entry_id) AS i FROM ledger""",
 )
 _QUOTA = """
   WITH fold AS (
-    SELECT user_id, i, entry_id, is_refund, month_limit,
+    SELECT user_id, month, i, entry_id, is_refund, month_limit,
       CASE WHEN is_refund THEN -1 WHEN month_limit IS NULL OR 0 < month_limit THEN 1 ELSE 0 END AS c,
       NOT is_refund AND (month_limit IS NULL OR 0 < month_limit) AS admitted
     FROM quota_steps WHERE i = 1
     UNION ALL
-    SELECT s.user_id, s.i, s.entry_id, s.is_refund, s.month_limit,
+    SELECT s.user_id, s.month, s.i, s.entry_id, s.is_refund, s.month_limit,
       CASE WHEN s.is_refund THEN c - 1 WHEN s.month_limit IS NULL OR c < s.month_limit THEN c + 1
         ELSE c END,
       NOT s.is_refund AND (s.month_limit IS NULL OR c < s.month_limit)
-    FROM fold f JOIN quota_steps s ON s.user_id = f.user_id AND s.i = f.i + 1)"""
+    FROM fold f JOIN quota_steps s ON s.user_id = f.user_id AND s.month = f.month AND s.i = f.i + 1)"""
 
 
 def ledger(r: Roles):
-    plan = F.coalesce("plan", F.lit("free"))
+    plan, at = F.coalesce("plan", F.lit("free")), F.expr("ts + INTERVAL 10 DAYS")
+    day, kind = F.dayofmonth(at), F.col("user_id") % 4
+    limit = (
+        F.when((kind == 1) & day.between(15, 21), 30)
+        .when((kind == 1) & (day > 24), 4)
+        .when((kind == 2) & day.between(3, 19), None)
+        .when((kind == 3) & ((day > 22) | (day < 5)), 3)
+        .when(plan == "free", 10)
+        .when(plan == "pro", 30)
+    )
     return (
         r.messages()
         .join(r.users().select("user_id", "plan"), "user_id", "left")
         .select(
             F.col("event_id").alias("entry_id"),
             "user_id",
-            F.col("ts").alias("at"),
+            at.alias("at"),
             (F.col("event_type") == "error").alias("is_refund"),
-            F.when(plan == "free", 10).when(plan == "pro", 30).alias("month_limit"),
+            limit.alias("month_limit"),
         )
     )
 
@@ -633,8 +651,8 @@ def quota_admission(r: Roles):
     with_roles(
         "quota_steps",
         _QUOTA
-        + """ SELECT user_id, '2024-01' AS month, greatest(0, arg_max(c, i))::BIGINT AS used
-          FROM fold GROUP BY 1""",
+        + """ SELECT user_id, month, greatest(0, arg_max(c, i))::BIGINT AS used
+          FROM fold GROUP BY 1, 2""",
         recursive=True,
     ),
 )

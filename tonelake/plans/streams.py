@@ -92,8 +92,10 @@ add_role(
     "quota_ledger",
     "messages",
     """SELECT event_id AS entry_id, user_id, event_type = 'error' AS is_refund,
-         (ARRAY[10, 30, NULL])[user_id % 3 + 1] AS month_limit,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM messages""",
+         CASE WHEN user_id % 5 = 1 AND day(ts) > 12 THEN 3
+           ELSE (ARRAY[10, 30, NULL])[user_id % 3 + 1] END AS month_limit, strftime(ts, '%Y-%m') AS month,
+         row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id) AS i
+       FROM messages""",
 )
 
 
@@ -102,18 +104,20 @@ add_role(
     with_roles(
         "quota_ledger",
         """WITH fold AS (
-          SELECT user_id, i, entry_id, CASE WHEN is_refund THEN -1 ELSE 1 END AS c,
+          SELECT user_id, month, i, entry_id, CASE WHEN is_refund THEN -1 ELSE 1 END AS c,
             NOT is_refund AS admitted FROM quota_ledger WHERE i = 1
-          UNION ALL SELECT s.user_id, s.i, s.entry_id, CASE WHEN s.is_refund THEN c - 1
+          UNION ALL SELECT s.user_id, s.month, s.i, s.entry_id, CASE WHEN s.is_refund THEN c - 1
               WHEN s.month_limit IS NULL OR c < s.month_limit THEN c + 1 ELSE c END,
             NOT s.is_refund AND (s.month_limit IS NULL OR c < s.month_limit)
-          FROM fold f JOIN quota_ledger s ON s.user_id = f.user_id AND s.i = f.i + 1)
+          FROM fold f JOIN quota_ledger s
+            ON s.user_id = f.user_id AND s.month = f.month AND s.i = f.i + 1)
         SELECT entry_id, user_id, admitted, c::BIGINT AS counted FROM fold""",
         recursive=True,
     ),
 )
 def streamed_quota(r: Roles):
-    limit = F.when(F.col("user_id") % 3 == 0, 10).when(F.col("user_id") % 3 == 1, 30)
+    fallen = (F.col("user_id") % 5 == 1) & (F.dayofmonth("ts") > 12)
+    limit = F.when(fallen, 3).when(F.col("user_id") % 3 == 0, 10).when(F.col("user_id") % 3 == 1, 30)
     ledger = live(r).messages().select(
         F.col("event_id").alias("entry_id"),
         "user_id",
