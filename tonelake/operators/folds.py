@@ -10,16 +10,18 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 def spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Groups hashed over the session's shuffle partitions, each partition sorted.
+    """Groups hashed over the session's shuffle partitions, each partition sorted (`-c`: descending).
 
     The count is given so that small data is not merged into one task: the walk in Python, not
     the bytes, is what takes the time.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys).sortWithinPartitions(*keys, *order)
+    by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys, *by)
 
 
 def sorted_fold(

@@ -162,6 +162,37 @@ def tab_positions(r: Roles):
     return tab_ops.assign_tab(score(r)[0], costs)
 
 
+@query(
+    "w24_path_costs",
+    with_roles(
+        "ways score",
+        """WITH priced AS (SELECT pitches, frets, 50 * dropped
+            + coalesce(list_max(frets) - list_min(frets), 0)
+            + 10 * greatest(coalesce(list_max(frets) - list_min(frets), 0) - 4, 0) AS cost
+          FROM ways WHERE i = len(pitches)
+          QUALIFY row_number() OVER (PARTITION BY pitches ORDER BY cost, path) <= 64),
+        hands AS (SELECT pitches, h, min(cost) AS cost FROM priced, range(1, 25) t(h)
+          WHERE CASE WHEN len(frets) = 0 THEN true
+            WHEN list_max(frets) - list_min(frets) > 4 THEN h = list_min(frets)
+            ELSE h BETWEEN greatest(list_max(frets) - 4, 1) AND list_min(frets) END GROUP BY ALL),
+        played AS (SELECT clip_id, pitches, row_number() OVER (PARTITION BY clip_id ORDER BY onset12) AS i
+          FROM (SELECT clip_id, onset12, list_sort(list_distinct(list(pitch))) AS pitches FROM score
+            GROUP BY 1, 2)),
+        walk AS (SELECT clip_id, i, h, cost FROM played JOIN hands USING (pitches) WHERE i = 1
+          UNION ALL
+          SELECT w.clip_id, p.i, n.h, min(w.cost + n.cost + CASE WHEN w.h = n.h THEN 0
+            ELSE 4 + abs(w.h - n.h) END)
+          FROM walk w JOIN played p ON p.clip_id = w.clip_id AND p.i = w.i + 1
+          JOIN hands n ON n.pitches = p.pitches GROUP BY w.clip_id, p.i, n.h)
+        SELECT clip_id, min(cost)::DOUBLE AS cost FROM walk
+        WHERE (clip_id, i) IN (SELECT (clip_id, max(i)) FROM played GROUP BY clip_id) GROUP BY 1""",
+        recursive=True,
+    ),
+)
+def path_costs(r: Roles):
+    return tab_ops.path_costs(score(r)[0], None)
+
+
 @query(
     "j18_placed_notes",
     with_roles(
