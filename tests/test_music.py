@@ -1,5 +1,6 @@
 """Music operators on worked examples, and against plain walks on random and skewed input."""
 
+import collections
 import itertools
 import random
 
@@ -403,14 +404,92 @@ def test_edits_apply_in_order(spark):
 @pytest.mark.parametrize(
     ("change", "reason"),
     [
-        (("delete", dict(onset12=5, pitch=64)), "that note isn't in this version any more"),
-        (("add", dict(onset12=0, pitch=64, duration12=6)), "there is already that note at that position"),
-        (("add", dict(onset12=0, pitch=66, duration12=800)), "that note is too long"),
-        (("set_position", dict(onset12=0, pitch=64, string=2, fret=4)), "string 2, fret 4 isn't the same note"),
-        (("set_position", dict(onset12=0, pitch=64, string=2, fret=5)), "another note at that moment is already on string 2"),
-        (("set_pitch", dict(onset12=0, pitch=59, new_pitch=64)), "there is already that note at that position"),
+        (("delete", dict(onset12=5, pitch=64)), "absent"),
+        (("add", dict(onset12=0, pitch=64, duration12=6)), "occupied"),
+        (("add", dict(onset12=0, pitch=66, duration12=800)), "too long"),
+        (("set_position", dict(onset12=0, pitch=64, string=2, fret=4)), "other pitch"),
+        (("set_position", dict(onset12=0, pitch=64, string=2, fret=5)), "string in use"),
+        (("set_pitch", dict(onset12=0, pitch=59, new_pitch=64)), "occupied"),
+        (("set_position", dict(onset12=0, pitch=64, string=7, fret=0)), "no such place"),
+        (("add", dict(onset12=0, pitch=70, duration12=6, string=6)), "out of reach"),
+        (("set_pitch", dict(onset12=0, pitch=59, new_pitch=30)), "no string left"),
+        (("add", dict(onset12=40, pitch=70)), "off grid"),
+        (("shift", dict(onset12=0, pitch=64)), "unknown op"),
     ],
 )
 def test_one_bad_edit_refuses_the_list(spark, change, reason):
     first = ("set_duration", dict(onset12=12, pitch=60, duration12=6))
     assert replayed(spark, [first, change]) == (2, reason)
+
+
+def one_by_one(base, changes):
+    """A plain replay without tab: {key: duration}, or (place, reason)."""
+    held = dict(base)
+    for i, (op, onset, pitch, new, duration) in enumerate(changes, start=1):
+        key, moved = (onset, pitch), (onset, new)
+        if op != "add" and key not in held:
+            return i, "absent"
+        if op in ("add", "set_duration") and duration > 768:
+            return i, "too long"
+        if op == "add" and key in held or op == "set_pitch" and moved != key and moved in held:
+            return i, "occupied"
+        if op == "delete":
+            del held[key]
+        elif op == "set_pitch":
+            held[moved] = held.pop(key)
+        else:
+            held[key] = duration
+    return held
+
+
+def test_replay_equals_a_plain_walk(spark):
+    """Many short lists on crowded moments: moves onto freed keys, chains of moves, adds after deletes."""
+    rng = random.Random(8)
+    base = {d: {(o, p): 6 for o in (0, 12, 24) for p in rng.sample(range(60, 66), 3)} for d in range(4)}
+    rows, want = [], {}
+    for d in base:
+        for save in range(25):
+            changes = []
+            for _ in range(rng.randint(1, 4)):
+                op = rng.choice(["add", "delete", "set_pitch", "set_pitch", "set_duration"])
+                held = one_by_one(base[d], changes)
+                here = sorted(held) if isinstance(held, dict) and held and rng.random() < 0.9 else [(0, 60), (12, 63)]
+                onset, pitch = rng.choice(here)
+                if op == "add":
+                    pitch = rng.randint(60, 66)
+                changes.append((op, onset, pitch, rng.randint(60, 66), rng.choice([3, 12, 24, 900 if rng.random() < 0.1 else 9])))
+            want[d, save] = one_by_one(base[d], changes)
+            rows += [(d, save, 10 * i, op, o, p, n, t, None, None) for i, (op, o, p, n, t) in enumerate(changes)]
+    notes = spark.createDataFrame([(d, o, p, t, None, None) for d, held in base.items() for (o, p), t in held.items()], BASE)
+    got = {key: {} for key in want}
+    for r in edits.replay(notes, spark.createDataFrame(rows, EDIT)).collect():
+        if r.reason is not None:
+            got[r.doc_id, r.list_id] = (r.rejected_at, r.reason)
+        else:
+            got[r.doc_id, r.list_id][r.onset12, r.pitch] = r.duration12
+    assert got == want
+    refused = [v[1] for v in want.values() if isinstance(v, tuple)]
+    assert {"absent", "occupied"} <= set(refused) and len(refused) < 80
+
+
+def test_versions_build_on_their_bases(spark):
+    base = spark.createDataFrame([(1, 0, 64, 12, None, None, 33)], BASE + ", velocity int")
+    rows = [
+        (1, 1, 0, "set_pitch", 0, 64, 65, None, None, None),
+        (1, 2, 0, "set_duration", 0, 65, None, 24, None, None),
+        (1, 3, 0, "add", 12, 70, None, 6, None, None),
+        (1, 4, 0, "delete", 0, 64, None, None, None, None),  # gone since version 1
+        (1, 5, 0, "add", 24, 71, None, 6, None, None),  # made from a refused one
+    ]
+    versions = spark.createDataFrame([(1, 1, None), (1, 2, 1), (1, 3, 2), (1, 4, 3), (1, 5, 4)], "doc_id bigint, list_id bigint, base_list bigint")
+    whole = edits.along_versions(versions, spark.createDataFrame(rows, EDIT))
+    got = collections.defaultdict(set)
+    for r in edits.replay(base, whole).collect():
+        got[r.list_id].add(r.reason or (r.onset12, r.pitch, r.duration12, r.velocity))
+    assert got == {
+        1: {(0, 65, 12, 33)},
+        2: {(0, 65, 24, 33)},
+        3: {(0, 65, 24, 33), (12, 70, 6, 80)},
+        4: {"absent"},
+        5: {"absent"},
+    }

@@ -1,18 +1,21 @@
 """Row-by-row rules over sorted groups, streamed through Arrow batches.
 
 Spark hash-partitions rows by the group keys and sorts each partition (spilling when it must), so
-one group's rows pass through a task in order without ever being held together in Python.
+one group's rows pass through a task in order without ever being held together in Python. Values
+keep their types on the way: a null whole number is None, not a float.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+
 def spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Groups hashed over the session's shuffle partitions, each partition sorted (`-c`: descending).
 
@@ -24,11 +27,15 @@ def spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys, *by)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*[column.to_pylist() for column in batch.columns], strict=True)
+
+
 def sorted_fold(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    step: Callable[[dict | None, tuple], tuple[dict, tuple]],
+    step: Callable[[object, tuple], tuple[object, tuple]],
     outputs: str,
 ) -> DataFrame:
     """Adds the columns `outputs` by running `step(state, row)` down each sorted group.
@@ -38,23 +45,24 @@ def sorted_fold(
     """
     names = df.columns
     key_at = [names.index(k) for k in keys]
-    added = StructType.fromDDL(outputs).names
+    made = to_arrow_schema(StructType.fromDDL(outputs))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, group = None, None
         for batch in batches:
             results = []
-            for row in zip(*[batch[n].tolist() for n in names], strict=True):
+            for row in _rows(batch):
                 own = tuple(row[i] for i in key_at)
                 if own != group:
                     state, group = None, own
                 state, result = step(state, row)
                 results.append(result)
-            columns = list(zip(*results, strict=True)) if results else [()] * len(added)
-            yield batch.assign(**dict(zip(added, columns, strict=True)))
+            columns = list(zip(*results, strict=True)) if results else [()] * len(made)
+            added = [pa.array(c, f.type) for c, f in zip(columns, made, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*names, *made.names])
 
-    return spread(df, keys, order).mapInPandas(run, f"{schema}, {outputs}")
+    return spread(df, keys, order).mapInArrow(run, f"{schema}, {outputs}")
 
 
 def sorted_groups(
@@ -66,25 +74,30 @@ def sorted_groups(
 ) -> DataFrame:
     """`solve(key, rows)` for each group's sorted rows, many small groups to an Arrow batch.
 
-    For groups that are bounded by what they stand for (a clip's beats, one save's edits) and must
-    be seen whole. Only one group is held at a time, and a batch is not cut at every group.
+    For groups that are bounded by what they stand for (a stretch between gaps) and must be seen
+    whole. Only one group is held at a time, and a batch is not cut at every group.
     """
-    names, made = df.columns, StructType.fromDDL(schema).names
+    names, made = df.columns, to_arrow_schema(StructType.fromDDL(schema))
     key_at = [names.index(k) for k in keys]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch_of(results: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*results, strict=True)) if results else [()] * len(made)
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, made, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=made.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         for batch in batches:
             results = []
-            for row in zip(*[batch[n].tolist() for n in names], strict=True):
+            for row in _rows(batch):
                 own = tuple(row[i] for i in key_at)
                 if own != group:
                     if rows:
                         results.extend(solve(group, rows))
                     group, rows = own, []
                 rows.append(row)
-            yield pd.DataFrame(results, columns=made)
+            yield batch_of(results)
         if rows:
-            yield pd.DataFrame(solve(group, rows), columns=made)
+            yield batch_of(solve(group, rows))
 
-    return spread(df, keys, order).mapInPandas(run, schema)
+    return spread(df, keys, order).mapInArrow(run, schema)

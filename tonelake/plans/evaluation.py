@@ -673,7 +673,56 @@ def edit_rows(r: Roles, gridded):
     )
 
 
-@query("u4_replayed_edits")
+# Edits replayed list by list: the notes a list holds after each of its edits, one set per step.
+add_role(
+    "numbered_edits",
+    "edit_rows",
+    """SELECT doc_id, list_id, op, pitch, CASE WHEN op = 'add' THEN onset12 + 1 ELSE onset12 END AS onset12,
+         seq % 24 + 1 AS duration12,
+         row_number() OVER (PARTITION BY doc_id, list_id ORDER BY seq) AS i FROM edit_rows""",
+)
+add_role(
+    "edit_steps",
+    "numbered_edits merged",
+    """SELECT l.doc_id, l.list_id, 0 AS i, NULL::VARCHAR AS reason, coalesce(list({'o': m.onset12, 'p': m.pitch,
+           'd': m.duration12}) FILTER (m.pitch IS NOT NULL), []) AS held
+       FROM (SELECT DISTINCT doc_id, list_id FROM numbered_edits) l
+       LEFT JOIN merged m ON m.clip_id = l.doc_id GROUP BY 1, 2
+       UNION ALL
+       SELECT doc_id, list_id, i, reason, CASE
+         WHEN op = 'add' THEN list_append(held, {'o': onset12, 'p': pitch, 'd': duration12})
+         WHEN op = 'delete' THEN list_filter(held, lambda n: n.o <> onset12 OR n.p <> pitch)
+         WHEN op = 'set_pitch' THEN list_transform(held, lambda n: CASE WHEN n.o = onset12 AND n.p = pitch
+           THEN {'o': n.o, 'p': n.p + 1, 'd': n.d} ELSE n END)
+         ELSE list_transform(held, lambda n: CASE WHEN n.o = onset12 AND n.p = pitch
+           THEN {'o': n.o, 'p': n.p, 'd': duration12} ELSE n END) END
+       FROM (SELECT e.*, s.held, CASE
+             WHEN op <> 'add' AND len(list_filter(held, lambda n: n.o = onset12 AND n.p = pitch)) = 0
+               THEN 'absent'
+             WHEN op = 'add' AND len(list_filter(held, lambda n: n.o = onset12 AND n.p = pitch)) > 0
+               THEN 'occupied'
+             WHEN op = 'set_pitch' AND len(list_filter(held, lambda n: n.o = onset12 AND n.p = pitch + 1)) > 0
+               THEN 'occupied' END AS reason
+           FROM edit_steps s JOIN numbered_edits e
+             ON e.doc_id = s.doc_id AND e.list_id = s.list_id AND e.i = s.i + 1 WHERE s.reason IS NULL)""",
+)
+
+
+@query(
+    "u4_replayed_edits",
+    with_roles(
+        "edit_steps numbered_edits",
+        """WITH done AS (SELECT * FROM edit_steps
+          QUALIFY row_number() OVER (PARTITION BY doc_id, list_id ORDER BY i DESC) = 1)
+        SELECT doc_id, list_id, n.o AS onset12, n.p AS pitch, n.d AS duration12, NULL::INT AS string,
+          NULL::INT AS fret, NULL::INT AS rejected_at, NULL::VARCHAR AS reason
+        FROM (SELECT doc_id, list_id, unnest(held) AS n FROM done WHERE reason IS NULL)
+        UNION ALL
+        SELECT doc_id, list_id, NULL, NULL, NULL, NULL, NULL, i::INT, reason FROM done
+        WHERE reason IS NOT NULL""",
+        recursive=True,
+    ),
+)
 def replayed_edits(r: Roles):
     written = settle(gridded(r), "gridded")
     merged = rhythm.merge_duplicates(rhythm.with_durations(written))
@@ -682,7 +731,7 @@ def replayed_edits(r: Roles):
         F.col("clip_id").alias("doc_id"), "onset12", "pitch", "duration12",
         nothing.alias("string"), nothing.alias("fret"),
     )
-    return edit_ops.replay(base, edit_rows(r, written))
+    return edit_ops.replay(base, edit_rows(r, written)).drop("velocity")
 
 
 @query(
