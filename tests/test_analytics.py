@@ -284,5 +284,23 @@ def test_only_current_terms_pass_the_gate(spark):
         [(1, "free", "2026-01"), (2, "free", "2020-01"), (3, "free", None)],
         "user_id long, plan string, terms_version string",
     )
-    got = {r.request_id: r.status for r in jobs.upload_gate(requests, users, 5, 3600).collect()}
+    users = users.withColumn("plan_changed_by", F.lit(None).cast("string"))
+    nobody = spark.createDataFrame([], "user_id long, active boolean")
+    got = {r.request_id: r.status for r in jobs.upload_gate(requests, users, nobody, 5, 3600).collect()}
     assert got == {0: 201, 1: 403, 2: 403}
+
+
+def test_a_purchase_counts_at_the_gate(spark):
+    """A free user with an active purchase may send what Pro may, one whose purchase ended may not."""
+    at, size = datetime(2026, 1, 1), 100 << 20
+    requests = spark.createDataFrame(
+        [(i, i, at, "audio/mp4", size) for i in range(4)],
+        "request_id long, user_id long, at timestamp, content_type string, size_bytes long",
+    )
+    users = spark.createDataFrame(
+        [(0, "free", "2026-01", None), (1, "free", "2026-01", None), (2, "pro", "2026-01", "admin"), (3, "unlimited", "2026-01", "admin")],
+        "user_id long, plan string, terms_version string, plan_changed_by string",
+    )
+    bought = spark.createDataFrame([(0, True), (1, False), (3, True)], "user_id long, active boolean")
+    got = {r.request_id: r.status for r in jobs.upload_gate(requests, users, bought, 5, 3600).collect()}
+    assert got == {0: 201, 1: 413, 2: 201, 3: 201}

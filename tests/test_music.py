@@ -493,3 +493,18 @@ def test_versions_build_on_their_bases(spark):
         4: {"absent"},
         5: {"absent"},
     }
+
+
+def test_clips_without_usable_beats_are_notated(spark):
+    """No beat, one beat, and no downbeat weights; a clip with weights is as before."""
+    rows = [(c, i, 2_000 + 5_000 * i, 4_000 + 5_000 * i, 60, 90 if i % 4 == 1 else 40) for c in range(4) for i in range(9)]
+    notes = spark.createDataFrame(rows, NOTE)
+    beats = [(1, 0, 2_000, 5)] + [(2, i, 2_000 + 5_000 * i, None) for i in range(9)]
+    beats += [(3, i, 2_000 + 5_000 * i, 9 if i % 4 == 2 else 1) for i in range(9)]
+    df = spark.createDataFrame(beats, "clip_id bigint, beat bigint, tick bigint, downbeat_weight int")
+    score, numbers = rhythm.score_notes(notes, df)
+    got = collections.defaultdict(list)
+    for r in score.collect():
+        got[r.clip_id].append(r.onset12)
+    assert {c: sorted(v) for c, v in got.items()} == {c: [12 * i for i in range(9)] for c in range(4)}
+    assert {r.clip_id: r.pickup for r in numbers.collect()} == {0: 1, 1: 1, 2: 1, 3: 2}

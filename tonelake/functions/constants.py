@@ -127,3 +127,5 @@ METRIC_TOLERANCE = 0.025
 DIVISIONS = 12
 MAX_NOTE_BEATS = 64
 DEFAULT_VELOCITY = 80
+#: Pace of the grid for clips in which too few beats were found.
+FALLBACK_BPM = 120.0

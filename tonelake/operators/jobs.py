@@ -16,6 +16,7 @@ from tonelake.functions.constants import (
     STAGES,
     TERMS_VERSION,
 )
+from tonelake.operators.billing import effective_plan
 from tonelake.operators.limits import rate_windows
 from tonelake.operators.upserts import first_write_wins
 
@@ -380,17 +381,19 @@ def reusable_results(
 
 
 def upload_gate(
-    requests: DataFrame, users: DataFrame, limit: int, window_s: int
+    requests: DataFrame, users: DataFrame, effective: DataFrame, limit: int, window_s: int
 ) -> DataFrame:
     """Accept or refuse each upload request; the first failing check gives the status.
 
+    Sizes are held against the plan in force, a purchase in `effective` (user_id, active) included.
     Only requests of users who accepted the current terms reach the rate limit, so only those count.
     """
     sizes = F.create_map(
         *[x for plan, row in PLAN_LIMITS.items() for x in (F.lit(plan), F.lit(row[2]).cast("bigint"))]
     )
-    known = users.select("user_id", "plan", (F.col("terms_version") == TERMS_VERSION).alias("terms"))
-    with_user = requests.join(known, "user_id", "left").select(
+    terms = users.select("user_id", (F.col("terms_version") == TERMS_VERSION).alias("terms"))
+    plans = effective_plan(users, effective).select("user_id", "plan")
+    with_user = requests.join(terms, "user_id", "left").join(plans, "user_id", "left").select(
         *requests.columns,
         F.coalesce("plan", F.lit("free")).alias("plan"),
         F.coalesce("terms", F.lit(False)).alias("terms"),

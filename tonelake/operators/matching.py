@@ -13,18 +13,30 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import constants as k
 from tonelake.operators.folds import sorted_fold, sorted_groups
+from tonelake.session import settle
 
 ONSET_TOLERANCE = round(k.ONSET_TOLERANCE_S * 10_000)
 _SEGMENT = "array<struct<truth_at:bigint,truth_rank:bigint,found_at:bigint,found_rank:bigint,n:bigint>>"
 
 
+def stretches(points: DataFrame, keys: list[str], time: str, gap: int) -> DataFrame:
+    """`points` with stretch, the first time of the chain of times at most `gap` apart it lies in."""
+    order = Window.partitionBy(*keys).orderBy(time)
+    opens = F.coalesce(F.col(time) - F.lag(time).over(order) > gap, F.lit(True))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = points.withColumn("_opens", F.when(opens, F.col(time)))
+    return opened.withColumn("stretch", F.last("_opens", ignorenulls=True).over(so_far)).drop("_opens")
+
+
 def match_times(
     truth: DataFrame, found: DataFrame, keys: list[str], time: str, tolerance: int
 ) -> DataFrame:
     """Maximum matching of times at most `tolerance` apart, as runs of matched ranks.
 
     With one tolerance for all, pairing the earliest open time of one side with the earliest of
-    the other is a maximum matching, so one walk in time order is enough. Each row pairs `n` times
+    the other is a maximum matching, so one walk in time order is enough. No pair crosses a gap wider
+    than the tolerance: stretches between gaps are walked apart from each other, and those with times
+    of one side only, or with one time of each, not at all. Each row pairs `n` times
     at `truth_at` from rank `truth_rank` on with as many at `found_at` from `found_rank` on.
     """
     sides = truth.select(*keys, F.col(time).alias("at"), F.lit(1).alias("t"), F.lit(0).alias("f"))
@@ -32,7 +44,7 @@ def match_times(
         found.select(*keys, F.col(time).alias("at"), F.lit(0).alias("t"), F.lit(1).alias("f"))
     )
     counted = sides.groupBy(*keys, "at").agg(F.sum("t").alias("truths"), F.sum("f").alias("founds"))
-    at_i, t_i, f_i = len(keys), len(keys) + 1, len(keys) + 2
+    at_i, t_i, f_i = len(keys) + 1, len(keys) + 2, len(keys) + 3
 
     def pair(open_: deque, own: list[int], flip: bool) -> list[dict]:
         made = []
@@ -69,8 +81,32 @@ def match_times(
             waiting_found.append(founds)
         return (waiting_truth, waiting_found), (made,)
 
-    walked = sorted_fold(counted, keys, ["at"], step, f"segments {_SEGMENT}")
-    return walked.select(*keys, F.inline("segments"))
+    cut = stretches(counted, keys, "at", tolerance)
+    whole = Window.partitionBy(*keys, "stretch")
+    sized = cut.select(
+        "*",
+        F.count_if(F.col("truths") > 0).over(whole).alias("_truth_times"),
+        F.count_if(F.col("founds") > 0).over(whole).alias("_found_times"),
+        F.sum("truths").over(whole).alias("_truths"),
+        F.sum("founds").over(whole).alias("_founds"),
+    ).where("_truths > 0 and _founds > 0")
+    sized = settle(sized, "stretches")
+    # One time of each side, apart or the same: as many pairs as the scarcer side has.
+    plain = (F.col("_truth_times") == 1) & (F.col("_found_times") == 1)
+    zero = F.lit(0).cast("bigint")
+    direct = (
+        sized.where(plain)
+        .groupBy(*keys, "stretch")
+        .agg(
+            F.max(F.when(F.col("truths") > 0, F.col("at"))).alias("truth_at"),
+            F.max(F.when(F.col("founds") > 0, F.col("at"))).alias("found_at"),
+            F.least(F.max("_truths"), F.max("_founds")).alias("n"),
+        )
+        .select(*keys, "truth_at", zero.alias("truth_rank"), "found_at", zero.alias("found_rank"), "n")
+    )
+    names = [*keys, "stretch", "at", "truths", "founds"]
+    walked = sorted_fold(sized.where(~plain).select(*names), [*keys, "stretch"], ["at"], step, f"segments {_SEGMENT}")
+    return direct.unionByName(walked.select(*keys, F.inline("segments")))
 
 
 def matched_counts(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -183,17 +219,8 @@ def matched_with_offsets(truth: DataFrame, found: DataFrame) -> DataFrame:
         found.select(*keys, "onset", "offset", F.lit(False).alias("is_truth"))
     )
     points = sides.groupBy(*keys, "onset", "offset", "is_truth").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(*keys).orderBy("onset")
     onsets = points.select(*keys, "onset").distinct()
-    opens = F.coalesce(F.col("onset") - F.lag("onset").over(order) > ONSET_TOLERANCE, F.lit(True))
-    stretches = onsets.withColumn("opens", F.when(opens, F.col("onset"))).select(
-        *keys,
-        "onset",
-        F.last("opens", ignorenulls=True)
-        .over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        .alias("stretch"),
-    )
-    placed = points.join(stretches, [*keys, "onset"])
+    placed = points.join(stretches(onsets, keys, "onset", ONSET_TOLERANCE), [*keys, "onset"])
     both = placed.groupBy(*keys, "stretch").agg(
         F.count_if("is_truth").alias("truths"), F.count_if(~F.col("is_truth")).alias("founds")
     ).where((F.col("truths") > 0) & (F.col("founds") > 0))

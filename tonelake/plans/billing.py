@@ -199,6 +199,9 @@ _PLANS = """SELECT user_id, CASE WHEN by_store THEN 'pro' ELSE plan END AS plan,
     FROM users FULL JOIN effective USING (user_id))"""
 
 
+add_role("plans", "users effective", _PLANS)
+
+
 @query("w4_effective_plan", with_roles("users effective", _PLANS))
 def effective_plan(r: Roles):
     return ops.effective_plan(r.users(), effective(r))

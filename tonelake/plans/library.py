@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from tonelake.functions import text
 from tonelake.operators import jobs as ops
 from tonelake.operators import limits, upserts
+from tonelake.operators.billing import effective_plan
+from tonelake.plans.billing import effective
 from tonelake.plans.overview import registrations, tokens
 from tonelake.plans.registry import query
 from tonelake.plans.role_sql import add_role, with_roles
@@ -183,9 +185,10 @@ def requests(r: Roles):
 @query(
     "p10_upload_gate",
     with_roles(
-        "requests users",
-        """WITH w AS (SELECT r.*, coalesce(u.plan, 'free') AS plan,
-            coalesce(u.terms_version = '2026-01', false) AS terms FROM requests r LEFT JOIN users u USING (user_id)),
+        "requests users plans",
+        """WITH w AS (SELECT r.*, coalesce(p.plan, 'free') AS plan,
+            coalesce(u.terms_version = '2026-01', false) AS terms FROM requests r
+            LEFT JOIN users u USING (user_id) LEFT JOIN plans p USING (user_id)),
           ranked AS (SELECT *, row_number() OVER (PARTITION BY terms, user_id, epoch_us("at") //
             86400000000 ORDER BY "at", request_id) AS place FROM w)
         SELECT request_id, user_id, CASE WHEN NOT terms THEN 403 WHEN place > 2 THEN 429
@@ -195,7 +198,8 @@ def requests(r: Roles):
     ),
 )
 def upload_gate(r: Roles):
-    return ops.upload_gate(requests(r).drop("k"), r.users(), limit=2, window_s=86_400)
+    asked = requests(r).drop("k")
+    return ops.upload_gate(asked, r.users(), effective(r), limit=2, window_s=86_400)
 
 
 @query(
@@ -578,7 +582,7 @@ def rate_limit(r: Roles):
 # change their limit on the way: up and down again, to none and back, and down only.
 add_role(
     "ledger",
-    "messages users",
+    "messages plans",
     """SELECT *, CASE
           WHEN user_id % 4 = 1 AND d BETWEEN 15 AND 21 THEN 30 WHEN user_id % 4 = 1 AND d > 24 THEN 4
           WHEN user_id % 4 = 2 AND d BETWEEN 3 AND 19 THEN NULL
@@ -586,8 +590,8 @@ add_role(
           WHEN plan = 'free' THEN 10 WHEN plan = 'pro' THEN 30 END AS month_limit
        FROM (SELECT m.event_id AS entry_id, m.user_id, m.ts + INTERVAL 10 DAY AS "at",
            day(m.ts + INTERVAL 10 DAY) AS d, m.event_type = 'error' AS is_refund,
-           coalesce(u.plan, 'free') AS plan
-         FROM messages m LEFT JOIN users u USING (user_id))""",
+           coalesce(p.plan, 'free') AS plan
+         FROM messages m LEFT JOIN plans p USING (user_id))""",
 )
 # the counter replayed step by step, independently of the running sums the operator uses
 add_role(
@@ -623,7 +627,7 @@ def ledger(r: Roles):
     )
     return (
         r.messages()
-        .join(r.users().select("user_id", "plan"), "user_id", "left")
+        .join(effective_plan(r.users(), effective(r)), "user_id", "left")
         .select(
             F.col("event_id").alias("entry_id"),
             "user_id",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tonelake.operators import rhythm as ops
 from tonelake.operators import timeline
 from tonelake.plans.registry import query
-from tonelake.plans.role_sql import add_role, with_roles
+from tonelake.plans.role_sql import _CTES, add_role, with_roles
 from tonelake.sources.roles import Roles
 
 # --- shared oracle expressions: each rule replayed note by note, as the definition reads ---
@@ -307,6 +307,60 @@ def numbering(r: Roles):
     return score(r)[1]
 
 
+# Every fifth clip without beats, every fifth with one, every fifth without downbeat weights.
+_SPARSE = {
+    "all_beats": ("notes", _CTES["beats"][1]),
+    "found_beats": (
+        "all_beats",
+        """SELECT clip_id, beat, tick, CASE WHEN clip_id % 5 <> 2 THEN downbeat_weight END AS downbeat_weight
+           FROM all_beats WHERE clip_id % 5 > 1 OR (clip_id % 5 = 1 AND beat = 0)""",
+    ),
+    "beats": (
+        "found_beats notes",
+        """WITH enough AS (SELECT clip_id FROM found_beats GROUP BY 1 HAVING count(*) >= 2)
+           SELECT clip_id, beat, tick, downbeat_weight FROM found_beats JOIN enough USING (clip_id)
+           UNION ALL SELECT clip_id, b::BIGINT, min(onset) + b * 5000, NULL
+           FROM notes, range(0, 2) t(b) WHERE clip_id NOT IN (SELECT clip_id FROM enough) GROUP BY clip_id, b""",
+    ),
+    "numbering": (
+        "merged beats",
+        """WITH by_weight AS (SELECT clip_id, arg_max(p, (w, -p)) AS phase FROM (
+             SELECT clip_id, beat % 4 AS p, sum(downbeat_weight) AS w FROM beats
+             WHERE downbeat_weight IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+           by_notes AS (SELECT clip_id, arg_max(p, (w, -p)) AS phase FROM (
+             SELECT clip_id, (floor(onset12 / 12)::BIGINT % 4 + 4) % 4 AS p,
+               sum(CASE WHEN onset12 % 12 = 0 THEN velocity ELSE 0 END) AS w FROM merged GROUP BY 1, 2)
+             GROUP BY 1 HAVING max(w) > 0),
+           firsts AS (SELECT clip_id, floor(min(onset12) / 12)::BIGINT AS origin FROM merged GROUP BY 1)
+           SELECT f.clip_id, origin, coalesce(w.phase, n.phase, 0) AS phase,
+             ((coalesce(w.phase, n.phase, 0) - origin) % 4 + 4) % 4 AS pickup
+           FROM firsts f LEFT JOIN by_weight w USING (clip_id) LEFT JOIN by_notes n USING (clip_id)""",
+    ),
+}
+
+
+def sparse_score(r: Roles):
+    found = r.beats().where("clip_id % 5 > 1 or (clip_id % 5 = 1 and beat = 0)")
+    weight = F.when(F.col("clip_id") % 5 != 2, F.col("downbeat_weight"))
+    return ops.score_notes(r.notes(), found.withColumn("downbeat_weight", weight))
+
+
+@query(
+    "w20_numbering_of_sparse_beats",
+    with_roles("numbering", "SELECT clip_id, origin, pickup FROM numbering", True, _SPARSE),
+)
+def sparse_numbering(r: Roles):
+    return sparse_score(r)[1]
+
+
+@query(
+    "s7_score_of_sparse_beats",
+    with_roles("score", "SELECT clip_id, note_idx, pitch, onset12, duration12 FROM score", True, _SPARSE),
+)
+def sparse_score_notes(r: Roles):
+    return sparse_score(r)[0].select("clip_id", "note_idx", "pitch", "onset12", "duration12")
+
+
 @query(
     "s7_score_notes",
     with_roles("score", "SELECT clip_id, note_idx, pitch, onset12, duration12 FROM score", recursive=True),

@@ -119,19 +119,26 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_roles(roles: str, body: str, recursive: bool = False) -> str:
-    """`body` with the named roles (and the roles they read) in front of it."""
+def with_roles(
+    roles: str, body: str, recursive: bool = False, instead: dict[str, tuple[str, str]] | None = None
+) -> str:
+    """`body` with the named roles (and the roles they read) in front of it.
+
+    `instead` has roles, as (roles they read, SQL), that take the place of those of the same name.
+    """
+    own = {name: (tuple(needs.split()), sql) for name, (needs, sql) in (instead or {}).items()}
+    known = {**_CTES, **own}
     ordered: list[str] = []
 
     def visit(role: str) -> None:
-        for needed in _CTES[role][0]:
+        for needed in known[role][0]:
             visit(needed)
         if role not in ordered:
             ordered.append(role)
 
     for role in roles.split():
         visit(role)
-    ctes = [f"{role} AS ({_CTES[role][1]})" for role in ordered]
+    ctes = [f"{role} AS ({known[role][1]})" for role in ordered]
     body = body.strip()
     keyword = "WITH RECURSIVE" if recursive else "WITH"
     joiner = ",\n" if body.upper().startswith("WITH ") else "\n"
