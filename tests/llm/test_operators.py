@@ -107,7 +107,11 @@ def test_similar_sets_share_a_signature(ignored, parts):
             assert made[0] & made[1]
 
 
-def test_repeats_equal_every_string(docs, texts):
+@pytest.mark.parametrize("shard_bytes,shards_a_bucket", [(4 << 20, 4), (20_000, 2)])
+def test_repeats_equal_every_string(docs, texts, monkeypatch, shard_bytes, shards_a_bucket):
+    """In one shard, and in many over several buckets, with repeats across them."""
+    monkeypatch.setattr(repeats, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(repeats, "SHARDS_A_BUCKET", shards_a_bucket)
     copies = texts + [texts[3]]
     seen = collections.Counter()
     data = [(t or "").encode() for t in copies]
