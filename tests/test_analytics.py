@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonelake.functions import text
-from tonelake.operators import activity, billing, jobs, limits, quantiles, sliced, upserts
+from tonelake.operators import activity, billing, erasure, jobs, limits, quantiles, sliced, upserts
 
 NOW = datetime(2025, 3, 12, 12, 0)  # a Wednesday
 
@@ -304,3 +304,54 @@ def test_a_purchase_counts_at_the_gate(spark):
     bought = spark.createDataFrame([(0, True), (1, False), (3, True)], "user_id long, active boolean")
     got = {r.request_id: r.status for r in jobs.upload_gate(requests, users, bought, 5, 3600).collect()}
     assert got == {0: 201, 1: 413, 2: 201, 3: 201}
+
+
+def account_tables(spark):
+    """User 0 owns a third of the jobs; event 2 names two users; a run and a version have no job."""
+    jobs_of = [(j, 0 if j % 3 == 0 else j % 7 + 1) for j in range(60)]
+    return {
+        "users": spark.createDataFrame([(u,) for u in range(9)], "user_id bigint"),
+        "jobs": spark.createDataFrame(jobs_of, "job_id bigint, user_id bigint"),
+        "stage_runs": spark.createDataFrame([(j, s) for j, _ in jobs_of for s in "ab"] + [(999, "a")], "job_id bigint, stage string"),
+        "score_versions": spark.createDataFrame([(j, 0) for j, _ in jobs_of] + [(None, 1)], "job_id bigint, version int"),
+        "result_cache": spark.createDataFrame([(f"k{j}", j) for j, _ in jobs_of[:20]], "dedup_key string, job_id bigint"),
+        "subscriptions": spark.createDataFrame([(0, "p"), (1, "p"), (8, "p")], "user_id bigint, product_id string"),
+        "push_tokens": spark.createDataFrame([("t0", 0), ("t1", 1)], "token string, user_id bigint"),
+        "admin_actions": spark.createDataFrame([(1, 0, "x"), (2, 1, "y"), (3, None, "z")], "id int, target_user_id bigint, detail string"),
+        "billing_events": spark.createDataFrame([(1, [0]), (2, [3, 0]), (3, [1, 2]), (4, [])], "event_id bigint, user_ids array<bigint>"),
+    }
+
+
+def test_no_row_of_an_erased_user_is_left_in_nine_tables(spark):
+    tables = account_tables(spark)
+    kept = erasure.erase_accounts(tables, spark.createDataFrame([(0,), (0,), (77,)], "user_id bigint"))
+    rows = {name: [tuple(r) for r in df.collect()] for name, df in kept.items()}
+    assert all(kept[n].columns == tables[n].columns for n in tables)
+    mine = {j for j in range(60) if j % 3 == 0}
+    assert [u for (u,) in sorted(rows["users"])] == list(range(1, 9))
+    assert {j for j, _ in rows["jobs"]} == set(range(60)) - mine
+    assert {j for j, _ in rows["stage_runs"]} == set(range(60)) - mine | {999}
+    assert {j for j, _ in rows["score_versions"]} == set(range(60)) - mine | {None}
+    assert {j for _, j in rows["result_cache"]} == set(range(20)) - mine
+    assert sorted(rows["subscriptions"]) == [(1, "p"), (8, "p")] and rows["push_tokens"] == [("t1", 1)]
+    assert {i for i, *_ in rows["admin_actions"]} == {2, 3} and {e for e, _ in rows["billing_events"]} == {3, 4}
+    with pytest.raises(ValueError, match="no rule"):
+        erasure.erase_accounts({"waveforms": tables["users"]}, tables["users"])
+
+
+def test_erasure_is_one_change(spark, tmp_path):
+    """A change that fails half way is not seen; one that succeeds is seen in all tables; a second changes nothing."""
+    store = erasure.TableSet(spark, str(tmp_path / "store"))
+    assert store.newest() is None and store.read() == {}
+    store.change(account_tables(spark))
+    gone = spark.createDataFrame([(0,)], "user_id bigint")
+    broken = {**erasure.erase_accounts(store.read(), gone)}
+    broken["users"] = broken["users"].withColumn("user_id", F.expr("if(user_id > 5, raise_error('lost'), user_id)"))
+    with pytest.raises(Exception, match="lost"):
+        store.change({"jobs": broken["jobs"], "users": broken["users"]})
+    assert store.newest() == 0 and store.read()["jobs"].count() == 60
+    assert erasure.erase_from(store, gone) == 1
+    counts = {n: df.count() for n, df in store.read().items()}
+    assert counts["jobs"] == 40 and counts["users"] == 8 and len(counts) == 9
+    erasure.erase_from(store, gone)
+    assert {n: df.count() for n, df in store.read().items()} == counts

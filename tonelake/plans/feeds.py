@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tonelake.plans.library import runs, version_files
+from tonelake.plans.billing import subscriptions
+from tonelake.plans.library import plan_requests, result_cache, runs, version_files
 from tonelake.plans.overview import tokens
 from tonelake.plans.registry import query
 from tonelake.plans.role_sql import JOBS_AS_OF, add_role, with_roles
@@ -76,13 +77,16 @@ def accounts_without_feed(r: Roles):
 @query(
     "s1_table_scans",
     with_roles(
-        "accounts users jobs runs versions messages tokens",
+        "accounts users jobs runs versions messages tokens subscriptions plan_requests result_cache",
         """SELECT 'accounts' AS role, count(*) AS records FROM accounts UNION ALL
         SELECT 'users', count(*) FROM users UNION ALL SELECT 'jobs', count(*) FROM jobs UNION ALL
         SELECT 'stage_runs', count(*) FROM runs UNION ALL
         SELECT 'score_versions', count(*) FROM versions UNION ALL
         SELECT 'events', count(*) FROM messages UNION ALL
-        SELECT 'push_tokens', count(*) FROM tokens""",
+        SELECT 'push_tokens', count(*) FROM tokens UNION ALL
+        SELECT 'subscriptions', count(*) FROM subscriptions UNION ALL
+        SELECT 'admin_actions', count(*) FROM plan_requests UNION ALL
+        SELECT 'result_cache', count(*) FROM result_cache""",
     ),
 )
 def table_scans(r: Roles):
@@ -94,6 +98,9 @@ def table_scans(r: Roles):
         "score_versions": r.versions(),
         "events": r.messages(),
         "push_tokens": tokens(r),
+        "subscriptions": subscriptions(r),
+        "admin_actions": plan_requests(r),
+        "result_cache": result_cache(r),
     }
     out = None
     for name, df in roles.items():

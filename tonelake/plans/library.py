@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import text
 from tonelake.operators import jobs as ops
-from tonelake.operators import limits, upserts
+from tonelake.operators import erasure, limits, upserts
 from tonelake.operators.billing import effective_plan
-from tonelake.plans.billing import effective
+from tonelake.plans.billing import effective, subscriptions
 from tonelake.plans.overview import registrations, tokens
 from tonelake.plans.registry import query
 from tonelake.plans.role_sql import add_role, with_roles
@@ -874,14 +874,30 @@ def plans_after_changes(r: Roles):
     )
 
 
+add_role("result_cache", "keyed_jobs", "SELECT dedup_key, min(job_id) AS job_id FROM keyed_jobs GROUP BY 1")
+
+
+def result_cache(r: Roles):
+    return keyed_jobs(r).groupBy("dedup_key").agg(F.min("job_id").alias("job_id"))
+
+
 @query(
     "j9_account_erasure",
     with_roles(
-        "jobs runs messages tokens",
-        """WITH gone AS (SELECT DISTINCT user_id FROM messages WHERE event_type = 'error' AND k = 13),
-          keep AS (SELECT job_id FROM jobs WHERE user_id NOT IN (SELECT user_id FROM gone))
-        SELECT 'jobs' AS part, count(*) AS kept FROM keep
-        UNION ALL SELECT 'stage_runs', count(*) FROM runs WHERE job_id IN (SELECT job_id FROM keep)
+        "users jobs runs versions result_cache messages tokens subscriptions plan_requests",
+        """WITH gone AS (SELECT DISTINCT user_id FROM messages WHERE event_type = 'error' AND k % 13 < 3),
+          lost AS (SELECT job_id FROM jobs WHERE user_id IN (SELECT user_id FROM gone))
+        SELECT 'jobs' AS part, count(*) AS kept FROM jobs WHERE user_id NOT IN (SELECT user_id FROM gone)
+        UNION ALL SELECT 'users', count(*) FROM users WHERE user_id NOT IN (SELECT user_id FROM gone)
+        UNION ALL SELECT 'stage_runs', count(*) FROM runs WHERE job_id NOT IN (SELECT job_id FROM lost)
+        UNION ALL SELECT 'score_versions', count(*) FROM versions
+          WHERE job_id NOT IN (SELECT job_id FROM lost)
+        UNION ALL SELECT 'result_cache', count(*) FROM result_cache
+          WHERE job_id NOT IN (SELECT job_id FROM lost)
+        UNION ALL SELECT 'subscriptions', count(*) FROM subscriptions
+          WHERE user_id NOT IN (SELECT user_id FROM gone)
+        UNION ALL SELECT 'admin_actions', count(*) FROM plan_requests
+          WHERE user_id NOT IN (SELECT user_id FROM gone)
         UNION ALL SELECT 'push_tokens', count(*) FROM tokens
           WHERE user_id NOT IN (SELECT user_id FROM gone)
         UNION ALL SELECT 'billing_events', count(*) FROM messages
@@ -891,19 +907,20 @@ def plans_after_changes(r: Roles):
 )
 def account_erasure(r: Roles):
     m = r.messages()
-    gone = m.where((F.col("event_type") == "error") & (F.col("k") == 13)).select("user_id")
-    jobs = upserts.erase(r.jobs(), gone, "user_id")
-    events = m.select(
-        "event_id", F.array("user_id", F.col("user_id") + F.col("k")).alias("user_ids")
-    )
-    parts = {
-        "jobs": jobs,
-        "stage_runs": runs(r).join(jobs.select("job_id"), "job_id", "left_semi"),
-        "push_tokens": upserts.erase(tokens(r), gone, "user_id"),
-        "billing_events": upserts.erase_by_member(events, gone, "event_id", "user_ids"),
+    gone = m.where((F.col("event_type") == "error") & (F.col("k") % 13 < 3)).select("user_id")
+    tables = {
+        "users": r.users(),
+        "jobs": r.jobs(),
+        "stage_runs": runs(r),
+        "score_versions": r.versions(),
+        "result_cache": result_cache(r),
+        "subscriptions": subscriptions(r),
+        "push_tokens": tokens(r),
+        "admin_actions": plan_requests(r).withColumnRenamed("user_id", "target_user_id"),
+        "billing_events": m.select("event_id", F.array("user_id", F.col("user_id") + F.col("k")).alias("user_ids")),
     }
     out = None
-    for part, df in parts.items():
+    for part, df in erasure.erase_accounts(tables, gone).items():
         row = df.agg(F.count(F.lit(1)).alias("kept")).select(F.lit(part).alias("part"), "kept")
         out = row if out is None else out.unionByName(row)
     return out
