@@ -1,6 +1,7 @@
 """Streams over several files and restarts, against the batch form of the same work."""
 
 import os
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,7 +80,7 @@ def test_rate_windows_over_several_batches(spark, pieces):
     events, arrive, stream, root = pieces
     for i in range(3):
         arrive(i)
-        found = jobs.rate_windows(stream().select("user_id", "ts"), 1, "1 hour", "2 days", root)
+        found = jobs.rate_windows(stream().select("user_id", "ts"), 1, "1 hour", 2 * 86_400, root)
     expected = events.groupBy("user_id", F.window("ts", "1 hour").start.alias("w")).count()
     assert {(r.user_id, r.window_start, r.attempts) for r in found.collect()} == {
         tuple(r) for r in expected.collect()
@@ -120,7 +121,7 @@ def test_stalls_are_reported_once(spark, pieces):
 
     for i in range(3):
         arrive(i)
-        found = jobs.stalled_messages(watched(stream()), 86_400, "1 hour", root)
+        found = jobs.stalled_messages(watched(stream()), 86_400, 3600, root)
     beats = {}
     for r in watched(events).orderBy("ts").collect():
         beats.setdefault(r.message_id, []).append(r.ts)
@@ -136,6 +137,48 @@ def test_stalls_are_reported_once(spark, pieces):
     assert {(m, at) for m, at in got if (m, at) not in closed} <= {(m, at[-1]) for m, at in beats.items()}
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1), (1, 2, 0)])
+def test_any_order_of_batches_gives_one_result(spark, pieces, order):
+    """Rate windows, stage counters and silences do not depend on when rows came."""
+    events, arrive, stream, root = pieces
+    def watched(df):
+        return df.select((F.col("user_id") * 10 + F.col("k") % 10).alias("message_id"), "ts")
+
+    def handled(df):
+        return df.select("ts", F.col("event_type").alias("stage"), F.lit("x").alias("outcome"), F.col("k").cast("double").alias("duration_s"))
+
+    for i in order:
+        arrive(i)
+        rates = jobs.rate_windows(stream().select("user_id", "ts"), 1, "1 hour", 3600, root)
+        counters = jobs.stage_counters(handled(stream()), "1 day", 3600, (5.0, 30.0), root)
+        silences = jobs.stalled_messages(watched(stream()), 86_400, 3600, root)
+    expected = events.groupBy("user_id", F.window("ts", "1 hour").start.alias("w")).count()
+    assert {(r.user_id, r.window_start, r.attempts) for r in rates.collect()} == {tuple(r) for r in expected.collect()}
+    whole = handled(events).groupBy(F.window("ts", "1 day").start.alias("w"), "stage", "outcome").agg(
+        F.count("*"), F.count_if(F.col("duration_s") <= 5), F.count_if(F.col("duration_s") <= 30)
+    )
+    assert {tuple(r) for r in counters.select("window_start", "stage", "outcome", "n", "le_0", "le_1").collect()} == {
+        tuple(r) for r in whole.collect()
+    }
+    beats, want = {}, set()
+    for r in watched(events).orderBy("ts").collect():
+        beats.setdefault(r.message_id, []).append(r.ts)
+    now = max(at[-1] for at in beats.values()) - timedelta(hours=1)
+    for m, at in beats.items():
+        lost = [a for a, b in zip(at, [*at[1:], now], strict=True) if (b - a).total_seconds() > 86_400]
+        want |= {(m, a, i, "exhausted" if i == 3 else "stalled") for i, a in enumerate(lost[:3], start=1)}
+    assert {tuple(r) for r in silences.collect()} == want
+
+
+def test_rows_that_come_to_a_closed_window_are_told(spark, pieces):
+    _, arrive, stream, root = pieces
+    for i in (1, 2, 0):
+        arrive(i)
+        found = jobs.window_counts(stream(), {}, {"n": F.count(F.lit(1))}, "1 hour", 3600, root)
+    row = found.agg(F.sum("n"), F.sum("corrections")).first()
+    assert row[0] == 1000 and 290 <= row[1] <= 300
+
+
 def test_late_rows_are_set_aside(spark, pieces):
     _, arrive, stream, root = pieces
     for i in (1, 2, 0):

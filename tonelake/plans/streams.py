@@ -85,7 +85,7 @@ def synced_subscriptions(r: Roles):
 )
 def rate_windows(r: Roles):
     attempts = live(r).messages().select("user_id", "ts")
-    return jobs.rate_windows(attempts, 1, "1 hour", "1 hour", scratch_path(r.spark, "r3"))
+    return jobs.rate_windows(attempts, 1, "1 hour", 3600, scratch_path(r.spark, "r3"))
 
 
 add_role(
@@ -197,7 +197,7 @@ def state_gauge(r: Roles):
 )
 def stalled_messages(r: Roles):
     beats = live(r).messages().select((F.col("user_id") * 10 + F.expr("k div 10")).alias("message_id"), "ts")
-    return jobs.stalled_messages(beats, 86_400, "1 hour", scratch_path(r.spark, "r6"))
+    return jobs.stalled_messages(beats, 86_400, 3600, scratch_path(r.spark, "r6"))
 
 
 def failed_attempts(r: Roles):
@@ -251,7 +251,7 @@ def stage_counters(r: Roles):
     handled = live(r).stage_attempts().select(
         F.col("finished_at").alias("ts"), "stage", F.col("status").alias("outcome"), "duration_s"
     )
-    return jobs.stage_counters(handled, "7 days", "3650 days", (5.0, 30.0), scratch_path(r.spark, "r9"))
+    return jobs.stage_counters(handled, "7 days", 86_400, (5.0, 30.0), scratch_path(r.spark, "r9"))
 
 
 @query(

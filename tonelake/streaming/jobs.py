@@ -5,12 +5,8 @@ Every job takes a streaming DataFrame and a folder, runs what is available and l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tonelake.functions.constants import MAX_ATTEMPTS, MAX_DEVICES
 from tonelake.operators import billing, jobs, limits
@@ -79,51 +75,53 @@ def sync_touched_users(
 # --- rate windows and counters ---
 
 
-def _latest_update(log: BatchLog, spark: SparkSession, keys: list[str], values: list[str]) -> DataFrame:
-    return last_write_wins(log.read(spark), keys, ["batch_id"], values)
+def window_counts(
+    events: DataFrame, keys: dict[str, str], counts: dict[str, Column], width: str, delay_s: int, root: str
+) -> DataFrame:
+    """(window_start, keys, counts, corrections): counts of rows per fixed window of `ts`, late rows included.
+
+    `keys` are columns with their types. Each batch writes what it adds to each window it touches;
+    sums of these parts are the counts, so any cutting of the rows into batches, in any order, gives
+    the same ones, and a batch costs what its own rows cost. A row whose window ended more than
+    `delay_s` before the newest row of earlier batches is late: it is counted like the others, and
+    `corrections` says how many rows came to a window after it was closed. A row without a time has
+    no window.
+    """
+    names = ["window_start", *keys]
+    typed = "".join(f", {c} {kind}" for c, kind in keys.items()) + "".join(f", {n} bigint" for n in counts)
+    parts = BatchLog(f"{root}/parts", f"window_start timestamp{typed}, corrections bigint")
+    seen = BatchLog(f"{root}/seen", "newest timestamp")
 
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        newest = seen.read(batch.sparkSession, before=batch_id).agg(F.max("newest")).first()[0]
+        closed = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay_s} SECONDS")
+        windowed = batch.where("ts is not null").withColumn("w", F.window("ts", width))
+        windowed = windowed.withColumn("window_start", F.col("w.start"))
+        late = F.count_if(F.coalesce(F.col("w.end") <= closed, F.lit(False)))
+        found = windowed.groupBy(*names).agg(*[c.alias(n) for n, c in counts.items()], late.alias("corrections"))
+        parts.write(found.select(*names, *counts, "corrections"), batch_id)
+        seen.write(batch.agg(F.max("ts").alias("newest")), batch_id)
 
-def rate_windows(
-    attempts: DataFrame, limit: int, width: str, delay: str, root: str
-) -> DataFrame:
-    """Attempts per (user, fixed window), every attempt counted, and whether it went over.
+    run_available(events, on_batch, f"{root}/checkpoint")
+    rows = parts.read(events.sparkSession)
+    return rows.groupBy(*names).agg(*[F.sum(n).alias(n) for n in (*counts, "corrections")])
 
-    Windows are kept as state until the watermark passes them; each batch writes the windows it
-    changed and the newest count of a window stands.
-    """
-    log = BatchLog(f"{root}/rates", "user_id bigint, window_start timestamp, attempts bigint")
-    counts = (
-        attempts.withWatermark("ts", delay)
-        .groupBy("user_id", F.window("ts", width).alias("w"))
-        .agg(F.count(F.lit(1)).alias("attempts"))
-        .select("user_id", F.col("w.start").alias("window_start"), "attempts")
-    )
-    run_available(counts, lambda df, i: log.write(df, i), f"{root}/rates-checkpoint", "update")
-    latest = _latest_update(log, attempts.sparkSession, ["user_id", "window_start"], ["attempts"])
-    return latest.withColumn("over_limit", F.col("attempts") > limit)
+
+def rate_windows(attempts: DataFrame, limit: int, width: str, delay_s: int, root: str) -> DataFrame:
+    """Attempts per (user, fixed window), every attempt counted, and whether it went over."""
+    counts = {"attempts": F.count(F.lit(1))}
+    found = window_counts(attempts, {"user_id": "bigint"}, counts, width, delay_s, f"{root}/rates")
+    return found.select("user_id", "window_start", "attempts", (F.col("attempts") > limit).alias("over_limit"))
 
 
 def stage_counters(
-    handled: DataFrame, width: str, delay: str, bounds: tuple[float, ...], root: str
+    handled: DataFrame, width: str, delay_s: int, bounds: tuple[float, ...], root: str
 ) -> DataFrame:
     """Handled stage messages per window, stage and outcome, with cumulative duration buckets."""
-    names = [f"le_{i}" for i in range(len(bounds))]
-    schema = "window_start timestamp, stage string, outcome string, n bigint, " + ", ".join(
-        f"{n} bigint" for n in names
-    )
-    log = BatchLog(f"{root}/counters", schema)
-    counts = (
-        handled.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width).alias("w"), "stage", "outcome")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.count_if(F.col("duration_s") <= b).alias(n) for n, b in zip(names, bounds, strict=True)],
-        )
-        .select(F.col("w.start").alias("window_start"), "stage", "outcome", "n", *names)
-    )
-    run_available(counts, lambda df, i: log.write(df, i), f"{root}/counters-checkpoint", "update")
-    keys = ["window_start", "stage", "outcome"]
-    return _latest_update(log, handled.sparkSession, keys, ["n", *names])
+    counts = {"n": F.count(F.lit(1))}
+    counts |= {f"le_{i}": F.count_if(F.col("duration_s") <= b) for i, b in enumerate(bounds)}
+    keys = {"stage": "string", "outcome": "string"}
+    return window_counts(handled, keys, counts, width, delay_s, f"{root}/counters").drop("corrections")
 
 
 def split_late(events: DataFrame, delay_s: int, root: str) -> tuple[BatchLog, BatchLog]:
@@ -220,63 +218,38 @@ def stage_states(events: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-_STALL_OUT = "message_id bigint, last_seen timestamp, attempt int, outcome string"
-
-
-def stalled_messages(
-    heartbeats: DataFrame, timeout_s: int, delay: str, root: str
-) -> DataFrame:
+def stalled_messages(heartbeats: DataFrame, timeout_s: int, delay_s: int, root: str) -> DataFrame:
     """Messages whose worker went quiet for longer than the timeout, an attempt lost each time.
 
-    `heartbeats` has (message_id, ts). A silence is reported when the watermark passes its end, or
-    at the next sign of life, whichever comes first, and only once. After the last attempt the
-    message is exhausted.
+    `heartbeats` has (message_id, ts). Each batch keeps the first and last sign of life of a message
+    within each stretch of time as long as the timeout; inside one nobody can be quiet for too long, so
+    these are all that silences depend on. First and last ones of several batches merge, in whatever
+    order rows come: a late sign of life takes back the silence it falls into. A message's last silence
+    counts once the newest time, less `delay_s`, is past its end. After MAX_ATTEMPTS a message is exhausted, and
+    nothing more is said of it.
     """
+    beats = BatchLog(f"{root}/beats", "message_id bigint, stretch bigint, first timestamp, last timestamp")
 
-    def watch(
-        key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        last, attempt, told = state.get if state.exists else (None, 0, False)
-        found = []
-
-        def lost() -> None:
-            nonlocal attempt
-            attempt += 1
-            outcome = "exhausted" if attempt >= MAX_ATTEMPTS else "stalled"
-            found.append((key[0], pd.Timestamp(last, unit="us"), attempt, outcome))
-
-        if state.hasTimedOut:
-            if not told:
-                lost()
-            told = True
-        else:
-            times = pd.concat([c["ts"] for c in chunks]).sort_values()
-            for at in (times.astype("datetime64[us]").astype("int64")).tolist():
-                if attempt >= MAX_ATTEMPTS:
-                    break
-                if last is not None and at - last > timeout_s * 1_000_000 and not told:
-                    lost()
-                last, told = max(at, last or 0), False
-        state.update((last, attempt, told))
-        if not told and attempt < MAX_ATTEMPTS:
-            deadline = last // 1000 + timeout_s * 1000 + 1
-            state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(found, columns=["message_id", "last_seen", "attempt", "outcome"])
-
-    log = BatchLog(f"{root}/stalls", _STALL_OUT)
-    watched = (
-        heartbeats.withWatermark("ts", delay)
-        .groupBy("message_id")
-        .applyInPandasWithState(
-            watch,
-            _STALL_OUT,
-            "last_seen bigint, attempt int, told boolean",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        stretch = F.expr(f"unix_seconds(ts) div {timeout_s}").alias("stretch")
+        ends = (F.min("ts").alias("first"), F.max("ts").alias("last"))
+        beats.write(batch.where("ts is not null").groupBy("message_id", stretch).agg(*ends), batch_id)
+
+    run_available(heartbeats, on_batch, f"{root}/beats-checkpoint")
+    known = beats.read(heartbeats.sparkSession)
+    merged = known.groupBy("message_id", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    newest = F.lit(known.agg(F.max("last")).first()[0]).cast("timestamp")
+    order = Window.partitionBy("message_id").orderBy("stretch")
+    heard = F.coalesce(F.lead("first").over(order), newest - F.expr(f"INTERVAL {delay_s} SECONDS"))
+    quiet = F.unix_micros(F.col("heard")) - F.unix_micros("last") > timeout_s * 1_000_000
+    lost = merged.withColumn("heard", heard).where(quiet)
+    attempt = F.row_number().over(order).cast("int")
+    return lost.withColumn("attempt", attempt).where(F.col("attempt") <= MAX_ATTEMPTS).select(
+        "message_id",
+        F.col("last").alias("last_seen"),
+        "attempt",
+        F.when(F.col("attempt") >= MAX_ATTEMPTS, "exhausted").otherwise("stalled").alias("outcome"),
     )
-    run_available(watched, lambda df, i: log.write(df, i), f"{root}/stalls-checkpoint")
-    return log.read(heartbeats.sparkSession).drop("batch_id")
 
 
 def retry_ledger(failures: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
