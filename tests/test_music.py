@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tonelake.functions.constants import STANDARD_TUNING
 from tonelake.operators import bars, edits, evaluation, frames, harmony, matching, rhythm, timeline
@@ -508,3 +509,24 @@ def test_clips_without_usable_beats_are_notated(spark):
         got[r.clip_id].append(r.onset12)
     assert {c: sorted(v) for c, v in got.items()} == {c: [12 * i for i in range(9)] for c in range(4)}
     assert {r.clip_id: r.pickup for r in numbers.collect()} == {0: 1, 1: 1, 2: 1, 3: 2}
+
+
+def test_baseline_files_round_trip_and_gate(spark, tmp_path):
+    rows = [(1, "duo", "f1", 0.81234567), (1, "duo", "beat", 0.5), (2, "solo", "f1", 0.4), (3, "duo", "f1", 0.6)]
+    df = spark.createDataFrame(rows, "clip_id bigint, suite string, metric string, value double")
+    paths = [str(tmp_path / x) for x in ("a", "b")]
+    for path, frame in zip(paths, (df, df.repartition(3)), strict=True):
+        evaluation.write_baseline(evaluation.baseline_rows(frame, "1.4+abc", 0.05), path)
+    lines = [[line for f in sorted((tmp_path / x).glob("part-*")) for line in f.read_text().splitlines()] for x in "ab"]
+    assert lines[0] == lines[1] and len(lines[0]) == 5
+    kept = evaluation.read_baseline_file(spark, paths[0])
+    assert {(r.name, r.metric): r.value for r in kept.where("kind = 'clip'").collect()} == {(str(c), m): v for c, _, m, v in rows}
+    assert {(r.name, r.metric): r.value for r in kept.where("kind = 'mean'").collect()} == {
+        ("duo", "f1"): 0.7062, ("duo", "beat"): 0.5, ("solo", "f1"): 0.4,
+    }
+    assert {(r.pipeline_version, r.tolerance) for r in kept.collect()} == {("1.4+abc", 0.05)}
+    worse = df.withColumn("value", F.col("value") - F.when(F.col("clip_id") == 2, 0.06).otherwise(0.04))
+    assert [(r.clip_id, r.metric) for r in evaluation.gate(worse, kept).collect()] == [(2, "f1")]
+    evaluation.write_report(evaluation.report_with_means(df, ["beat", "f1"]), str(tmp_path / "r"))
+    text = [line for f in sorted((tmp_path / "r").glob("part-*")) for line in f.read_text().splitlines()]
+    assert "clip,1,0.500,0.812" in text and any(x.startswith("mean,duo,0.500,0.706") for x in text)

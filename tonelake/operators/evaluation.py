@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonelake.functions import constants as k
@@ -265,6 +265,58 @@ def report(metrics: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def report_with_means(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """(kind, name, one text column per metric): a row for each clip, then the means of each suite.
+
+    `metrics` has (clip_id, suite, metric, value). A mean covers the clips that have the metric.
+    """
+    clips = report(metrics, names).select(F.lit("clip").alias("kind"), F.col("clip_id").cast("string").alias("name"), *names)
+    means = suite_means(metrics).select(F.col("suite").alias("clip_id"), "metric", F.col("mean").alias("value"))
+    means = report(means, names).select(F.lit("mean").alias("kind"), F.col("clip_id").alias("name"), *names)
+    return clips.unionByName(means)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """The report as CSV with a header, clips before means, each by name."""
+    rows.repartitionByRange("kind", "name").sortWithinPartitions("kind", "name").write.option("header", True).csv(path)
+
+
+BASELINE = "pipeline_version string, tolerance double, kind string, name string, metrics map<string,double>"
+
+
+def baseline_rows(metrics: DataFrame, version: str, tolerance: float) -> DataFrame:
+    """What a baseline file holds: every clip's metrics and every suite's means, with the version that
+    made them and the drop that is allowed against them."""
+    means = suite_means(metrics)
+    long = metrics.select(F.lit("clip").alias("kind"), F.col("clip_id").cast("string").alias("name"), "metric", "value")
+    long = long.unionByName(means.select(F.lit("mean").alias("kind"), F.col("suite").alias("name"), "metric", F.col("mean").alias("value")))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("metrics")
+    head = (F.lit(version).alias("pipeline_version"), F.lit(float(tolerance)).alias("tolerance"))
+    return long.groupBy("kind", "name").agg(entries).select(*head, "kind", "name", "metrics")
+
+
+def write_baseline(rows: DataFrame, path: str) -> None:
+    """JSON lines in the order of kind and name, metrics by name: equal results give equal files."""
+    rows.repartitionByRange("kind", "name").sortWithinPartitions("kind", "name").write.json(path)
+
+
+def read_baseline_file(spark: SparkSession, path: str) -> DataFrame:
+    """(pipeline_version, tolerance, kind, name, metric, value) of a written baseline."""
+    rows = spark.read.schema(BASELINE).json(path)
+    return rows.select("pipeline_version", "tolerance", "kind", "name", F.explode("metrics").alias("metric", "value"))
+
+
+def gate(metrics: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Clips' metrics that fell below a read baseline by more than its own tolerance."""
+    kept = baseline.where("kind = 'clip'").select("name", "metric", F.col("value").alias("expected"), "tolerance")
+    now = metrics.withColumn("name", F.col("clip_id").cast("string"))
+    return (
+        now.join(kept, ["name", "metric"])
+        .where(F.col("value") < F.col("expected") - F.col("tolerance"))
+        .select("clip_id", "metric", "value", "expected")
+    )
+
+
 def baseline_documents(metrics: DataFrame) -> DataFrame:
     """Each clip's metrics as one JSON object with sorted names: at most a dozen entries."""
     entries = F.array_sort(F.collect_list(F.struct("metric", "value")))

@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 _BUCKETS = 1024
 
 
-def _with(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Join on equal keys, where a null equals a null."""
-    other = b.select(*(F.col(k) if k not in keys else F.col(k).alias(f"_{k}") for k in b.columns))
-    cond = F.lit(True)
-    for key in keys:
-        cond = cond & F.col(key).eqNullSafe(F.col(f"_{key}"))
-    return a.join(other, cond).drop(*(f"_{k}" for k in keys))
-
-
 def exact_percentiles(
     df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
@@ -24,18 +15,21 @@ def exact_percentiles(
 
     Values are counted first, then counted again in at most 1024 equal ranges per key. The running
     counts over those ranges say which range holds each wanted rank, and only the values in those
-    ranges are ordered. A key with a third of the table costs no more ordering than any other.
+    ranges are ordered. A key with a third of the table costs no more ordering than any other. Keys are
+    held in one struct, which is never null itself, so joins on it keep the grouping's partitioning
+    and a null key is a key like any other.
     """
+    names, keys = keys, ["_key"]
     counted = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("v"))
+        .groupBy(F.struct(*names).alias("_key"), F.col(value).alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     bounds = counted.groupBy(*keys).agg(
         F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("runs")
     )
     width = (F.col("high") - F.col("low")) / _BUCKETS
-    placed = _with(counted, bounds, keys).withColumn(
+    placed = counted.join(bounds, keys).withColumn(
         "bucket",
         F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / width)).otherwise(
             F.lit(0)
@@ -60,7 +54,7 @@ def exact_percentiles(
     kept = ranges.where(wanted).select(*keys, "bucket", "before")
     in_bucket = Window.partitionBy(*keys, "bucket").orderBy("v")
     ranked = (
-        _with(placed, kept, [*keys, "bucket"])
+        placed.join(kept, [*keys, "bucket"])
         .withColumn(
             "upto", F.col("before") + F.sum("n").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0))
         )
@@ -79,4 +73,5 @@ def exact_percentiles(
                 + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (position - F.floor(position))
             ).alias(name)
         )
-    return ranked.groupBy(*keys, "runs").agg(*picks).select(*keys, "runs", *results)
+    own = [F.col(f"_key.{name}").alias(name) for name in names]
+    return ranked.groupBy(*keys, "runs").agg(*picks).select(*own, "runs", *results)

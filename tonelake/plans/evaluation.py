@@ -17,7 +17,7 @@ from tonelake.plans.harmony import chroma
 from tonelake.plans.registry import query
 from tonelake.plans.rhythm import _beat_of, gridded, score
 from tonelake.plans.role_sql import add_role, with_roles
-from tonelake.session import settle
+from tonelake.session import scratch_path, settle
 from tonelake.sources.roles import Roles
 
 # --- tablature ---
@@ -561,6 +561,45 @@ def metric_report(r: Roles):
     return ops.report(metrics(r), ["note_f1", "note_recall", "beat_f"])
 
 
+_CELLS = ", ".join(
+    f"coalesce(max(printf('%.3f', round_even(value, 3))) FILTER (metric = '{m}'), '') AS {m}"
+    for m in ("note_f1", "note_recall", "beat_f")
+)
+
+
+@query(
+    "s11_report_with_means",
+    with_roles(
+        "metrics",
+        f"""SELECT 'clip' AS kind, clip_id::VARCHAR AS name, {_CELLS} FROM metrics GROUP BY clip_id
+        UNION ALL SELECT 'mean', suite, {_CELLS} FROM (SELECT suite, metric,
+          round_even((sum(round_even(value, 9)::DECIMAL(28, 9)) / count(*))::DOUBLE, 4) AS value
+          FROM metrics GROUP BY 1, 2) GROUP BY suite""",
+        recursive=True,
+    ),
+)
+def report_with_means(r: Roles):
+    return ops.report_with_means(settle(metrics(r), "metrics"), ["note_f1", "note_recall", "beat_f"])
+
+
+@query(
+    "s12_gate_on_files",
+    with_roles(
+        "metrics baseline",
+        """SELECT clip_id, metric, round(m.value, 6) AS value, round(b.value, 6) AS expected
+        FROM metrics m JOIN baseline b USING (clip_id, metric)
+        WHERE m.value < b.value - 0.015::DOUBLE""",
+        recursive=True,
+    ),
+)
+def gate_on_files(r: Roles):
+    """The gate against a baseline that was written with its tolerance and read again."""
+    rows, path = settle(metrics(r), "metrics"), scratch_path(r.spark, "baseline")
+    ops.write_baseline(ops.baseline_rows(baseline(rows), "1.4+abc", 0.015), path)
+    found = ops.gate(rows, ops.read_baseline_file(r.spark, path))
+    return found.withColumn("value", F.round("value", 6)).withColumn("expected", F.round("expected", 6))
+
+
 @query(
     "s12_baseline_round_trip",
     with_roles(

@@ -10,6 +10,7 @@ from tonelake.functions import text
 from tonelake.operators import jobs as ops
 from tonelake.operators import erasure, limits, upserts
 from tonelake.operators.billing import effective_plan
+from tonelake.operators.folds import sorted_fold
 from tonelake.plans.billing import effective, subscriptions
 from tonelake.plans.overview import registrations, tokens
 from tonelake.plans.registry import query
@@ -664,6 +665,47 @@ def monthly_usage(r: Roles):
     return limits.monthly_usage(limits.quota_admission(ledger(r)))
 
 
+# --- folds ---
+
+add_role(
+    "metered",
+    "messages",
+    """SELECT event_id, user_id, CASE WHEN k % 5 > 0 THEN k % 5 END AS meter, CASE WHEN k % 7 > 0 THEN k - 8 END AS step,
+         row_number() OVER (PARTITION BY user_id, CASE WHEN k % 5 > 0 THEN k % 5 END ORDER BY ts, event_id) AS i
+       FROM messages""",
+)
+
+
+@query(
+    "u2_meter_levels",
+    with_roles(
+        "metered",
+        """WITH level AS (
+          SELECT event_id, user_id, meter, i, greatest(0, least(20, coalesce(step, 0))) AS level FROM metered WHERE i = 1
+          UNION ALL SELECT m.event_id, m.user_id, m.meter, m.i, CASE WHEN m.step IS NULL THEN level
+            ELSE greatest(0, least(20, level + m.step)) END
+          FROM level l JOIN metered m ON m.user_id = l.user_id AND m.meter IS NOT DISTINCT FROM l.meter
+            AND m.i = l.i + 1)
+        SELECT event_id, meter, level::BIGINT AS level FROM level""",
+        recursive=True,
+    ),
+)
+def meter_levels(r: Roles):
+    """A level held between 0 and 20, row by row; meters and steps may be null."""
+    k = F.col("k")
+    rows = r.messages().select(
+        "event_id", "user_id", F.when(k % 5 > 0, k % 5).alias("meter"), "ts", F.when(k % 7 > 0, k - 8).alias("step")
+    )
+
+    def step(level, row):
+        level = max(0, min(20, (level or 0) + (row[4] or 0)))
+        return level, (level,)
+
+    return sorted_fold(rows, ["user_id", "meter"], ["ts", "event_id"], step, "level bigint").select(
+        "event_id", "meter", "level"
+    )
+
+
 # --- reuse ---
 
 _KEY = """sha256('{"audio_sha256":"' || audio_sha256 || '","config":{"capo":'
