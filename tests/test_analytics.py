@@ -355,3 +355,25 @@ def test_erasure_is_one_change(spark, tmp_path):
     assert counts["jobs"] == 40 and counts["users"] == 8 and len(counts) == 9
     erasure.erase_from(store, gone)
     assert {n: df.count() for n, df in store.read().items()} == counts
+
+
+def test_annotated_clips_are_read_by_suite(spark, tmp_path):
+    """Several files of two known suites and one unknown; other files and fields are left aside."""
+    import json
+
+    from tonelake.sources import records
+
+    for suite, names in {"guitars": ("a", "b"), "pianos": ("c",), "drums": ("d",)}.items():
+        (tmp_path / suite).mkdir()
+        for i, name in enumerate(names):
+            notes = [{"onset_s": 0.5, "offset_s": 1.0, "pitch": 60 + i, "string": 2, "fret": 1, "more": "x"}]
+            body = {"track": name, "tempo_bpm": 120.0, "notes": notes, "beats_s": [0.0, 0.5]}
+            (tmp_path / suite / f"{name}.truth.json").write_text(json.dumps(body, indent=1))
+        (tmp_path / suite / "notes.json").write_text("[]")
+    found = records.read_truth(spark, str(tmp_path), {"guitars": "guitar", "pianos": "piano"})
+    rows = {(r.suite, r.track): (r.instrument, r.notes[0].pitch, r.beats_s, r.chords) for r in found.collect()}
+    assert rows == {
+        ("guitars", "a"): ("guitar", 60, [0.0, 0.5], None),
+        ("guitars", "b"): ("guitar", 61, [0.0, 0.5], None),
+        ("pianos", "c"): ("piano", 60, [0.0, 0.5], None),
+    }

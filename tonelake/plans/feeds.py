@@ -264,6 +264,54 @@ def score_documents(r: Roles):
     )
 
 
+@query(
+    "s7_tab_documents",
+    with_roles(
+        "notes",
+        """SELECT note_idx, ((note_idx % 97) * 3)::BIGINT AS onset12, pitch::INT AS pitch,
+          (note_idx % 7)::INT AS string, (note_idx % 13)::INT AS fret, CASE WHEN note_idx % 7 > 0
+            THEN ([64, 59, 55, 50, 45, 40])[note_idx % 7] + 2 + note_idx % 13 END::INT AS sounds FROM notes""",
+    ),
+)
+def tab_documents(r: Roles):
+    i = F.col("note_idx")
+    note = F.struct(
+        F.concat((i % 97).cast("string"), F.lit("/4")).alias("onset_beats"),
+        "pitch",
+        (i % 7).alias("string"),
+        (i % 13).alias("fret"),
+    )
+    tuning = F.array(*[F.lit(p) for p in (40, 45, 50, 55, 59, 64)])
+    tab = F.struct(tuning.alias("tuning"), F.lit(2).alias("capo"), F.array(note).alias("notes"))
+    return records.tab_notes(r.notes().select("note_idx", F.to_json(tab).alias("body")))
+
+
+@query(
+    "s7_note_documents",
+    with_roles(
+        "notes",
+        """SELECT clip_id, note_idx AS doc, n::INT AS note, onset / 10000.0::DOUBLE AS onset_s,
+          "offset" / 10000.0::DOUBLE AS offset_s, (pitch + n)::INT AS pitch, velocity::INT AS velocity,
+          0.5::DOUBLE AS amplitude FROM notes, range(0, 3) t(n) WHERE n < note_idx % 4""",
+    ),
+)
+def note_documents(r: Roles):
+    """Documents of none to three notes each."""
+
+    def note(n):
+        return F.struct(
+            (F.col("onset") / 10_000).alias("onset_s"),
+            (F.col("offset") / 10_000).alias("offset_s"),
+            (F.col("pitch") + n).alias("pitch"),
+            "velocity",
+            F.lit(0.5).alias("amplitude"),
+        )
+
+    all_ = F.array(*[note(n) for n in range(3)])
+    body = F.struct(F.slice(all_, 1, (F.col("note_idx") % 4).cast("int")).alias("notes"))
+    return records.heard_notes(r.notes().select("clip_id", F.col("note_idx").alias("doc"), F.to_json(body).alias("body")))
+
+
 # --- logs ---
 
 

@@ -75,6 +75,26 @@ def synced_subscriptions(r: Roles):
     return found.select("user_id", "product_id")
 
 
+@query(
+    "s4_streamed_payloads",
+    with_roles(
+        "hooks",
+        """SELECT event_id, type, environment, event_at, array_to_string(ids, ',') AS user_ids, 'extra' AS unlisted
+        FROM hooks""",
+    ),
+)
+def streamed_payloads(r: Roles):
+    landed, _ = jobs.land_webhooks(webhook_bodies(live(r)), scratch_path(r.spark, "s4"))
+    return landed.read(r.spark).select(
+        "event_id",
+        "type",
+        "environment",
+        "event_at",
+        F.array_join("user_ids", ",").alias("user_ids"),
+        F.expr("variant_get(document, '$.event.unlisted_field', 'string')").alias("unlisted"),
+    )
+
+
 @query(
     "r3_rate_windows",
     with_roles(

@@ -31,6 +31,9 @@ ANNOTATED = f"""annotations array<struct<namespace:string,
     annotation_metadata:struct<data_source:string>,data:array<{OBSERVATION}>>>"""
 SCORE = """tempo_bpm double, pickup_beats int, notes array<struct<pitch:int,velocity:int,
     onset_beats:string,duration_beats:string,onset_s:double,offset_s:double>>"""
+TAB = """tuning array<int>, capo int,
+    notes array<struct<onset_beats:string,pitch:int,string:int,fret:int>>"""
+HEARD = "notes array<struct<onset_s:double,offset_s:double,pitch:int,velocity:int,amplitude:double>>"
 TRUTH = """track string, source string, license string, start_s double, duration_s double,
     midi_latency_s double, tempo_bpm double,
     notes array<struct<onset_s:double,offset_s:double,pitch:int,string:int,fret:int>>,
@@ -214,15 +217,40 @@ def first_tempo(docs: DataFrame, key: str, body: str = "body") -> DataFrame:
     )
 
 
-def score_notes(docs: DataFrame, body: str = "body") -> DataFrame:
-    """Notes of score documents, with beat fractions as whole twelfths of a beat."""
+def twelfths(fraction: str) -> Column:
+    """A fraction of a beat, written n/d or n, as whole twelfths."""
+    parts = F.split(F.col(fraction), "/")
+    denominator = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("1")).cast("bigint")
+    return F.try_divide(parts[0].cast("bigint") * 12, denominator).cast("bigint")
+
+
+def tab_notes(docs: DataFrame, body: str = "body") -> DataFrame:
+    """Notes of tablature documents: onset12, pitch, string, fret, and sounds, what that place sounds.
+
+    Strings count from the highest, the tuning from the lowest; a place that the tuning does not have sounds null.
+    """
     keys = [c for c in docs.columns if c != body]
+    rows = docs.select(*keys, F.from_json(body, TAB).alias("t"))
+    rows = rows.select(*keys, "t.tuning", "t.capo", F.inline("t.notes"))
+    strings = F.size("tuning")
+    open_ = F.get("tuning", strings - F.col("string"))
+    there = F.col("string").between(1, strings)
+    return rows.withColumn("onset12", twelfths("onset_beats")).select(
+        *keys, "onset12", "pitch", "string", "fret", F.when(there, open_ + F.col("capo") + F.col("fret")).alias("sounds")
+    )
 
-    def twelfths(fraction: str) -> Column:
-        parts = F.split(F.col(fraction), "/")
-        denominator = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("1")).cast("bigint")
-        return F.try_divide(parts[0].cast("bigint") * 12, denominator).cast("bigint")
 
+def heard_notes(docs: DataFrame, body: str = "body") -> DataFrame:
+    """Notes of transcription documents, numbered from 0 within each."""
+    keys = [c for c in docs.columns if c != body]
+    return docs.select(*keys, F.from_json(body, HEARD).alias("h")).select(
+        *keys, F.posexplode("h.notes").alias("note", "n")
+    ).select(*keys, "note", "n.*")
+
+
+def score_notes(docs: DataFrame, body: str = "body") -> DataFrame:
+    """Notes of score documents, with beat fractions as whole twelfths of a beat."""
+    keys = [c for c in docs.columns if c != body]
     return (
         docs.select(*keys, F.from_json(body, SCORE).alias("s"))
         .select(*keys, "s.tempo_bpm", F.inline("s.notes"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tonelake.functions.constants import MAX_ATTEMPTS, MAX_DEVICES
 from tonelake.operators import billing, jobs, limits
 from tonelake.operators.upserts import first_write_wins, last_write_wins
+from tonelake.sources import records
 from tonelake.streaming.log import BatchLog, run_available
 
 TERMINAL = ("done", "dead")
@@ -45,6 +46,32 @@ def ingest_events(
     return log
 
 
+def land_webhooks(bodies: DataFrame, root: str) -> tuple[BatchLog, BatchLog]:
+    """Store events as they were sent: typed columns and the whole document, and bodies that are none.
+
+    `bodies` has (body). A document is kept as a variant, so fields that nobody has listed yet can be
+    asked for later, whatever their type; no column changes when the store adds one. The first landing
+    of an event id stands. A body that is no JSON, or has no id, goes to the second table as text.
+    """
+    typed = "event_id string, type string, environment string, store string, product_id string, event_at timestamp"
+    landed = BatchLog(f"{root}/webhooks", f"{typed}, user_ids array<string>, document variant")
+    refused = BatchLog(f"{root}/refused", "body string")
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        rows = records.webhooks(batch.select("body")).withColumn("document", F.try_parse_json("payload"))
+        usable = F.col("event_id").isNotNull() & F.col("document").isNotNull()
+        refused.write(rows.where(~usable).select(F.col("payload").alias("body")), batch_id)
+        columns = [c for c in rows.columns if c not in ("event_id", "payload", "document")]
+        # A variant is no grouping value, so the text is folded and parsed again.
+        first = first_write_wins(rows.where(usable), ["event_id"], ["payload"], [*columns, "payload"])
+        before = landed.read(batch.sparkSession, before=batch_id).select("event_id")
+        new = first.join(before, "event_id", "left_anti")
+        landed.write(new.select("event_id", *columns, F.parse_json("payload").alias("document")), batch_id)
+
+    run_available(bodies, on_batch, f"{root}/webhooks-checkpoint")
+    return landed, refused
+
+
 def sync_touched_users(
     events: DataFrame, users: DataFrame, snapshot: DataFrame, root: str
 ) -> DataFrame:
