@@ -377,3 +377,14 @@ def test_annotated_clips_are_read_by_suite(spark, tmp_path):
         ("guitars", "b"): ("guitar", 61, [0.0, 0.5], None),
         ("pianos", "c"): ("piano", 60, [0.0, 0.5], None),
     }
+
+
+def test_domains_of_tokens_and_attempts(spark):
+    tokens = ["ExponentPushToken[a_B-9]", "ExpoPushToken[x]", "ExpoPushToken[]", "PushToken[x]", "ExpoPushToken[x]\n", "ExpoPushToken[" + "x" * 300 + "]", None]
+    df = spark.createDataFrame([(t, "ios") for t in tokens] + [("ExpoPushToken[y]", "web")], "token string, platform string")
+    good, bad = jobs.quarantine(df, jobs.domain_rules("push_tokens"))
+    assert {r.token for r in good.collect()} == set(tokens[:2])
+    assert sorted((r.reasons, r.platform) for r in bad.collect()) == [(["platform"], "web")] + [(["token"], "ios")] * 5
+    rows = [("tab", "cached", 1), ("tab", "lost", 0), ("mix", "failed", None)]
+    _, bad = jobs.quarantine(spark.createDataFrame(rows, "stage string, status string, attempt int"), jobs.domain_rules("attempts"))
+    assert sorted(r.reasons for r in bad.collect()) == [["stage", "attempt"], ["state", "attempt"]]

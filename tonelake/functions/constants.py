@@ -126,6 +126,12 @@ METRIC_TOLERANCE = 0.025
 # --- fixed values: edits ---
 DIVISIONS = 12
 MAX_NOTE_BEATS = 64
+#: States of a job and of a stage, platforms of devices, and what a push token looks like (fixed values).
+JOB_STATES = ("pending_upload", "queued", "running", "succeeded", "failed")
+STAGE_STATES = ("pending", "running", "succeeded", "failed", "skipped", "cached")
+PLATFORMS = ("ios", "android")
+PUSH_TOKEN = r"^Expo(nent)?PushToken\[[A-Za-z0-9_-]+\]\z"
+MAX_CAPO = 12
 DEFAULT_VELOCITY = 80
 #: Pace of the grid for clips in which too few beats were found.
 FALLBACK_BPM = 120.0

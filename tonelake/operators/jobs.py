@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tonelake.functions import constants as k
 from tonelake.functions import text
 from tonelake.functions.constants import (
     MAX_ATTEMPTS,
@@ -97,6 +98,38 @@ def quarantine(
     )
 
 
+def _whole_match(column: str, pattern: str) -> Column:
+    return F.col(column).rlike(pattern)
+
+
+def domain_rules(table: str) -> dict[str, Column]:
+    """What every row of a table must satisfy, by name; for `quarantine`. A null satisfies nothing.
+
+    jobs: status, capo (from config), audio_sha256, size_bytes, owner and key, which become parts of
+    object keys. attempts: stage, state, attempt. push_tokens: token, platform.
+    """
+    rules = {
+        "jobs": {
+            "status": F.col("status").isin(*k.JOB_STATES),
+            "capo": F.get_json_object("config", "$.capo").try_cast("int").between(0, k.MAX_CAPO),
+            "audio_sha256": _whole_match("audio_sha256", r"^[0-9a-f]{64}\z"),
+            "size_bytes": F.col("size_bytes") > 0,
+            "user_id": text.valid_user_id(F.col("user_id").cast("string")),
+            "job_id": text.valid_segment(F.col("job_id").cast("string")),
+        },
+        "attempts": {
+            "stage": F.col("stage").isin(*STAGES),
+            "state": F.col("status").isin(*k.STAGE_STATES),
+            "attempt": F.col("attempt") >= 1,
+        },
+        "push_tokens": {
+            "token": _whole_match("token", k.PUSH_TOKEN) & (F.length("token") <= 255),
+            "platform": F.col("platform").isin(*k.PLATFORMS),
+        },
+    }
+    return rules[table]
+
+
 # --- versions ---
 
 

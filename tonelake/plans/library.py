@@ -160,6 +160,44 @@ def quarantined_notes(r: Roles):
     return broken.select("clip_id", "note_idx", F.concat_ws(",", "reasons").alias("reasons"))
 
 
+# Job rows with a wrong state, capo, hash, size or owner here and there.
+add_role(
+    "doubtful_jobs",
+    "jobs",
+    """SELECT job_id, CASE WHEN job_id % 19 = 0 THEN 'done' ELSE status END AS status,
+         '{"capo":' || (job_id % 15) || '}' AS config, CASE WHEN job_id % 23 = 0 THEN upper(audio_sha256)
+           ELSE audio_sha256 END AS audio_sha256,
+         CASE WHEN job_id % 29 > 0 THEN size_bytes END AS size_bytes,
+         CASE WHEN job_id % 31 = 0 THEN '../' ELSE '' END || user_id AS user_id FROM jobs""",
+)
+
+
+@query(
+    "p9_quarantined_jobs",
+    with_roles(
+        "doubtful_jobs",
+        """SELECT * FROM (SELECT job_id, concat_ws(',', CASE WHEN job_id % 19 = 0 THEN 'status' END,
+            CASE WHEN job_id % 15 > 12 THEN 'capo' END,
+            CASE WHEN NOT regexp_full_match(audio_sha256, '[0-9a-f]{64}') THEN 'audio_sha256' END,
+            CASE WHEN coalesce(size_bytes, 0) <= 0 THEN 'size_bytes' END,
+            CASE WHEN NOT regexp_full_match(user_id, '[A-Za-z0-9_-]{1,128}') THEN 'user_id' END) AS reasons
+          FROM doubtful_jobs) WHERE reasons <> ''""",
+    ),
+)
+def quarantined_jobs(r: Roles):
+    i = F.col("job_id")
+    rows = r.jobs().select(
+        "job_id",
+        F.when(i % 19 == 0, "done").otherwise(F.col("status")).alias("status"),
+        F.format_string('{"capo":%d}', i % 15).alias("config"),
+        F.when(i % 23 == 0, F.upper("audio_sha256")).otherwise(F.col("audio_sha256")).alias("audio_sha256"),
+        F.when(i % 29 > 0, F.col("size_bytes")).alias("size_bytes"),
+        F.concat(F.when(i % 31 == 0, "../").otherwise(""), F.col("user_id").cast("string")).alias("user_id"),
+    )
+    _, broken = ops.quarantine(rows, ops.domain_rules("jobs"))
+    return broken.select("job_id", F.concat_ws(",", "reasons").alias("reasons"))
+
+
 add_role(
     "requests",
     "messages",
