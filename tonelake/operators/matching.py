@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from tonelake.functions import constants as k
 from tonelake.operators.folds import sorted_fold, sorted_groups
-from tonelake.session import settle
 
 ONSET_TOLERANCE = round(k.ONSET_TOLERANCE_S * 10_000)
 _SEGMENT = "array<struct<truth_at:bigint,truth_rank:bigint,found_at:bigint,found_rank:bigint,n:bigint>>"
@@ -90,7 +89,6 @@ def match_times(
         F.sum("truths").over(whole).alias("_truths"),
         F.sum("founds").over(whole).alias("_founds"),
     ).where("_truths > 0 and _founds > 0")
-    sized = settle(sized, "stretches")
     # One time of each side, apart or the same: as many pairs as the scarcer side has.
     plain = (F.col("_truth_times") == 1) & (F.col("_found_times") == 1)
     zero = F.lit(0).cast("bigint")
