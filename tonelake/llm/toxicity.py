@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.llm.common import lower_words, raw, small_batches, with_columns
@@ -19,6 +19,8 @@ WORD_SLOTS, CHAR_SLOTS, DIM, HIDDEN = 1 << 12, 1 << 14, 12, 8
 FIT_DOCS, FIT_WINDOWS = 1_600, 48
 #: Steps of a logit in which labelled documents are counted for the threshold.
 BINS = 256
+#: Share of documents that are not toxic which may reach the threshold.
+ALARMS = 0.015
 #: Words whose projected inputs a task remembers.
 WORDS_HELD = 250_000
 
@@ -79,6 +81,7 @@ class Network:
             "c": np.zeros(1, np.float32),
         }
         self.scale = (1.0, 0.0)
+        self.own = np.inf
 
     def embed(self, words: list[bytes]):
         slots, runs, offsets = inputs(words)
@@ -196,11 +199,12 @@ class Network:
             out[i : i + rows] = self.logits(proj[np.maximum(part, 0)], None if whole else live)
         return out
 
-    def train(self, windows: list[list[bytes]], doc: np.ndarray, y: np.ndarray, steps: int = 500, rows: int = 192) -> None:
+    def train(self, windows: list[list[bytes]], doc: np.ndarray, y: np.ndarray, steps: int = 400, rows: int = 192) -> np.ndarray:
         """windows and the document and label of each. A toxic document has windows that are not.
 
         First half: every window has its document's label, half of each batch from either. Second
         half: of a toxic document, only windows that score near its best one count as toxic.
+        Returns the best logit of each document, -inf of one without windows.
         """
         rng = np.random.default_rng(3)
         table = {w: i for i, w in enumerate(dict.fromkeys(w for x in windows for w in x))}
@@ -232,27 +236,52 @@ class Network:
                 s += 0.01 * (v * v - s)
                 fix = (1 - 0.99 ** (step + 1)) ** 0.5 / (1 - 0.9 ** (step + 1))
                 self.p[k] -= (rate * fix * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+        best = np.full(doc.max() + 1, -np.inf)
+        np.maximum.at(best, doc, self.score_ids(ids, self.project(words)))
+        return best
 
 
-def calibrated(top: np.ndarray, bad: np.ndarray, good: np.ndarray, at: float = 0.3) -> tuple[float, float]:
-    """Slope and shift that make a document's best logit a score: `at` where the labels part best.
+def calibrated(
+    top: np.ndarray,
+    bad: np.ndarray,
+    good: np.ndarray,
+    at: float = 0.3,
+    alarms: float = ALARMS,
+    highest: float = np.inf,
+) -> tuple[float, float]:
+    """Slope and shift that make a document's best logit a score, `at` at the threshold.
 
     top: different logits in ascending order; bad, good: how many documents of either label have
-    each as their best. The parting point is the middle of the range with the best mean of both labels' shares on
-    their side; the slope makes the middle of toxic documents 0.99.
+    each as their best. The threshold is the middle of the range that at most a share `alarms` of the
+    good ones reach, and as many toxic ones as that allows, but not above `highest`; the slope makes
+    the middle of toxic documents 0.99.
     """
-    cuts = np.concatenate([[top[0] - 1], (top[1:] + top[:-1]) / 2])
-    below = [np.concatenate([[0], np.cumsum(n)[:-1]]) / n.sum() for n in (bad, good)]
-    right = 1 - below[0] + below[1]
-    level = np.flatnonzero(right >= right.max() - 1e-9)
-    cut = float((cuts[level[0]] + cuts[level[-1]]) / 2)
+    cuts = np.concatenate([[top[0] - 1], (top[1:] + top[:-1]) / 2, [top[-1] + 1]])
+    reach = [np.concatenate([np.cumsum(n[::-1])[::-1], [0]]) for n in (bad, good)]
+    caught = np.where(reach[1] <= alarms * good.sum(), reach[0], -1)
+    level = np.flatnonzero(caught == caught.max())
+    cut = min(float((cuts[level[0]] + cuts[level[-1]]) / 2), highest)
     middle = float(top[np.searchsorted(np.cumsum(bad), bad.sum() / 2)])
     slope = (np.log(99) - np.log(at / (1 - at))) / max(middle - cut, 1e-2)
     return float(slope), float(np.log(at / (1 - at)) - slope * cut)
 
 
+def parting(best: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the range of logits with the best mean of both labels' shares on their side."""
+    top = np.unique(best)
+    cuts = np.concatenate([[top[0] - 1], (top[1:] + top[:-1]) / 2, [top[-1] + 1]])
+    below = [np.searchsorted(np.sort(best[toxic == k]), cuts) / (toxic == k).sum() for k in (1, 0)]
+    level = np.flatnonzero(below[1] - below[0] >= (below[1] - below[0]).max() - 1e-9)
+    return float((cuts[level[0]] + cuts[level[-1]]) / 2)
+
+
+def half(text: str = "text") -> Column:
+    """0 or 1 by the hash of a text, so that copies of a text are on one side."""
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
+
+
 def sampled(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS, windows: int = FIT_WINDOWS) -> list:
-    """(label, windows) of at most `per_label` documents of each label, and `windows` of each.
+    """(label, half, windows) of at most `per_label` documents of each label, and `windows` of each.
 
     The documents are those with the lowest hash of their id; of long ones, windows are taken
     at even distances.
@@ -273,40 +302,65 @@ def sampled(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS, windo
                     at = [at[i] for i in np.linspace(0, len(at) - 1, windows).astype(int)]
                 cut.append([b" ".join(words[i : i + WINDOW]).decode("utf-8", "replace") for i in at])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("toxic"), pa.array(cut, pa.list_(pa.string()))], names=["toxic", "windows"]
+                [batch.column("toxic"), batch.column("half"), pa.array(cut, pa.list_(pa.string()))],
+                names=["toxic", "half", "windows"],
             )
 
     # At most 2 * per_label rows of two numbers: small at any size of the input.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    return rows.mapInArrow(run, "toxic int, windows array<string>").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", half().alias("half"))
+    return rows.mapInArrow(run, "toxic int, half int, windows array<string>").collect()
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> Network | None:
-    """Train on labelled documents, from their texts and labels alone.
+def trained(rows: list) -> Network | None:
+    """A network from (label, windows) of documents; None without documents of both labels.
 
-    The network trains on a bounded sample. Slope and threshold come from all labelled documents, each by its
-    best window of all: the best of many windows is higher than that of the few it trained on.
-    None without documents of both labels.
-    """
-    rows = sorted((r.toxic, list(r.windows)) for r in sampled(docs, labels, per_label))
+    Its `own` is where its training texts part."""
     doc = np.array([i for i, r in enumerate(rows) for _ in r[1]], np.int64)
     y = np.array([r[0] for r in rows for _ in r[1]], np.int64)
     if not (y == 0).any() or not (y == 1).any():
         return None
     net = Network()
-    net.train([w.encode().split() for r in rows for w in r[1]], doc, y)
-    table = best_counts(docs, labels, net)
-    net.scale = calibrated(*table)
+    windows = [w.encode().split() for r in rows for w in r[1]]
+    best = net.train(windows, doc, y)
+    label = np.array([r[0] for r in rows])
+    net.own = parting(best[best > -np.inf], label[: len(best)][best > -np.inf])
+    return net
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> Network | None:
+    """Train on labelled documents, from their texts and labels alone.
+
+    The network trains on a bounded sample. Slope and threshold come from all labelled documents, each by its
+    best window of all, as a network judges it that has not seen its text: two more networks train on the
+    halves of the sample, and each judges the other half of all labelled documents. A network knows its own
+    training texts by heart, so a threshold between these would sit too high for others; it is an upper bound, as
+    with few texts the two judges know far less than the network. Where a half lacks documents of a
+    label, the network itself judges all. None without documents of both labels.
+    """
+    rows = sorted((r.toxic, list(r.windows), r.half) for r in sampled(docs, labels, per_label))
+    net = trained(rows)
+    if net is None:
+        return None
+    # The judge of half 0 comes first: it trained on half 1.
+    judges = [trained([r for r in rows if r[2] != k]) for k in (0, 1)]
+    if None in judges:
+        judges = [net, net]
+    net.scale = calibrated(*best_counts(docs, labels, judges), highest=net.own)
     return net
 
 
-def best_counts(docs: DataFrame, labels: DataFrame, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best logits of labelled documents over all their windows, in steps of 1 / BINS, ascending, and
-    how many toxic and other documents have each. Logits are bounded by the weights, so steps are few."""
+def best_counts(docs: DataFrame, labels: DataFrame, judges: list[Network]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best logits of labelled documents over all their windows, each half by its judge, in steps of
+    1 / BINS, ascending, and how many toxic and other documents have each. Logits are bounded by the
+    weights, so steps are few. A null text has no windows and is in neither half."""
     known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct()
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("toxic", "text")
     step = F.round(F.col("best") * BINS).cast("long").alias("step")
-    found = best_windows(rows, net).where("n_windows > 0").groupBy(step, "toxic").agg(F.count("*").alias("n")).collect()
+    own = docs.select("doc_id", "text").where("text is not null")
+    # The half is known before the join, so each text is shuffled for its own judge alone.
+    halves = [own.where(half() == k).join(known, "doc_id").select("toxic", "text") for k in (0, 1)]
+    best = [best_windows(rows, judge) for rows, judge in zip(halves, judges)]
+    counted = best[0].unionByName(best[1]).where("n_windows > 0").groupBy(step, "toxic")
+    found = counted.agg(F.count("*").alias("n")).collect()
     steps = sorted({r.step for r in found})
     counts = {(r.step, r.toxic): r.n for r in found}
     bad, good = (np.array([counts.get((k, toxic), 0) for k in steps]) for toxic in (1, 0))
