@@ -16,12 +16,8 @@ TREES, SAMPLE = 100, 256
 #: Labelled rows the trees are grown from at most.
 FIT_ROWS = 8_000
 BINS = 1_000
-#: The share of repetition that ordinary texts have (headings, footers, refrains).
-ORDINARY = 0.35
-#: Mean word lengths this far from the middle are those of ordinary prose.
-MIDDLE_LENGTH, USUAL_LENGTHS = 6.5, 3.5
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def counts(text: bytes, codes: Codes) -> tuple[int, ...]:
@@ -32,7 +28,7 @@ def counts(text: bytes, codes: Codes) -> tuple[int, ...]:
     chars = len(joined) - int(np.count_nonzero((np.frombuffer(joined, np.uint8) & 0xC0) == 0x80))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-    again, seen = len(lines) - len(set(lines)), 0
+    again = len(lines) - len(set(lines))
     ids = word_codes(words, codes)
     grams = gram_codes(ids, 3)
     repeated = 0
@@ -43,8 +39,7 @@ def counts(text: bytes, codes: Codes) -> tuple[int, ...]:
         for k in range(3):
             covered[hit + k] = True
         repeated = int(covered.sum())
-        seen = len(times)
-    return n, chars, symbols, again, repeated, len(lines), seen
+    return n, chars, symbols, again, repeated
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -69,21 +64,14 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def features(stats: np.ndarray) -> np.ndarray:
-    """Rates that do not depend on the length of a text. Of repeated lines,
-    words and windows only the share beyond ORDINARY counts: random splits would else single out
-    every row with one repeated line, as most rows have none."""
-    n, chars, symbols, again, repeated, lines, distinct = stats.T.astype(float)
+    """Plain rates of words: their mean length, symbols, and the share in repeated windows.
+
+    Repetition has one rate only. Repeated lines and windows say much the same, and random splits, which
+    choose among the rates evenly, would single out texts with a refrain three times as often.
+    """
+    n, chars, symbols, _, repeated = stats.T.astype(float)
     words = np.maximum(n, 1)
-    return np.stack(
-        [
-            np.maximum(np.abs(chars / words - MIDDLE_LENGTH) - USUAL_LENGTHS, 0),
-            symbols / words,
-            np.maximum(again / np.maximum(lines, 1) - ORDINARY, 0),
-            np.maximum(repeated / words - ORDINARY, 0),
-            np.maximum(1 - distinct / np.maximum(words - 2, 1) - ORDINARY, 0),
-        ],
-        axis=1,
-    )
+    return np.stack([chars / words, symbols / words, repeated / words], axis=1)
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -144,12 +132,14 @@ def base_failed(min_words: int = 50, max_repeat: int = 50) -> Column:
 
 
 def fit(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
-    """Grow the trees from rows labelled good, and set the threshold from all labelled rows.
-
-    The trees see at most `rows` labelled rows, chosen by a hash of their statistics. Rows that the base
-    rules already fail are left out, as the verdict does not concern them. The threshold is the one of BINS steps with the best mean of the shares of good rows kept and bad rows dropped
-    (the middle of equal ones); scores of all labelled rows are counted per step
-    and label in Spark. Without labelled rows of both kinds, every row is kept.
+    """Grow the trees from labelled rows of both kinds, and set the threshold from all labelled rows.
+
+    The trees see at most `rows` labelled rows, chosen by a hash of their statistics, whatever their label:
+    a tree of good rows alone cannot split a rate that is the same in all of them. Rows that the base
+    rules already fail are left out, as the verdict does not concern them. The threshold is the one of
+    BINS steps with the best mean of the shares of good rows kept and bad rows dropped (the middle of
+    equal ones); scores of all labelled rows are counted per step and label in Spark. Without labelled
+    rows of both kinds, every row is kept.
     """
     by = labels.select("doc_id", F.col("quality").alias("_good")).where("_good is not null").distinct()
     seen = stats.where(~base_failed()).join(by, "doc_id")
