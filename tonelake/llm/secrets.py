@@ -22,8 +22,11 @@ FORMS = (
 MARKOV = "markov"
 #: Characters of the models, and the runs of them that are judged.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN = "[A-Za-z0-9+/_=-]{20,}"
-NAME, LONG_NAME = "[A-Za-z0-9_-]{8,}", "[A-Za-z0-9_-]{20,}"
+LEAST = 12
+RUN = "[A-Za-z0-9+/_=-]{%d,}" % LEAST
+NAME = "[A-Za-z0-9+/_=-]{8,}"
+#: How sure the models must be that a run is random.
+SURE = 0.9
 #: Fit bounds: different texts whose samples train each model, those with the lowest hash.
 FIT_TEXTS = 4_000
 
@@ -87,10 +90,18 @@ def _pair_counts(samples: DataFrame) -> dict[tuple[str, str], int]:
     return {r.pair: r.n for r in rows if len(r.pair) == 2 and all(c in ALPHABET for c in r.pair)}
 
 
-def _log_table(counts: dict, smooth: float = 0.5) -> list[float]:
+def _log_table(counts: dict, even: bool, smooth: float = 0.5, prior: float = 4.0) -> list[float]:
+    """Log2 probabilities of each character after each other one.
+
+    What follows a rare character is drawn towards what follows any, weighing `prior` steps, as words
+    have few digits anywhere, one step in a hundred towards any character; `even` draws it towards all
+    characters alike, as random strings have them.
+    """
+    any_ = [(0 if even else sum(counts.get(a + b, 0) for a in ALPHABET)) + smooth for b in ALPHABET]
+    share = [0.99 * x / sum(any_) + 0.01 / len(ALPHABET) for x in any_]
     table = []
     for a in ALPHABET:
-        row = [counts.get(a + b, 0) + smooth for b in ALPHABET]
+        row = [counts.get(a + b, 0) + prior * p for b, p in zip(ALPHABET, share)]
         total = math.log2(sum(row))
         table += [math.log2(x) - total for x in row]
     return table
@@ -103,7 +114,7 @@ def _values(base: Column) -> Column:
 
 def samples(spans: DataFrame, texts: int = FIT_TEXTS) -> tuple[DataFrame, DataFrame]:
     """Labelled samples: values of found spans are random strings, the runs of NAME in texts
-    without any span are ordinary identifiers. Each comes from at most `texts` different texts,
+    without any span are ordinary words and identifiers. Each comes from at most `texts` different texts,
     those with the lowest hash; copies of a text count once."""
     order, holds = F.xxhash64("text"), F.size("base") > 0
     keys = spans.where("text is not null").select(order.alias("h"), holds.alias("holds")).distinct()
@@ -121,50 +132,50 @@ def samples(spans: DataFrame, texts: int = FIT_TEXTS) -> tuple[DataFrame, DataFr
 
 
 def ratio(run: Column, table: list[float]) -> Column:
-    """Mean log2 likelihood ratio of a run's steps: above 0, random strings explain it better."""
+    """Log2 likelihood ratio of a run, its different steps together: above 0, random strings explain
+    it better. A step that comes again says nothing new, so rules of dashes do not add up."""
     # One literal that is read once, in place of thousands of expressions.
     values, chars = F.from_json(F.lit(json.dumps(table)), "array<double>"), F.lit(ALPHABET)
 
-    def at(i: Column) -> Column:
-        return F.instr(chars, F.substring(run, i, F.lit(1)))
+    def at(pair: Column, i: int) -> Column:
+        return F.instr(chars, F.substring(pair, i, 1))
 
-    steps = F.sequence(F.lit(1), F.length(run) - 1)
-    total = F.aggregate(
+    places = F.sequence(F.lit(1), F.length(run) - 1)
+    steps = F.array_distinct(F.transform(places, lambda i: F.substring(run, i, F.lit(2))))
+    return F.aggregate(
         steps,
         F.lit(0.0),
-        lambda s, i: s + F.coalesce(F.get(values, (at(i) - 1) * len(ALPHABET) + at(i + 1) - 1), F.lit(0.0)),
+        lambda s, p: s + F.coalesce(F.get(values, (at(p, 1) - 1) * len(ALPHABET) + at(p, 2) - 1), F.lit(0.0)),
     )
-    return total / (F.length(run) - 1)
 
 
-def fit(spans: DataFrame, texts: int = FIT_TEXTS) -> dict:
-    """Both models as one table of log ratios, and the threshold between the labelled samples.
+def fit(spans: DataFrame, texts: int = FIT_TEXTS, sure: float = SURE) -> dict:
+    """Both models as one table of log ratios, and the threshold that a run's ratio must pass.
 
-    The threshold lies midway between the mean ratios of random and ordinary samples of RUN
-    length in all texts, each different text once. Without samples of one kind nothing is judged random.
+    The threshold is what makes a run random with probability `sure`: the odds of an ordinary run against a
+    random one before it is read, as both kinds are found in all texts, times the odds of `sure`. As
+    the whole run counts, short runs need clearer evidence at each step than long ones. Random
+    strings never count as the commoner kind. Without samples of one kind nothing is judged random.
     """
     random, names = samples(spans, texts)
     a, b = _pair_counts(random), _pair_counts(names)
     if not a or not b:
         return {"table": None, "threshold": 0.0}
-    table = [x - y for x, y in zip(_log_table(a), _log_table(b))]
-    means = mean_ratios(spans, table)
-    high, low = means.get(True, 0.0), means.get(False, -1.0)
-    return {"table": table, "threshold": (high + low) / 2}
+    table = [x - y for x, y in zip(_log_table(a, even=True), _log_table(b, even=False))]
+    found = run_counts(spans)
+    prior = math.log2(max(found.get(False, 0), 1) / max(found.get(True, 0), 1))
+    return {"table": table, "threshold": max(prior, 0.0) + math.log2(sure / (1 - sure))}
 
 
-def mean_ratios(spans: DataFrame, table: list[float]) -> dict[bool, float]:
-    """Mean ratio of the samples of at least 20 characters, of texts with spans and of texts without."""
+def run_counts(spans: DataFrame) -> dict[bool, int]:
+    """How many samples of at least LEAST characters texts with spans and texts without have, each
+    different text once."""
     holds = F.size("base") > 0
-    values = F.filter(_values(F.col("base")), lambda v: F.length(v) >= 20)
-    names = F.regexp_extract_all("text", F.lit(f"({LONG_NAME})"), F.lit(1))
-    own = F.when(holds, values).otherwise(names).alias("own")
-    rows = spans.where("text is not null").select(F.xxhash64("text").alias("h"), holds.alias("holds"), own)
-    total = F.aggregate("own", F.lit(0.0), lambda s, v: s + ratio(v, table))
-    each = rows.where(F.size("own") > 0).select("h", "holds", total.alias("total"), F.size("own").alias("n"))
-    each = each.groupBy("h", "holds").agg(F.first("total").alias("total"), F.first("n").alias("n"))
-    found = each.groupBy("holds").agg((F.sum("total") / F.sum("n")).alias("m")).collect()
-    return {r.holds: r.m for r in found}
+    values = F.size(F.filter(_values(F.col("base")), lambda v: F.length(v) >= LEAST))
+    own = F.when(holds, values).otherwise(F.regexp_count("text", F.lit(RUN)))
+    rows = spans.where("text is not null").select(F.xxhash64("text").alias("h"), holds.alias("holds"), own.alias("n"))
+    each = rows.where("n > 0").groupBy("h", "holds").agg(F.first("n").alias("n"))
+    return {r.holds: r.n for r in each.groupBy("holds").agg(F.sum("n").alias("n")).collect()}
 
 
 def scanned(docs: DataFrame, model: dict) -> DataFrame:
