@@ -26,6 +26,7 @@ from tonelake.llm import (
     secrets,
     toxicity,
 )
+from tonelake.llm.common import remainder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -201,6 +202,30 @@ def test_base_statistics_and_verdict(spark, docs, texts):
     assert quality.fit(quality.statistics(docs), labels.limit(0))["forest"] is None
 
 
+def test_quality_forest_on_rows_it_has_not_seen(spark):
+    """Texts of symbols or of overlong words among prose of which some repeats itself a little. Odd texts are
+    rare, as in the labelled rows; where they are a quarter of all, the forest drops refrains too."""
+    rng = random.Random(6)
+
+    def text(i):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(120)]
+        if i % 20 == 0:
+            words = [w + rng.choice(["##", "$|", "<>"]) for w in words]
+        elif i % 20 == 1:
+            words = [w * 3 for w in words]
+        elif i % 20 == 2:
+            words[60 : 63 + i // 20 % 6] = words[: 3 + i // 20 % 6]
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(800)] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = docs.where("doc_id < 400").select("doc_id", (F.col("doc_id") % 20 > 1).cast("int").alias("quality"))
+    out = found(quality.judged(stats := quality.statistics(docs), quality.fit(stats, labels)))
+    new = [out[i] for i in range(400, 800)]
+    assert np.mean([r.kept for r in new if r.doc_id % 20 > 1]) > 0.9
+    assert np.mean([not r.kept for r in new if r.doc_id % 20 < 2]) > 0.95
+    assert out[900].base_failed and not out[900].kept and not out[901].kept
+
+
 def test_secret_spans(spark, docs, texts):
     spans = secrets.base_spans(docs.select("doc_id", "text"))
     rows = found(spans.select("doc_id", secrets.joined("base").alias("s")))
@@ -240,9 +265,38 @@ def test_copies_of_a_text_do_not_fill_the_secret_samples(spark):
     assert len(values) == len(set(values)) == 20
     one, two = secrets.fit(plain, 20), secrets.fit(copied, 20)
     assert one["table"] == two["table"] and abs(one["threshold"] - two["threshold"]) < 1e-9
-    # The threshold is that of all texts, not of the 20.
-    means = secrets.mean_ratios(plain, one["table"])
-    assert abs(one["threshold"] - (means[True] + means[False]) / 2) < 1e-9
+    # The threshold is that of all texts, not of the 20: 60 values, and two runs in each of 60 texts.
+    assert secrets.run_counts(plain) == secrets.run_counts(copied) == {True: 60, False: 120}
+    assert abs(one["threshold"] - math.log2(2 * 0.9 / 0.1)) < 1e-9
+
+
+def test_keys_without_a_label_are_told_from_words(spark):
+    rng = random.Random(21)
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def drawn(n, chars=mixed):
+        return "".join(rng.choice(chars) for _ in range(n))
+
+    parts = ["con", "tri", "ver", "sal", "men", "ting", "able", "ness", "in", "for", "mation", "under", "stand"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(2, 5)))
+    prose = lambda: " ".join(word() for _ in range(60))
+    rows = [(i, f"{prose()} token = {drawn(24, rng.choice([mixed, '0123456789abcdef']))} end") for i in range(150)]
+    rows += [(1000 + i, prose()) for i in range(150)]
+    model = secrets.fit(secrets.base_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    plants, texts = {}, []
+    for i in range(200):
+        left, key = prose(), drawn((12, 16, 20, 32)[i % 4], (mixed, "0123456789abcdef")[i // 4 % 2])
+        texts.append((i, f"{left} {key} {prose()}"))
+        plants[i] = f"markov:{len(left) + 1}:{len(left) + 1 + len(key)}"
+    texts += [(500 + i, prose()) for i in range(200)] + [(900, None), (901, ""), (902, "-" * 40 + " " + "=" * 30)]
+    new = secrets.base_spans(spark.createDataFrame(texts, "doc_id long, text string"))
+    out = found(secrets.scanned(new, model).select("doc_id", F.size("base").alias("n"), secrets.joined("spans").alias("s")))
+    bare = [i for i in plants if out[i].n == 0]
+    assert len(bare) >= 150
+    for length in (12, 16, 20):
+        caught = [out[i].s == plants[i] for i in bare if len(texts[i][1].split()[60]) == length]
+        assert np.mean(caught) >= 0.9
+    assert all(out[i].s == "" for i in (*range(500, 700), 900, 901, 902))
 
 
 def test_unigram_base_and_model(docs, texts):
@@ -377,15 +431,57 @@ def test_toxicity_threshold_covers_all_windows_of_long_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 40 < 20).cast("int").alias("toxic"))
     model = toxicity.fit(docs, labels)
-    best = {i: r.best for i, r in found(toxicity.best_windows(docs, model)).items() if r.n_windows}
-    bad, good = ([v for i, v in best.items() if (i % 40 < 20) == kind] for kind in (True, False))
-    cuts = [min(best.values()) - 1, *best.values()]
-    most = max(np.mean(np.greater(bad, c)) + np.mean(np.less_equal(good, c)) for c in cuts)
-    out = found(toxicity.score(docs, model))
-    share = [np.mean([out[i].predicted for i in best if (i % 40 < 20) == kind]) for kind in (True, False)]
-    assert share[0] + 1 - share[1] >= most - 0.051  # one document of either kind, by the steps
-    # The middle toxic document of all scores 0.99, by the best of all its windows.
-    assert abs(np.median([out[i].score for i in best if i % 40 < 20]) - 0.99) < 0.01
+    rows = sorted((r.toxic, list(r.windows), r.half) for r in toxicity.sampled(docs, labels))
+    judges = [toxicity.trained([r for r in rows if r[2] != k]) for k in (0, 1)]
+    # Each text's best window by the network of the other half, from the windows one by one.
+    halves = {r.doc_id: r.h for r in docs.select("doc_id", toxicity.half().alias("h")).collect()}
+    want = collections.Counter()
+    for i, text in rows_of(docs):
+        words = toxicity.lower_words((text or "").encode())
+        if words:
+            net = judges[halves[i]]
+            proj = net.project(words)
+            ids = [np.arange(a, min(a + toxicity.WINDOW, len(words))) for a in toxicity.spans(len(words))]
+            best = max(float(net.score_ids(np.array([x]), proj)[0]) for x in ids)
+            want[(i % 40 < 20, round(best, 1))] += 1
+    top, bad, good = toxicity.best_counts(docs, labels, judges)
+    assert bad.sum() == good.sum() == 40
+    have = sorted(v for t, n in zip(top, bad) for v in [t] * n), sorted(v for t, n in zip(top, good) for v in [t] * n)
+    for kind, values in zip((True, False), have):
+        plain = sorted(v for (k, v), n in want.items() if k == kind for _ in range(n))
+        assert np.allclose(values, plain, atol=0.06)
+    assert np.allclose(model.scale, toxicity.calibrated(top, bad, good, highest=model.own))
+
+
+def rows_of(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def test_toxicity_threshold_by_share_of_false_alarms():
+    rng = np.random.default_rng(4)
+    for size, alarms in ((40, 0.015), (400, 0.015), (400, 0.1), (3, 0.5)):
+        logits = np.concatenate([rng.normal(2, 2, size), rng.normal(-2, 2, size)]).round(1)
+        toxic = np.arange(2 * size) < size
+        top = np.unique(logits)
+        bad, good = (np.array([((logits == t) & (toxic == kind)).sum() for t in top]) for kind in (True, False))
+        a, b = toxicity.calibrated(top, bad, good, alarms=alarms)
+        hit = a * logits + b >= np.log(0.3 / 0.7)
+        assert hit[~toxic].mean() <= alarms and a > 0
+        best = max(hits.mean() for c in [*top, top[-1] + 1] if (hits := logits[toxic] >= c) is not None
+                   and (logits[~toxic] >= c).mean() <= alarms)
+        assert hit[toxic].mean() == best
+
+
+def test_toxicity_and_quality_ignore_held_out_labels(spark):
+    """The queries learn from rows they are given: other labels of the held-out rows change no score."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"a{rng.randint(0, 60)}" for _ in range(60)) + (" vileword" * 3 if i % 3 == 0 else "")) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = remainder("doc_id", 4) == 2
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, two = (toxicity.fit(docs, x.where(~held)) for x in (labels, turned))
+    assert one.scale == two.scale and all((one.p[k] == two.p[k]).all() for k in one.p)
 
 
 def test_language_by_nearest_centroid(spark):
