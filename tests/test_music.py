@@ -1,6 +1,8 @@
 """Music operators on worked examples, and against plain walks on random and skewed input."""
 
 import collections
+import fractions
+import math
 import itertools
 import random
 
@@ -496,6 +498,41 @@ def test_versions_build_on_their_bases(spark):
     }
 
 
+def test_edited_notes_sound_where_their_beats_are(spark):
+    """Kept times stay; made ones lie between the beats, past both ends, and at an even tempo without beats."""
+    tracked = {1: [1000, 6000, 10001, 16000], 2: [3000], 3: [], 4: [0, 7000]}
+    base = spark.createDataFrame(
+        [(d, 0, 64, 12, None, None, 50, 1234, 7000 + d) for d in tracked], BASE + ", velocity int, onset bigint, offset bigint"
+    )
+    changes = [
+        ("add", 13, 60, None, 12), ("add", 55, 61, None, 7), ("add", -30, 62, None, 5), ("add", 24, 66, None, 6),
+        ("set_pitch", 24, 66, 67, None), ("set_duration", 0, 64, None, 29),
+    ]
+    rows = [(d, 1, i, *c, None, None) for d in tracked for i, c in enumerate(changes)]
+    rows += [(d, 2, 0, "set_pitch", 0, 64, 65, None, None, None) for d in tracked] + [(1, 3, 0, "delete", 9, 9, None, None, None, None)]
+    kept = edits.replay(base, spark.createDataFrame(rows, EDIT))
+    beats = spark.createDataFrame([(d, i, t) for d, ts in tracked.items() for i, t in enumerate(ts)], "clip_id bigint, beat bigint, tick bigint")
+
+    def tick(d, at):
+        ts = tracked[d] if len(tracked[d]) > 1 else [(tracked[d] or [0])[0], (tracked[d] or [0])[0] + 5000]
+        i = min(max(at // 12, 0), len(ts) - 2)
+        exact = fractions.Fraction((at - 12 * i) * (ts[i + 1] - ts[i]), 12) + ts[i]
+        return max(0, math.floor(exact + fractions.Fraction(1, 2)))
+
+    got = collections.defaultdict(dict)
+    for r in edits.with_times(kept, beats).collect():
+        got[r.doc_id, r.list_id][r.onset12, r.pitch] = r.reason or (r.onset, r.offset)
+    for d in tracked:
+        want = {(o, p): (tick(d, o), tick(d, o + n)) for o, p, n in ((13, 60, 12), (55, 61, 7), (-30, 62, 5), (24, 67, 6))}
+        assert got[d, 1] == want | {(0, 64): (1234, tick(d, 29))}
+        assert got[d, 2] == {(0, 65): (1234, 7000 + d)}
+    assert list(got[1, 3].values()) == ["absent"]
+    # Notes without any ticks, and no rows at all.
+    bare = edits.replay(base.drop("onset", "offset"), spark.createDataFrame(rows, EDIT))
+    assert edits.with_times(bare, beats).where("reason is null and (onset is null or offset is null)").isEmpty()
+    assert edits.with_times(kept.limit(0), beats.limit(0)).isEmpty()
+
+
 def test_clips_without_usable_beats_are_notated(spark):
     """No beat, one beat, and no downbeat weights; a clip with weights is as before."""
     rows = [(c, i, 2_000 + 5_000 * i, 4_000 + 5_000 * i, 60, 90 if i % 4 == 1 else 40) for c in range(4) for i in range(9)]

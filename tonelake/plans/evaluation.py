@@ -724,17 +724,18 @@ add_role(
     "edit_steps",
     "numbered_edits merged",
     """SELECT l.doc_id, l.list_id, 0 AS i, NULL::VARCHAR AS reason, coalesce(list({'o': m.onset12, 'p': m.pitch,
-           'd': m.duration12}) FILTER (m.pitch IS NOT NULL), []) AS held
+           'd': m.duration12, 's': m.onset, 'e': m."offset"}) FILTER (m.pitch IS NOT NULL), []) AS held
        FROM (SELECT DISTINCT doc_id, list_id FROM numbered_edits) l
        LEFT JOIN merged m ON m.clip_id = l.doc_id GROUP BY 1, 2
        UNION ALL
        SELECT doc_id, list_id, i, reason, CASE
-         WHEN op = 'add' THEN list_append(held, {'o': onset12, 'p': pitch, 'd': duration12})
+         WHEN op = 'add' THEN list_append(held,
+           {'o': onset12, 'p': pitch, 'd': duration12, 's': NULL::BIGINT, 'e': NULL::BIGINT})
          WHEN op = 'delete' THEN list_filter(held, lambda n: n.o <> onset12 OR n.p <> pitch)
          WHEN op = 'set_pitch' THEN list_transform(held, lambda n: CASE WHEN n.o = onset12 AND n.p = pitch
-           THEN {'o': n.o, 'p': n.p + 1, 'd': n.d} ELSE n END)
+           THEN {'o': n.o, 'p': n.p + 1, 'd': n.d, 's': n.s, 'e': n.e} ELSE n END)
          ELSE list_transform(held, lambda n: CASE WHEN n.o = onset12 AND n.p = pitch
-           THEN {'o': n.o, 'p': n.p, 'd': duration12} ELSE n END) END
+           THEN {'o': n.o, 'p': n.p, 'd': duration12, 's': n.s, 'e': NULL::BIGINT} ELSE n END) END
        FROM (SELECT e.*, s.held, CASE
              WHEN op <> 'add' AND len(list_filter(held, lambda n: n.o = onset12 AND n.p = pitch)) = 0
                THEN 'absent'
@@ -763,14 +764,51 @@ add_role(
     ),
 )
 def replayed_edits(r: Roles):
+    return replayed_lists(r).drop("velocity", "onset", "offset")
+
+
+def replayed_lists(r: Roles):
     written = settle(gridded(r), "gridded")
     merged = rhythm.merge_duplicates(rhythm.with_durations(written))
     nothing = F.lit(None).cast("int")
     base = merged.select(
         F.col("clip_id").alias("doc_id"), "onset12", "pitch", "duration12",
-        nothing.alias("string"), nothing.alias("fret"),
+        nothing.alias("string"), nothing.alias("fret"), "onset", "offset",
     )
-    return edit_ops.replay(base, edit_rows(r, written)).drop("velocity")
+    return edit_ops.replay(base, edit_rows(r, written))
+
+
+@query(
+    "u4_edited_times",
+    with_roles(
+        "edit_steps numbered_edits beats",
+        """WITH done AS (SELECT * FROM edit_steps
+          QUALIFY row_number() OVER (PARTITION BY doc_id, list_id ORDER BY i DESC) = 1),
+        kept AS (SELECT doc_id, list_id, unnest(held) AS n FROM done WHERE reason IS NULL),
+        beat_gaps AS (SELECT clip_id, beat, tick AS t0, lead(tick) OVER (PARTITION BY clip_id ORDER BY beat) AS t1
+          FROM beats),
+        beat_steps AS (SELECT * FROM beat_gaps WHERE t1 IS NOT NULL
+          UNION ALL SELECT c.doc_id, 0, coalesce(min(b.tick), 0), coalesce(min(b.tick), 0) + 5000
+          FROM (SELECT DISTINCT doc_id FROM kept) c LEFT JOIN beats b ON b.clip_id = c.doc_id
+          GROUP BY 1 HAVING count(b.tick) < 2),
+        step_ends AS (SELECT clip_id, min(beat) AS first, max(beat) AS last FROM beat_steps GROUP BY 1),
+        ends AS (SELECT k.*, least(greatest(floor(n.o / 12), first), last)::BIGINT AS b0,
+            least(greatest(floor((n.o + n.d) / 12), first), last)::BIGINT AS b1
+          FROM kept k JOIN step_ends ON clip_id = doc_id)
+        SELECT doc_id, list_id, n.o AS onset12, n.p AS pitch, n.d AS duration12,
+          coalesce(n.s, greatest(0, x.t0 + floor((n.o - b0 * 12) * (x.t1 - x.t0) / 12 + 0.5))::BIGINT) AS onset,
+          coalesce(n.e, greatest(0, y.t0 + floor((n.o + n.d - b1 * 12) * (y.t1 - y.t0) / 12 + 0.5))::BIGINT)
+            AS "offset"
+        FROM ends JOIN beat_steps x ON x.clip_id = doc_id AND x.beat = b0
+          JOIN beat_steps y ON y.clip_id = doc_id AND y.beat = b1""",
+        recursive=True,
+    ),
+)
+def edited_times(r: Roles):
+    """When the notes of accepted lists sound: as recorded, or by the beats where an edit made the time."""
+    kept = replayed_lists(r).where("reason is null")
+    timed = edit_ops.with_times(kept, r.beats())
+    return timed.select("doc_id", "list_id", "onset12", "pitch", "duration12", "onset", "offset")
 
 
 @query(
