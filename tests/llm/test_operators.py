@@ -457,6 +457,16 @@ def rows_of(docs):
     return [(r.doc_id, r.text) for r in docs.collect()]
 
 
+def test_rows_with_a_key_always_pass_the_bit_map(spark):
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    keys = docs.where("doc_id % 7 = 0").select(F.col("doc_id").cast("int").alias("doc_id"))
+    for bits in (6, 8, 20):
+        left = {r.doc_id for r in toxicity.perhaps_in(docs, keys, bits).collect()}
+        assert left >= set(range(0, 2_000, 7))
+    assert len(left) < 320
+    assert toxicity.perhaps_in(docs, keys.limit(0)).isEmpty()
+
+
 def test_toxicity_threshold_by_share_of_false_alarms():
     rng = np.random.default_rng(4)
     for size, alarms in ((40, 0.015), (400, 0.015), (400, 0.1), (3, 0.5)):

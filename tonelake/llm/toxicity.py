@@ -21,6 +21,8 @@ FIT_DOCS, FIT_WINDOWS = 1_600, 48
 BINS = 256
 #: Share of documents that are not toxic which may reach the threshold.
 ALARMS = 0.015
+#: Places, as a power of two, of the bit map that tells labelled documents from others.
+KEY_BITS = 25
 #: Words whose projected inputs a task remembers.
 WORDS_HELD = 250_000
 
@@ -349,13 +351,35 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS) -> Networ
     return net
 
 
+def perhaps_in(docs: DataFrame, keys: DataFrame, bits: int = KEY_BITS) -> DataFrame:
+    """Rows of (doc_id, text) that may have a doc_id of `keys`, so that a join need not shuffle the others.
+
+    A bit map of 2 ** bits places, of one size for any number of keys, tells most others apart; the
+    join still decides. With far more keys than places nearly all rows pass, with the same result.
+    """
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << bits))
+    words = keys.select(slot.alias("slot")).groupBy(F.expr("slot >> 6").alias("word"))
+    # At most 2 ** (bits - 6) rows of two numbers.
+    found = words.agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask")).collect()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[[r.word for r in found]] = [r.mask for r in found]
+    held = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array((held.value[at >> 6] >> (at & 63)) & 1 == 1)).select(["doc_id", "text"])
+
+    return docs.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, docs.schema)
+
+
 def best_counts(docs: DataFrame, labels: DataFrame, judges: list[Network]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best logits of labelled documents over all their windows, each half by its judge, in steps of
     1 / BINS, ascending, and how many toxic and other documents have each. Logits are bounded by the
     weights, so steps are few. A null text has no windows and is in neither half."""
     known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").distinct()
     step = F.round(F.col("best") * BINS).cast("long").alias("step")
-    own = docs.select("doc_id", "text").where("text is not null")
+    own = perhaps_in(docs.select("doc_id", "text").where("text is not null"), known)
     # The half is known before the join, so each text is shuffled for its own judge alone.
     halves = [own.where(half() == k).join(known, "doc_id").select("toxic", "text") for k in (0, 1)]
     best = [best_windows(rows, judge) for rows, judge in zip(halves, judges)]
