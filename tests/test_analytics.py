@@ -5,8 +5,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tonelake.functions import constants as k
 from tonelake.functions import text
 from tonelake.operators import activity, billing, erasure, jobs, limits, quantiles, sliced, upserts
+from tonelake.plans import library
+from tonelake.sources.roles import Roles
 
 NOW = datetime(2025, 3, 12, 12, 0)  # a Wednesday
 
@@ -388,3 +391,21 @@ def test_domains_of_tokens_and_attempts(spark):
     rows = [("tab", "cached", 1), ("tab", "lost", 0), ("mix", "failed", None)]
     _, bad = jobs.quarantine(spark.createDataFrame(rows, "stage string, status string, attempt int"), jobs.domain_rules("attempts"))
     assert sorted(r.reasons for r in bad.collect()) == [["stage", "attempt"], ["state", "attempt"]]
+
+
+def test_stage_costs_beyond_64_bits(spark, tmp_path):
+    """Two attempts three centuries apart in each of 2,000 jobs: more microseconds than 64 bits hold."""
+    rows = [
+        (job, 1, 1, at, 1, 5.0, "N", datetime(year, 1, 1))
+        for job in range(2000)
+        for at, year in ((2, 1700), (2, 2000), (3, 1700))
+    ]
+    schema = """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice int,
+        l_quantity double, l_returnflag string, l_shipdate timestamp_ntz"""
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    between = (datetime(2000, 1, 1) - datetime(1700, 1, 1)) // timedelta(microseconds=1)
+    found = {r.stage: r for r in library.stage_costs(Roles(spark, str(tmp_path))).collect()}
+    second, third = (found[k.STAGES[i]] for i in (1, 2))
+    assert (second.jobs, second.compute_us, second.overhead_us) == (2000, 2 * 2000 * 5_000_000, 2000 * (between - 5_000_000))
+    assert third.gap_us == -2000 * (between + 5_000_000)
+    assert 2000 * between > 2**63

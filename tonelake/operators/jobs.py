@@ -287,16 +287,24 @@ def stage_gaps(attempts: DataFrame) -> DataFrame:
 
 
 def stage_costs(attempts: DataFrame) -> DataFrame:
-    """Where the time of each stage goes: computing, overhead around it, waiting before it."""
+    """Where the time of each stage goes: computing, overhead around it, waiting before it.
+
+    The sums are decimals: microseconds of some ten million jobs with years between their attempts
+    go beyond 64 bits.
+    """
     spent = F.col("end_us") - F.col("start_us")
+
+    def total(micros: Column) -> Column:
+        return F.sum(micros.cast("decimal(20,0)"))
+
     return (
         stage_gaps(attempts)
         .groupBy("stage")
         .agg(
             F.count(F.lit(1)).alias("jobs"),
-            F.sum("compute_us").alias("compute_us"),
-            F.sum(spent - F.col("compute_us")).alias("overhead_us"),
-            F.coalesce(F.sum("gap_us"), F.lit(0)).alias("gap_us"),
+            total(F.col("compute_us")).alias("compute_us"),
+            total(spent - F.col("compute_us")).alias("overhead_us"),
+            F.coalesce(total(F.col("gap_us")), F.lit(0)).alias("gap_us"),
         )
     )
 

@@ -534,7 +534,13 @@ def stage_gaps(r: Roles):
     ),
 )
 def stage_costs(r: Roles):
-    return ops.stage_costs(r.stage_attempts())
+    """Whole microseconds; decimals where one of the few sums is beyond 64 bits."""
+    sums = ["compute_us", "overhead_us", "gap_us"]
+    costs = settle(ops.stage_costs(r.stage_attempts()), "stage_costs")
+    longest = costs.agg(*[F.max(F.abs(c)) for c in sums]).first()
+    if max((n for n in longest if n is not None), default=0) >= 2**63:
+        return costs
+    return costs.select("stage", "jobs", *[F.col(c).cast("bigint").alias(c) for c in sums])
 
 
 # --- queue ---
