@@ -421,6 +421,18 @@ def test_toxicity_learns_words_and_empty_texts_score_zero(spark):
     assert toxicity.fit(docs, labels.limit(0)) is None
 
 
+def test_toxicity_training_holds_no_lists_of_words(monkeypatch):
+    """Windows are read once, and inputs of words are made in blocks, whatever their number."""
+    rng = random.Random(5)
+    windows = [[b"w%d" % rng.randrange(20_000) for _ in range(24)] for _ in range(600)]
+    y = np.arange(600) % 2
+    seen, embed = [], toxicity.Network.embed
+    monkeypatch.setattr(toxicity.Network, "embed", lambda net, words: seen.append(len(words)) or embed(net, words))
+    one, other = toxicity.Network(), toxicity.Network()
+    assert np.array_equal(one.train(iter(windows), np.arange(600), y, steps=4), other.train(windows, np.arange(600), y, steps=4))
+    assert len({w for x in windows for w in x}) > toxicity.WORDS_AT_ONCE >= max(seen)
+
+
 def test_toxicity_threshold_covers_all_windows_of_long_texts(spark):
     rng = random.Random(3)
     clean = [[f"a{rng.randint(0, 3000)}" for _ in range(2_400)] for _ in range(40)]

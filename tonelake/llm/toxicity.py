@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ ALARMS = 0.015
 KEY_BITS = 25
 #: Words whose projected inputs a task remembers.
 WORDS_HELD = 250_000
+#: Words whose inputs are made at once.
+WORDS_AT_ONCE = 8_192
 
 _EDGES = b".,;:!?\"'()[]{}<>-_*#%&$|/\\~`+="
 
@@ -97,8 +99,11 @@ class Network:
         return np.concatenate([self.p["word"][slots], char], axis=1), (slots, runs, count)
 
     def project(self, words: list[bytes]) -> np.ndarray:
-        """What each word adds to the gates of both directions."""
-        return self.embed(words)[0] @ self.p["w"] + self.p["b"]
+        """What each word adds to the gates of both directions; words go in blocks, to hold few runs at a time."""
+        out = np.empty((len(words), 6 * HIDDEN), np.float32)
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            out[i : i + WORDS_AT_ONCE] = self.embed(words[i : i + WORDS_AT_ONCE])[0] @ self.p["w"] + self.p["b"]
+        return out
 
     @staticmethod
     def _walk(x: np.ndarray, u: np.ndarray, live: np.ndarray | None, tape: list | None) -> np.ndarray:
@@ -201,19 +206,20 @@ class Network:
             out[i : i + rows] = self.logits(proj[np.maximum(part, 0)], None if whole else live)
         return out
 
-    def train(self, windows: list[list[bytes]], doc: np.ndarray, y: np.ndarray, steps: int = 400, rows: int = 192) -> np.ndarray:
+    def train(self, windows: Iterable[list[bytes]], doc: np.ndarray, y: np.ndarray, steps: int = 400, rows: int = 192) -> np.ndarray:
         """windows and the document and label of each. A toxic document has windows that are not.
+        Windows are read once, each word kept once: as lists of words they would take the driver's memory.
 
         First half: every window has its document's label, half of each batch from either. Second
         half: of a toxic document, only windows that score near its best one count as toxic.
         Returns the best logit of each document, -inf of one without windows.
         """
         rng = np.random.default_rng(3)
-        table = {w: i for i, w in enumerate(dict.fromkeys(w for x in windows for w in x))}
-        words = list(table)
-        ids = np.full((len(windows), WINDOW), -1, np.int64)
+        table: dict[bytes, int] = {}
+        ids = np.full((len(doc), WINDOW), -1, np.int32)
         for i, x in enumerate(windows):
-            ids[i, : len(x)] = [table[w] for w in x]
+            ids[i, : len(x)] = [table.setdefault(w, len(table)) for w in x]
+        words = list(table)
         good, bad = np.flatnonzero(y == 0), np.flatnonzero(y == 1)
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         for step in range(steps):
@@ -322,7 +328,7 @@ def trained(rows: list) -> Network | None:
     if not (y == 0).any() or not (y == 1).any():
         return None
     net = Network()
-    windows = [w.encode().split() for r in rows for w in r[1]]
+    windows = (w.encode().split() for r in rows for w in r[1])
     best = net.train(windows, doc, y)
     label = np.array([r[0] for r in rows])
     net.own = parting(best[best > -np.inf], label[: len(best)][best > -np.inf])
