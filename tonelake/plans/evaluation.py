@@ -769,7 +769,7 @@ def replayed_edits(r: Roles):
 
 def replayed_lists(r: Roles):
     written = settle(gridded(r), "gridded")
-    merged = rhythm.merge_duplicates(rhythm.with_durations(written))
+    merged = settle(rhythm.merge_duplicates(rhythm.with_durations(written)), "merged")
     nothing = F.lit(None).cast("int")
     base = merged.select(
         F.col("clip_id").alias("doc_id"), "onset12", "pitch", "duration12",
