@@ -27,8 +27,21 @@ def spread(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartition(partitions, *keys).sortWithinPartitions(*keys, *by)
 
 
+def _values(column: pa.Array) -> list:
+    """A column as Python values. Numbers without nulls go through NumPy, several times as fast as one by one."""
+    kind = column.type
+    if not column.null_count and (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not column.null_count and pa.types.is_list(kind) and len(column):
+        first = column.offsets[0].as_py()
+        ends = (column.offsets.to_numpy() - first).tolist()
+        flat = _values(column.flatten())
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+    return column.to_pylist()
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*[column.to_pylist() for column in batch.columns], strict=True)
+    return zip(*[_values(column) for column in batch.columns], strict=True)
 
 
 def sorted_fold(
