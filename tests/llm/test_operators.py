@@ -322,6 +322,37 @@ def test_exchange_finds_alternating_classes():
     assert len(set(of[:4])) == 1 and len(set(of[4:8])) == 1 and of[0] != of[4]
 
 
+def alternating(rng, first, second, length):
+    return " ".join(rng.choice((first, second)[i % 2]) for i in range(length))
+
+
+def test_words_beyond_the_core_are_classed_by_their_neighbours(spark):
+    rng = random.Random(2)
+    first, second = [f"a{i}" for i in range(10)], [f"b{i}" for i in range(10)]
+    texts = [alternating(rng, first, second, 200) for _ in range(20)]
+    rare = {w: f"{rng.choice(second)} {w} {rng.choice(second)}" for w in ("xone", "ytwo", "zthree", "ufour")}
+    rows = [(t,) for t in [*texts, *list(rare.values()) * 4, "b1 once b2"]]
+    fitted = brown.fit(spark.createDataFrame(rows, "text string"), clustered=20)
+    codes = brown.WordCodes()
+    kinds = {r.code: r.kind for r in fitted["words"].collect()}
+    got = {kinds[int(np.uint64(codes[w.encode()]).view(np.int64))] for w in rare}
+    held = dict(zip(fitted["model"]["held"].tolist(), fitted["model"]["held_kind"].tolist()))
+    assert got <= {held[codes[w.encode()]] for w in first}
+    assert int(np.uint64(codes[b"once"]).view(np.int64)) not in kinds
+    assert held[codes[b"once"]] >= brown.CLASSES
+
+
+@pytest.mark.parametrize("held", [50, 120])
+def test_joined_classes_score_as_held_ones(spark, docs, monkeypatch, held):
+    want = found(brown.scored(docs.select("doc_id", "text"), brown.fit(docs.select("text"), clustered=50)))
+    monkeypatch.setattr(brown, "HELD_WORDS", held)
+    rows = found(brown.scored(docs.select("doc_id", "text"), brown.fit(docs.select("text"), clustered=50)))
+    assert rows.keys() == want.keys()
+    for key, r in rows.items():
+        assert (r.n_tokens, r.n_known) == (want[key].n_tokens, want[key].n_known)
+        assert (r.base_score, r.score) == (pytest.approx(want[key].base_score), pytest.approx(want[key].score))
+
+
 def test_passages_with_substitutions_are_found(spark, docs):
     rng = random.Random(9)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(40)]

@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 from tonelake.llm.common import CODES_HELD, lower_words, raw, small_batches
 from tonelake.llm.scratch import written
 
-#: Frequent words that are clustered, the classes they get, and the classes of endings that all
-#: other words belong to.
+#: Frequent words exchanged over the classes, the classes, and the classes of endings that rare and
+#: unseen words belong to.
 CLUSTERED, CLASSES, ENDINGS = 2_048, 64, 32
-#: Frequent words whose counts every task holds (1 MB); counts of the others are joined.
-HELD_WORDS = 65_536
+#: Times a word must occur in training to be put into a class by its neighbours.
+SEEN = 3
+#: Frequent words whose counts and classes every task holds (6 MB); those of the others are joined.
+HELD_WORDS = 262_144
+#: Places, as a power of two, of the bit map that tells words seen SEEN times from rarer ones (4 MB).
+SEEN_BITS = 25
+#: Words whose gains are computed at once.
+WORDS_AT_ONCE = 256
 #: The end of a text: a token of its own, in a class of its own, and what stands before the first word.
 END_CODE = np.uint64(xxhash.xxh3_64_intdigest(b"\n") & ~31)
 END_CLASS = CLASSES + ENDINGS
@@ -48,26 +54,51 @@ def tokens(texts: list[bytes], codes: WordCodes) -> tuple[np.ndarray, np.ndarray
     return flat, stops
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(code, n) of every token of every text. Tasks add up before they shuffle."""
+def encoded(docs: DataFrame) -> DataFrame:
+    """codes: every text's tokens, its end included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, size = WordCodes(), [], 0
+        codes = WordCodes()
+        for batch in small_batches(batches, "text", 2_000_000):
+            flat, stops = tokens(raw(batch.column("text")), codes)
+            offsets = pa.array(np.concatenate([[0], stops]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([lists], names=["codes"])
+
+    return docs.select("text").mapInArrow(run, "codes array<long>")
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[np.ndarray]:
+    """All codes of some texts one after the other, about `limit` at a time."""
+    for batch in batches:
+        sizes = np.diff(batch.column("codes").offsets.to_numpy())
+        start = 0
+        while start < len(sizes):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), limit, "right")))
+            yield batch.column("codes").slice(start, n).flatten().to_numpy().view(np.uint64)
+            start += n
+
+
+def token_counts(texts: DataFrame) -> DataFrame:
+    """(code, n) of every token of encoded texts. Tasks add up before they shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
         def added() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], names=["code", "n"])
 
-        for batch in small_batches(batches, "text", 2_000_000):
-            held.append(tokens(raw(batch.column("text")), codes)[0])
-            size += len(held[-1])
+        for code in _decoded(batches):
+            held.append(code)
+            size += len(code)
             if size > 3_000_000:
                 yield added()
                 held, size = [], 0
         if held:
             yield added()
 
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def _places(flat: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -78,14 +109,28 @@ def _places(flat: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == flat, at, -1)
 
 
-def symbol_pairs(docs: DataFrame, clustered: np.ndarray) -> DataFrame:
-    """(a, b, n): how often symbol b follows a. Symbols are the clustered words, then the classes of
-    endings, then the end; there are a fixed number of them."""
-    held = docs.sparkSession.sparkContext.broadcast(clustered)
+def _held_places(code: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Where each code is among the sorted held words, their number for the end, -1 for another word."""
+    at = _places(code, held)
+    at[code == END_CODE] = len(held)
+    return at
+
+
+def _ending(code: np.ndarray) -> np.ndarray:
+    """The class of a word's ending."""
+    return CLASSES + (code & np.uint64(ENDINGS - 1)).astype(np.int64)
+
+
+def symbol_pairs(texts: DataFrame, clustered: np.ndarray, held_words: np.ndarray) -> DataFrame:
+    """(a, b, n): how often symbol b follows a in encoded texts. Symbols are the clustered words, then
+    the classes of endings, then the end; there are a fixed number of them."""
+    held = texts.sparkSession.sparkContext.broadcast((clustered, held_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, known = WordCodes(), held.value
+        known, frequent = held.value
         base, width = len(known), len(known) + ENDINGS + 1
+        place = _places(frequent, known)
+        symbol = np.append(np.where(place >= 0, place, base - CLASSES + _ending(frequent)), width - 1)
         parts, size = [], 0
 
         def added() -> pa.RecordBatch:
@@ -96,13 +141,11 @@ def symbol_pairs(docs: DataFrame, clustered: np.ndarray) -> DataFrame:
                 names=["a", "b", "n"],
             )
 
-        for batch in small_batches(batches, "text", 2_000_000):
-            flat, _ = tokens(raw(batch.column("text")), codes)
-            at = _places(flat, known)
-            at = np.where(at >= 0, at, base + (flat & np.uint64(31)).astype(np.int64))
-            at[flat == END_CODE] = width - 1
-            before = np.concatenate([[width - 1], at[:-1]])
-            parts.append(np.unique(before * width + at, return_counts=True))
+        for code in _decoded(batches):
+            at = _held_places(code, frequent)
+            own = np.where(at >= 0, symbol[at], base - CLASSES + _ending(code))
+            before = np.concatenate([[width - 1], own[:-1]])
+            parts.append(np.unique(before * width + own, return_counts=True))
             size += len(parts[-1][0])
             if size > 4_000_000:
                 yield added()
@@ -110,7 +153,75 @@ def symbol_pairs(docs: DataFrame, clustered: np.ndarray) -> DataFrame:
         if parts:
             yield added()
 
-    return docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def seen_map(counts: DataFrame, bits: int = SEEN_BITS) -> np.ndarray:
+    """A bit map, of one size for any number of words, that has the places of all words seen SEEN times or more.
+
+    A word that is not in it is rarer, so its class is that of its ending. One that is in it is looked
+    up; with far more words than places nearly all are, with the same result.
+    """
+    slot = F.shiftrightunsigned("code", 5).bitwiseAND((1 << bits) - 1)
+    words = counts.where(F.col("n") >= SEEN).select(slot.alias("slot")).groupBy(F.expr("slot >> 6").alias("word"))
+    # At most 2 ** (bits - 6) rows of two numbers.
+    found = words.agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[found["word"].to_numpy()] = found["mask"].to_numpy()
+    return table.view(np.uint64)
+
+
+def _perhaps(seen: np.ndarray, code: np.ndarray) -> np.ndarray:
+    slot = (code >> np.uint64(5)) & np.uint64(64 * len(seen) - 1)
+    return (seen[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _kinds(at: np.ndarray, code: np.ndarray, own: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Class of each token, -1 if it must be looked up. own: classes of the held words, then the end's."""
+    kind = np.where(at >= 0, own[at], _ending(code))
+    other = np.flatnonzero(at < 0)
+    kind[other[_perhaps(seen, code[other])]] = -1
+    return kind
+
+
+def surroundings(
+    texts: DataFrame, clustered: np.ndarray, of: np.ndarray, held_words: np.ndarray, seen: np.ndarray
+) -> DataFrame:
+    """(code, n, around) of every word that is not clustered and in `seen`: its count, and how often it
+    stands between which classes, those of clustered words and of endings (ALL_CLASSES * left + right, times)."""
+    held = texts.sparkSession.sparkContext.broadcast((clustered, of, held_words, seen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own_class, frequent, seen = held.value
+        place = _places(frequent, known)
+        core = np.append(place >= 0, True)
+        kinds = _ending(frequent)
+        kinds[place >= 0] = own_class[place[place >= 0]]
+        kinds = np.append(kinds, END_CLASS)
+        for code in _decoded(batches):
+            at = _held_places(code, frequent)
+            kind = np.where(at >= 0, kinds[at], _ending(code))
+            around = np.concatenate([[END_CLASS], kind[:-1]]) * ALL_CLASSES + np.append(kind[1:], END_CLASS)
+            mine = np.flatnonzero((at < 0) | ~core[at])
+            mine = mine[_perhaps(seen, code[mine])]
+            # One number per word and surroundings: held words by their place, others numbered after them.
+            number, around = at[mine], around[mine]
+            other = number < 0
+            more, place_of = np.unique(code[mine[other]], return_inverse=True)
+            number[other] = len(frequent) + place_of
+            key, n = np.unique(number * ALL_CLASSES**2 + around, return_counts=True)
+            word = np.concatenate([frequent, more])[key // ALL_CLASSES**2].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word), pa.array((key % ALL_CLASSES**2).astype(np.int32)), pa.array(n)],
+                names=["code", "around", "n"],
+            )
+
+    # Dealt by word first, so that the counts and the lists need no second shuffle.
+    counted = texts.mapInArrow(run, "code long, around int, n long").repartition("code")
+    counted = counted.groupBy("code", "around").agg(F.sum("n").alias("n"))
+    return counted.groupBy("code").agg(
+        F.sum("n").alias("n"), F.collect_list(F.struct("around", "n")).alias("around")
+    )
 
 
 def exchange(pairs: np.ndarray, words: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
@@ -171,29 +282,160 @@ def exchange(pairs: np.ndarray, words: int, classes: int = CLASSES, rounds: int
     return of
 
 
-def fit(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
-    """Counts of all tokens of `docs`, classes of words, and transitions between classes.
+def _part(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-12))
 
-    The table of counts has one row per distinct token and stays distributed. The clustered words
-    are the most frequent ones; their pairs are a table of fixed size, which one task clusters. All
-    other words belong to a class by their last three bytes, so every word has a class, also one
-    never seen.
+
+def gains(word: np.ndarray, around: np.ndarray, n: np.ndarray, words: int, steps: np.ndarray) -> np.ndarray:
+    """What the criterion of `exchange` gains by each class (column) for each of `words` words (row),
+    given the transitions `steps` between classes as they are.
+
+    word, around, n: which word stands how often between which classes.
+    """
+    side = np.concatenate([around // ALL_CLASSES, ALL_CLASSES + around % ALL_CLASSES])
+    cell, at = np.unique(np.tile(word, 2) * (2 * ALL_CLASSES) + side, return_inverse=True)
+    times = np.bincount(at, np.tile(n, 2), len(cell))
+    owner, side = cell // (2 * ALL_CLASSES), cell % (2 * ALL_CLASSES)
+    # Row of a left neighbour's class: steps to each class; of a right one's: steps from each.
+    table = np.concatenate([steps[:, :CLASSES], steps[:CLASSES].T])
+    found = np.add.reduceat(
+        _part(table[side] + times[:, None]) - _part(table)[side], np.searchsorted(owner, np.arange(words)), axis=0
+    )
+    # Where both neighbours are of the class itself, its own cell was counted in both sums.
+    both = np.zeros((2, words, CLASSES))
+    kind = side % ALL_CLASSES
+    inner = kind < CLASSES
+    both[side[inner] // ALL_CLASSES, owner[inner], kind[inner]] = times[inner]
+    own = np.diag(steps)[:CLASSES]
+    found += _part(own + both[0] + both[1]) + _part(own) - _part(own + both[0]) - _part(own + both[1])
+    mass = np.maximum(steps.sum(axis=0), steps.sum(axis=1))[:CLASSES]
+    total = np.bincount(word, n, words)[:, None]
+    return found - 2 * (_part(mass + total) - _part(mass))
+
+
+def placed(words: DataFrame, steps: np.ndarray) -> DataFrame:
+    """(code, n, kind) of the words of `surroundings` seen SEEN times or more: each goes, on its own, to
+    the class with the largest gain among those with clustered words, ties to the lowest."""
+    held = words.sparkSession.sparkContext.broadcast(steps)
+    free = (steps.sum(axis=0) + steps.sum(axis=1))[:CLASSES] == 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, WORDS_AT_ONCE):
+                part = batch.slice(i, WORDS_AT_ONCE)
+                lists = part.column("around")
+                word = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                rows = lists.flatten()
+                around, times = (rows.field(c).to_numpy().astype(np.int64) for c in ("around", "n"))
+                gain = gains(word, around, times, len(lists), held.value)
+                kind = pa.array(np.where(free, -np.inf, gain).argmax(axis=1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("code"), part.column("n"), kind], names=["code", "n", "kind"]
+                )
+
+    return words.where(F.col("n") >= SEEN).mapInArrow(run, "code long, n long, kind int")
+
+
+def _open_pairs(code: np.ndarray, kind: np.ndarray, before: np.ndarray, rows: np.ndarray) -> pa.StructArray:
+    """Neighbouring tokens at `rows`, the first (a, ka) and the second (b, kb): classes, or -1 and the code."""
+    ka, kb = before[rows], kind[rows]
+    a, b = np.where(ka < 0, np.append(code[-1:], code[:-1])[rows], 0), np.where(kb < 0, code[rows], 0)
+    sides = [a.astype(np.uint64).view(np.int64), ka.astype(np.int16), b.astype(np.uint64).view(np.int64), kb.astype(np.int16)]
+    return pa.StructArray.from_arrays([pa.array(x) for x in sides], names=["a", "ka", "b", "kb"])
+
+
+PAIR = "struct<a:long,ka:short,b:long,kb:short>"
+
+
+def classed(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs with both classes, looked up where they are -1: those of `words`, or else of endings.
+
+    Each kind of pair is joined only by the words it lacks, so that no known side is a join key.
     """
-    counts = written(token_counts(docs), "token_counts")
+    keep = [c for c in pairs.columns if c not in ("a", "ka", "b", "kb")]
+
+    def looked_up(rows: DataFrame, side: str, *more: str) -> DataFrame:
+        found = words.select(F.col("code").alias(side), F.col("kind").alias("_kind"))
+        ending = F.col(side).bitwiseAND(ENDINGS - 1) + CLASSES
+        return rows.drop(f"k{side}").join(found, side, "left").select(
+            *keep, *more, F.coalesce("_kind", ending).cast("int").alias(f"k{side}")
+        )
+
+    columns = [*keep, "ka", "kb"]
+    second = looked_up(pairs.where("ka >= 0 and kb < 0"), "b", "ka").select(columns)
+    both = looked_up(looked_up(pairs.where("ka < 0 and kb < 0"), "b", "a", "ka"), "a", "kb").select(columns)
+    first = looked_up(pairs.where("ka < 0 and kb >= 0"), "a", "kb").select(columns)
+    return second.unionByName(both).unionByName(first)
+
+
+def transitions(
+    texts: DataFrame, held_words: np.ndarray, kinds: np.ndarray, seen: np.ndarray, words: DataFrame
+) -> np.ndarray:
+    """How often each class follows each other one over all tokens of encoded texts. kinds: classes of
+    the held words; those of the others are joined."""
+    held = texts.sparkSession.sparkContext.broadcast((held_words, np.append(kinds, END_CLASS), seen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, own, seen = held.value
+        total = np.zeros(ALL_CLASSES**2, np.int64)
+        for code in _decoded(batches):
+            at = _held_places(code, frequent)
+            kind = _kinds(at, code, own, seen)
+            before = np.concatenate([[END_CLASS], kind[:-1]])
+            known = (kind >= 0) & (before >= 0)
+            total += np.bincount(before[known] * ALL_CLASSES + kind[known], minlength=len(total))
+            rows = _open_pairs(code, kind, before, np.flatnonzero(~known))
+            yield made(rows, [])
+        yield made(none, total)
+
+    none = _open_pairs(*[np.empty(0, np.int64)] * 4)
+
+    def made(rows: pa.StructArray, times: np.ndarray | list) -> pa.RecordBatch:
+        lists = [
+            pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, pa.array(times, pa.int64()))
+        ]
+        return pa.RecordBatch.from_arrays(lists, names=["pairs", "times"])
+
+    counted = written(texts.mapInArrow(run, f"pairs array<{PAIR}>, times array<long>"), "class_pairs")
+    known = counted.select(F.posexplode("times").alias("at", "times")).where("times > 0")
+    known = known.selectExpr(f"at div {ALL_CLASSES} as ka", f"at % {ALL_CLASSES} as kb", "times")
+    found = classed(counted.select(F.inline("pairs")), words).select("ka", "kb", F.lit(1).alias("times"))
+    steps = np.zeros((ALL_CLASSES, ALL_CLASSES))
+    # At most ALL_CLASSES ** 2 rows of three numbers.
+    for r in known.unionByName(found).groupBy("ka", "kb").agg(F.sum("times").alias("n")).collect():
+        steps[r.ka, r.kb] = r.n
+    return steps
+
+
+def fit(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
+    """Counts and classes of all words of `docs`, and transitions between classes.
+
+    The most frequent words are exchanged over the classes; their pairs are a table of fixed size,
+    which one task clusters. Every other word seen SEEN times or more, however many there are, goes
+    to the class of the largest exchange gain by the classes it stands between: its counts are
+    gathered by a shuffle and its class comes from them alone. Words seen less often keep the class
+    of their last three bytes, which so tells what unseen words, of the same classes, are like. The
+    table of words has one row per distinct word and stays distributed. Transitions are then counted
+    anew over all tokens.
+    """
+    texts = written(encoded(docs), "tokens")
+    counts = written(token_counts(texts), "token_counts")
     end = int(END_CODE.view(np.int64))
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     top = counts.where(F.col("code") != end).orderBy(F.desc("n"), "code").limit(HELD_WORDS)
-    rows = [(r.code, r.n) for r in top.collect()]
-    by_rank = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    n_by_rank = np.array([r[1] for r in rows], np.int64)
+    top = top.toArrow()
+    by_rank, n_by_rank = top["code"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    seen = seen_map(counts)
+    order = np.argsort(by_rank)
+    held, held_n = by_rank[order], n_by_rank[order]
     chosen = np.sort(by_rank[:clustered])
-    pairs = symbol_pairs(docs, chosen)
-    width, words = len(chosen) + ENDINGS + 1, len(chosen)
+    pairs = symbol_pairs(texts, chosen, held)
+    width, core = len(chosen) + ENDINGS + 1, len(chosen)
 
     def cluster(table: pd.DataFrame) -> pd.DataFrame:
         m = np.zeros((width, width))
         m[table["a"], table["b"]] = table["n"]
-        of = exchange(m, words)
+        of = exchange(m, core)
         pick = np.zeros((width, ALL_CLASSES))
         pick[np.arange(width), of] = 1
         steps = pick.T @ m @ pick
@@ -202,35 +444,41 @@ def fit(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
     found = pairs.groupBy().applyInPandas(cluster, "of array<int>, steps array<double>").first()
     of = np.array(found.of if found else np.arange(width), np.int64)
     steps = np.array(found.steps if found else np.zeros(ALL_CLASSES**2)).reshape(ALL_CLASSES, ALL_CLASSES)
-    held = np.argsort(by_rank)
-    # Sizes of classes: clustered words by their counts, the others by a sum over the whole table.
-    size, kinds = np.zeros(ALL_CLASSES), np.zeros(ALL_CLASSES)
-    ending = F.col("code").bitwiseAND(ENDINGS - 1).cast("int").alias("ending")
-    for e, n, k in (
-        counts.where(F.col("code") != end).groupBy(ending).agg(F.sum("n"), F.count("*")).collect()
-    ):
-        size[CLASSES + e], kinds[CLASSES + e] = n, k
-    place = _places(by_rank[:clustered], chosen)
-    for code, n, at in zip(by_rank[:clustered], n_by_rank[:clustered], place):
-        e = CLASSES + int(code & np.uint64(31))
-        size[e] -= n
-        kinds[e] -= 1
-        size[of[at]] += n
-        kinds[of[at]] += 1
+    words = written(placed(surroundings(texts, chosen, of, held, seen), steps), "words")
+    # Classes of the held words: at most HELD_WORDS rows of two numbers.
+    codes = docs.sparkSession.createDataFrame(pa.table({"code": held.view(np.int64)}))
+    known = words.join(F.broadcast(codes), "code").select("code", "kind").toArrow()
+    kinds = _ending(held)
+    kinds[_places(known["code"].to_numpy().view(np.uint64), held)] = known["kind"].to_numpy()
+    place = _places(held, chosen)
+    core = place >= 0
+    kinds[core] = of[place[core]]
+    steps = transitions(texts, held, kinds, seen, words)
+    # Sizes of classes: of words placed, of rarer ones by their endings, and of clustered ones.
+    size, distinct_in = np.zeros(ALL_CLASSES), np.zeros(ALL_CLASSES)
+    ending = (F.col("code").bitwiseAND(ENDINGS - 1) + CLASSES).cast("int").alias("kind")
+    rare = counts.where((F.col("n") < SEEN) & (F.col("code") != end)).select(ending, "n")
+    for kind, n, k in words.select("kind", "n").unionByName(rare).groupBy("kind").agg(F.sum("n"), F.count("*")).collect():
+        size[kind], distinct_in[kind] = n, k
+    rare = core & (held_n < SEEN)
+    for at, sign, which in ((_ending(held), -1, rare), (kinds, 1, core)):
+        np.add.at(size, at[which], sign * held_n[which])
+        np.add.at(distinct_in, at[which], sign)
     size[END_CLASS] = steps[:, END_CLASS].sum()
-    kinds[END_CLASS] = 1
+    distinct_in[END_CLASS] = 1
     smooth = steps + 0.5
     return {
         "counts": counts,
+        "words": words,
         "total": int(total or 0),
         "distinct": int(distinct or 0),
         "model": {
-            "chosen": chosen,
-            "of": of,
             "step": np.log10(smooth) - np.log10(smooth.sum(axis=1, keepdims=True)),
-            "room": np.log10(size + 0.5 * (kinds + 1)),
-            "held": by_rank[held],
-            "held_n": n_by_rank[held],
+            "room": np.log10(size + 0.5 * (distinct_in + 1)),
+            "held": held,
+            "held_n": held_n,
+            "held_kind": kinds,
+            "seen": seen,
             "ends": int(size[END_CLASS]),
         },
     }
@@ -241,9 +489,9 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
 
     score: for each token, log10 of the transition from the class before, plus log10 of its share in
     its own class: (c + 0.5) / (class tokens + 0.5 * (class words + 1)), so an unseen word has a
-    share too. base_score is the smoothed unigram sum. Counts of frequent words are held by each
-    task; the other words of a text are summed up per text and joined with the table of counts, so
-    no frequent word is a join key. A null or empty text is its end alone.
+    share too. base_score is the smoothed unigram sum. Counts and classes of frequent words are held
+    by each task; the counts of other words of a text are joined once per text, and neighbouring
+    tokens that lack a class with the table of classes, so no frequent word is a join key. A null or empty text is its end alone.
     """
     keep = [c for c in docs.columns if c != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
@@ -251,27 +499,29 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, codes = held.value, WordCodes()
+        own, counts = np.append(m["held_kind"], END_CLASS), np.append(m["held_n"], m["ends"])
+        value = m["step"] - m["room"]
         for batch in small_batches(batches, "text", 2_000_000):
             flat, stops = tokens(raw(batch.column("text")), codes)
             starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
-            at = _places(flat, m["chosen"])
-            kind = np.where(at >= 0, m["of"][np.maximum(at, 0)] if len(m["of"]) else 0, CLASSES + (flat & np.uint64(31)).astype(np.int64))
-            kind[flat == END_CODE] = END_CLASS
+            at = _held_places(flat, m["held"])
+            rest = at < 0
+            n = np.where(rest, 0, counts[at])
+            kind = _kinds(at, flat, own, m["seen"])
             before = np.concatenate([[END_CLASS], kind[:-1]])
-            before[starts] = END_CLASS
-            model = np.add.reduceat(m["step"][before, kind] - m["room"][kind], starts)
-            place = _places(flat, m["held"])
-            n = np.where(place >= 0, m["held_n"][np.maximum(place, 0)] if len(m["held"]) else 0, 0)
-            n[flat == END_CODE] = m["ends"]
-            rest = (place < 0) & (flat != END_CODE)
+            both = (kind >= 0) & (before >= 0)
+            model = np.add.reduceat(np.where(both, value[before, kind], 0.0), starts)
             known = np.add.reduceat(np.where(rest, 0, (n > 0).astype(np.int64)), starts)
             logs = np.add.reduceat(np.where(rest, 0.0, np.log10(n + 0.5)), starts)
-            others, times = [], []
-            for a, b in zip(starts, stops):
-                code, t = np.unique(flat[a:b][rest[a:b]], return_counts=True)
-                others.append(code.view(np.int64))
-                times.append(t)
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in others])]).astype(np.int32))
+            bounds = np.concatenate([[0], stops])
+            # Each text's other words, once each.
+            row, code = np.searchsorted(stops, np.flatnonzero(rest), "right"), flat[rest]
+            order = np.lexsort((code, row))
+            row, code = row[order], code[order]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)])
+            offsets = pa.array(np.searchsorted(row[first], np.arange(len(bounds))).astype(np.int32))
+            times = np.diff(np.append(first, len(row))).astype(np.int32)
+            lacking = np.concatenate([[0], np.cumsum(~both)])[bounds]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep]
                 + [
@@ -279,34 +529,57 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
                     pa.array(known),
                     pa.array(logs),
                     pa.array(model),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(others))),
-                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(code[first].view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(times)),
+                    pa.ListArray.from_arrays(
+                        pa.array(lacking.astype(np.int32)), _open_pairs(flat, kind, before, np.flatnonzero(~both))
+                    ),
                 ],
-                names=[*keep, "n_tokens", "_known", "_logs", "_model", "_codes", "_times"],
+                names=[*keep, "n_tokens", "_known", "_logs", "_model", "_codes", "_times", "_pairs"],
             )
 
     schema = (fields + ", " if fields else "") + (
-        "n_tokens long, _known long, _logs double, _model double, _codes array<long>, _times array<int>"
+        "n_tokens long, _known long, _logs double, _model double, _codes array<long>, _times array<int>, "
+        f"_pairs array<{PAIR}>"
     )
     parts = docs.select(*keep, "text").mapInArrow(run, schema)
     parts = written(parts.withColumn("_row", F.monotonically_increasing_id()), "parts")
+    value = fitted["model"]["step"] - fitted["model"]["room"]
+    # ALL_CLASSES ** 2 rows of three numbers.
+    values = docs.sparkSession.createDataFrame(
+        pa.table(
+            {
+                "ka": pa.array(np.repeat(np.arange(ALL_CLASSES, dtype=np.int32), ALL_CLASSES)),
+                "kb": pa.array(np.tile(np.arange(ALL_CLASSES, dtype=np.int32), ALL_CLASSES)),
+                "value": pa.array(value.ravel()),
+            }
+        )
+    )
     rest = parts.select("_row", F.explode(F.arrays_zip("_codes", "_times")).alias("x")).select(
         "_row", F.col("x._codes").alias("code"), F.col("x._times").alias("t")
     )
     n = F.coalesce("n", F.lit(0))
+    counted = rest.join(fitted["counts"], "code", "left").select(
+        "_row",
+        (F.col("t") * F.log10(n + 0.5)).alias("more"),
+        F.when(n > 0, F.col("t")).otherwise(0).alias("found"),
+        F.lit(0.0).alias("steps"),
+    )
+    stepped = (
+        classed(parts.select("_row", F.inline("_pairs")), fitted["words"])
+        .join(F.broadcast(values), ["ka", "kb"])
+        .select("_row", F.lit(0.0).alias("more"), F.lit(0).alias("found"), F.col("value").alias("steps"))
+    )
     sums = (
-        rest.join(fitted["counts"], "code", "left")
+        counted.unionByName(stepped)
         .groupBy("_row")
-        .agg(
-            F.sum(F.col("t") * F.log10(n + 0.5)).alias("_more"),
-            F.sum(F.when(n > 0, F.col("t")).otherwise(0)).alias("_found"),
-        )
+        .agg(F.sum("more").alias("_more"), F.sum("found").alias("_found"), F.sum("steps").alias("_steps"))
     )
     total = fitted["total"]
     room = float(np.log10(total + 0.5 * (fitted["distinct"] + 1)))
     logs = F.col("_logs") + F.coalesce("_more", F.lit(0.0))
     return (
-        parts.drop("_codes", "_times")
+        parts.drop("_codes", "_times", "_pairs")
         .join(sums, "_row", "left")
         .select(
             *keep,
@@ -314,6 +587,6 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
             (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
             F.lit(total).cast("long").alias("train_tokens"),
             (logs - F.col("n_tokens") * room).alias("base_score"),
-            (logs + F.col("_model")).alias("score"),
+            (logs + F.col("_model") + F.coalesce("_steps", F.lit(0.0))).alias("score"),
         )
     )
