@@ -576,3 +576,10 @@ def test_empty_tables(spark, empty):
     spans = secrets.base_spans(plain)
     assert secrets.scanned(spans, secrets.fit(spans)).count() == 0
     assert brown.scored(plain, brown.fit(plain.select("text"))).count() == 0
+
+
+def test_sets_are_signed_where_they_are_described(spark, docs):
+    got = set()
+    for r in jaccard.described(docs, 85, 4).collect():
+        got |= {(sig, r.cls, r.band + k) for k, sigs in enumerate(r.sigs) for sig in sigs}
+    assert got == {tuple(r) for r in jaccard.signed(docs, 85, 4, 0, 1, 1).collect()} != set()

@@ -103,12 +103,13 @@ def parity(elements: np.ndarray, words: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """Each row's doc_id, n (set size), cls (class of its set) and maps (instance, bits) of it."""
+    """Each row's doc_id, n (set size), cls (class of its set), maps (instance, bits) of it, and sigs: its
+    signatures of single blocks for both instances; a task signs equal sets once. Sets are made once for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, bands = Codes(), Bands(percent)
-        for batch in small_batches(batches, "text", 4_000_000):
-            n, cls, first, maps = [], [], [], []
+        codes, bands, seen = Codes(), Bands(percent), set()
+        for batch in small_batches(batches, "text", 1_000_000):
+            n, cls, first, maps, sigs, ends = [], [], [], [], [], [0]
             for text in raw(batch.column("text")):
                 s = shingles(text, codes, size)
                 n.append(len(s))
@@ -116,6 +117,18 @@ def described(docs: DataFrame, percent: int, size: int) -> DataFrame:
                 at = bands.of(len(s)) if len(s) else 0
                 first.append(at)
                 maps.append([parity(s, -(-bands.largest(i) // MAP_RATE)) for i in (at, at + 1)] if len(s) else [])
+                fresh = len(s) and cls[-1] not in seen
+                if fresh:
+                    if len(seen) >= SEEN_HELD:
+                        seen.clear()
+                    seen.add(cls[-1])
+                for i in (at, at + 1):
+                    limit = bands.limit(i) if fresh else 0
+                    if limit:
+                        sigs.append(signatures(s, i, limit, 0, 1, 1).view(np.int64))
+                    ends.append(ends[-1] + (len(sigs[-1]) if limit else 0))
+            flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int64))
+            inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -123,11 +136,12 @@ def described(docs: DataFrame, percent: int, size: int) -> DataFrame:
                     pa.array(cls, pa.int64()),
                     pa.array(first, pa.int32()),
                     pa.array(maps, pa.list_(pa.list_(pa.int64()))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(ends), 2), pa.int32()), inner),
                 ],
-                names=["doc_id", "n", "cls", "band", "maps"],
+                names=["doc_id", "n", "cls", "band", "maps", "sigs"],
             )
 
-    schema = "doc_id long, n long, cls long, band int, maps array<array<long>>"
+    schema = "doc_id long, n long, cls long, band int, maps array<array<long>>, sigs array<array<long>>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -261,7 +275,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFr
             .drop("last")
         )
 
-    shared = written(buckets(signed(docs, percent, size, 0, 1, 1)), "buckets")
+    blocks = rows.select("cls", "band", F.posexplode("sigs").alias("k", "sigs")).select(
+        F.explode("sigs").alias("sig"), "cls", F.expr("band + k").alias("instance")
+    )
+    shared = written(buckets(blocks), "buckets")
     stars = shared.where("cls <> first").selectExpr("first as a", "cls as b", "instance").distinct()
     stars = written(possible(stars, maps, percent), "pairs")
     links = written(linked(stars, docs, owner, percent, size), "links")
