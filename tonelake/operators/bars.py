@@ -79,24 +79,28 @@ def voice(score: DataFrame, ends: DataFrame) -> DataFrame:
         F.max(F.col("onset12") + F.col("duration12")).alias("stop12"),
     )
     order = Window.partitionBy("clip_id").orderBy("onset12")
-    played = chords.withColumn(
-        "end12", F.least("stop12", F.lead("onset12").over(order))
-    ).withColumn("free_from", F.coalesce(F.lag("end12").over(order), F.lit(0)))
-    sounding = played.select("clip_id", F.col("onset12").alias("start12"), "end12", "pitches")
+    following, free_from = F.lead("onset12").over(order), F.coalesce(F.lag("stop12").over(order), F.lit(0))
+    played = chords.select(
+        "*",
+        F.least("stop12", following).alias("end12"),
+        free_from.alias("free_from"),
+        following.isNull().alias("is_last"),
+    )
+    close = (F.col("first12") + F.col("full_bars") * BAR12).alias("close12")
+
+    def event(start: str, end: str, pitches: Column) -> Column:
+        return F.struct(F.col(start).alias("start12"), F.col(end).alias("end12"), pitches.alias("pitches"))
+
     none = F.array().cast("array<bigint>")
-    gaps = played.where(F.col("onset12") > F.col("free_from")).select(
-        "clip_id", F.col("free_from").alias("start12"), F.col("onset12").alias("end12"),
-        none.alias("pitches"),
+    events = F.array(
+        F.when(F.col("onset12") > F.col("free_from"), event("free_from", "onset12", none)),
+        event("onset12", "end12", F.col("pitches")),
+        F.when(F.col("is_last") & (F.col("end12") < F.col("close12")), event("end12", "close12", none)),
     )
-    last = played.groupBy("clip_id").agg(F.max("end12").alias("last12"))
-    close = F.col("first12") + F.col("full_bars") * BAR12
-    tail = (
-        ends.select("clip_id", close.alias("close12"))
-        .join(last, "clip_id")
-        .where(F.col("last12") < F.col("close12"))
-        .select("clip_id", F.col("last12").alias("start12"), F.col("close12").alias("end12"), none.alias("pitches"))
+    # one pass for notes and rests: a chord's row tells the rest before it, and the last one's that after it
+    return played.join(ends.select("clip_id", close), "clip_id", "left").select(
+        "clip_id", F.inline(F.array_compact(events))
     )
-    return sounding.unionByName(gaps).unionByName(tail)
 
 
 def boundaries(events: DataFrame) -> DataFrame:
@@ -110,7 +114,9 @@ def boundaries(events: DataFrame) -> DataFrame:
 
 def regrid(events: DataFrame) -> DataFrame:
     """Give each beat one grid: thirds if all its inner boundaries are thirds, else sixteenths."""
-    inner = boundaries(events).where(F.pmod("point12", F.lit(12)) != 0)
+    # a boundary seen twice says nothing new, so they are not made distinct first
+    points = events.select("clip_id", F.explode(F.array("start12", "end12")).alias("point12"))
+    inner = points.where(F.pmod("point12", F.lit(12)) != 0)
     thirds = inner.groupBy("clip_id", F.expr("floor(point12 / 12)").alias("beat")).agg(
         F.bool_and(F.pmod("point12", F.lit(4)) == 0).alias("thirds")
     )
@@ -120,7 +126,7 @@ def regrid(events: DataFrame) -> DataFrame:
         part = F.col(point) - beat * 12
         lines = F.when(F.col(flag), 3).otherwise(4)
         return F.when(part == 0, F.col(point)).otherwise(
-            beat * 12 + (F.bround(part * lines / 12) * 12 / lines).cast("bigint")
+            beat * 12 + (F.rint(part * lines / 12) * 12 / lines).cast("bigint")
         )
 
     def side(name: str) -> DataFrame:

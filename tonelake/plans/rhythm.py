@@ -267,7 +267,7 @@ def durations(r: Roles):
     ),
 )
 def merged_notes(r: Roles):
-    merged = ops.merge_duplicates(ops.with_durations(gridded(r)))
+    merged = ops.merged_notes(gridded(r))
     return merged.select("clip_id", "pitch", "onset12", "duration12", "note_idx", "velocity")
 
 
@@ -295,7 +295,7 @@ def phase_from_weights(r: Roles):
     ),
 )
 def phase_from_notes(r: Roles):
-    merged = ops.merge_duplicates(ops.with_durations(gridded(r)))
+    merged = ops.merged_notes(gridded(r))
     return ops.downbeat_phase_from_notes(merged)
 
 
