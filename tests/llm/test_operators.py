@@ -353,6 +353,24 @@ def test_joined_classes_score_as_held_ones(spark, docs, monkeypatch, held):
         assert (r.base_score, r.score) == (pytest.approx(want[key].base_score), pytest.approx(want[key].score))
 
 
+def test_lacking_classes_are_gathered_by_word_not_joined_per_pair(spark):
+    """Pairs that lack one class or both, one word in a third of them, against a plain look-up."""
+    rng = random.Random(6)
+    words = {c * 32 + c % 32: c % brown.CLASSES for c in range(20)}
+    code = lambda: rng.choice([0, rng.randrange(30) * 33, rng.randrange(30) * 33])
+    side = lambda: rng.choice([(0, 5), (0, brown.END_CLASS), (code(), -1)])
+    pairs = [p for p in ((*side(), *side()) for _ in range(3_000)) if -1 in (p[1], p[3])]
+    want = collections.Counter()
+    for a, ka, b, kb in pairs:
+        kinds = [k if k >= 0 else words.get(c, brown.CLASSES + c % brown.ENDINGS) for c, k in ((a, ka), (b, kb))]
+        want[tuple(kinds)] += 1
+    table = spark.createDataFrame([(c, 3, k) for c, k in words.items()], "code long, n long, kind int")
+    got = brown.classed(spark.createDataFrame(pairs, "a long, ka short, b long, kb short"), table)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    sums = got.groupBy("ka", "kb").agg(F.sum("times").alias("n")).collect()
+    assert {(r.ka, r.kb): r.n for r in sums} == dict(want)
+
+
 def test_passages_with_substitutions_are_found(spark, docs):
     rng = random.Random(9)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(40)]

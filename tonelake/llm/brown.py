@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonelake.llm.common import CODES_HELD, lower_words, raw, small_batches
@@ -68,7 +68,7 @@ def encoded(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "codes array<long>")
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[np.ndarray]:
+def _decoded(batches: Iterator[pa.RecordBatch], limit: int = 600_000) -> Iterator[np.ndarray]:
     """All codes of some texts one after the other, about `limit` at a time."""
     for batch in batches:
         sizes = np.diff(batch.column("codes").offsets.to_numpy())
@@ -92,7 +92,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
         for code in _decoded(batches):
             held.append(code)
             size += len(code)
-            if size > 3_000_000:
+            if size > 1_500_000:
                 yield added()
                 held, size = [], 0
         if held:
@@ -147,7 +147,7 @@ def symbol_pairs(texts: DataFrame, clustered: np.ndarray, held_words: np.ndarray
             before = np.concatenate([[width - 1], own[:-1]])
             parts.append(np.unique(before * width + own, return_counts=True))
             size += len(parts[-1][0])
-            if size > 4_000_000:
+            if size > 1_500_000:
                 yield added()
                 parts, size = [], 0
         if parts:
@@ -347,32 +347,50 @@ def _open_pairs(code: np.ndarray, kind: np.ndarray, before: np.ndarray, rows: np
 PAIR = "struct<a:long,ka:short,b:long,kb:short>"
 
 
-def classed(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The pairs with both classes, looked up where they are -1: those of `words`, or else of endings.
+def _of_ending(code: str) -> Column:
+    return (F.col(code).bitwiseAND(ENDINGS - 1) + CLASSES).cast("int")
+
 
-    Each kind of pair is joined only by the words it lacks, so that no known side is a join key.
+def gathered(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(kind, cell, n): the rows (code, cell, times) with the class of their word, that of `words` or else
+    of its ending, and the sum of their times.
+
+    Rows and classes of a word meet in one shuffle; added up by cell, what a word brings is one row.
     """
-    keep = [c for c in pairs.columns if c not in ("a", "ka", "b", "kb")]
+    both = rows.select("code", "cell", "times", F.lit(None).cast("int").alias("kind")).unionByName(
+        words.select("code", F.lit(None).cast(rows.schema["cell"].dataType).alias("cell"), F.lit(None).cast("long").alias("times"), "kind")
+    )
+    cells = both.repartition("code").groupBy("code", "cell").agg(F.sum("times").alias("n"), F.max("kind").alias("kind"))
+    known = cells.groupBy("code").agg(
+        F.max("kind").alias("kind"),
+        F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "n"))).alias("cells"),
+    )
+    return known.select(F.coalesce("kind", _of_ending("code")).alias("kind"), F.inline("cells"))
 
-    def looked_up(rows: DataFrame, side: str, *more: str) -> DataFrame:
-        found = words.select(F.col("code").alias(side), F.col("kind").alias("_kind"))
-        ending = F.col(side).bitwiseAND(ENDINGS - 1) + CLASSES
-        return rows.drop(f"k{side}").join(found, side, "left").select(
-            *keep, *more, F.coalesce("_kind", ending).cast("int").alias(f"k{side}")
-        )
 
-    columns = [*keep, "ka", "kb"]
-    second = looked_up(pairs.where("ka >= 0 and kb < 0"), "b", "ka").select(columns)
-    both = looked_up(looked_up(pairs.where("ka < 0 and kb < 0"), "b", "a", "ka"), "a", "kb").select(columns)
-    first = looked_up(pairs.where("ka < 0 and kb >= 0"), "a", "kb").select(columns)
-    return second.unionByName(both).unionByName(first)
+def classed(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(ka, kb, times) of the pairs, those classes looked up that are -1: those of `words`, or else of endings."""
+    once = F.lit(1).cast("long").alias("times")
+    # A cell is the class on the left of the word, or ALL_CLASSES more than the one on its right.
+    right = (F.col("kb") + ALL_CLASSES).cast("int").alias("cell")
+    second = pairs.where("ka >= 0 and kb < 0").select(F.col("b").alias("code"), F.col("ka").cast("int").alias("cell"), once)
+    first = pairs.where("ka < 0 and kb >= 0").select(F.col("a").alias("code"), right, once)
+    both = pairs.where("ka < 0 and kb < 0").select(F.col("b").alias("code"), F.col("a").alias("cell"), once)
+    both = gathered(both, words).select(F.col("cell").alias("code"), F.col("kind").alias("kb"), F.col("n").alias("times"))
+    single = second.unionByName(first).unionByName(both.select("code", right, "times"))
+    on_right = F.col("cell") >= ALL_CLASSES
+    return gathered(single, words).select(
+        F.when(on_right, F.col("kind")).otherwise(F.col("cell")).alias("ka"),
+        F.when(on_right, F.col("cell") - ALL_CLASSES).otherwise(F.col("kind")).alias("kb"),
+        F.col("n").alias("times"),
+    )
 
 
 def transitions(
     texts: DataFrame, held_words: np.ndarray, kinds: np.ndarray, seen: np.ndarray, words: DataFrame
 ) -> np.ndarray:
     """How often each class follows each other one over all tokens of encoded texts. kinds: classes of
-    the held words; those of the others are joined."""
+    the held words; those of the others are gathered by word."""
     held = texts.sparkSession.sparkContext.broadcast((held_words, np.append(kinds, END_CLASS), seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +417,7 @@ def transitions(
     counted = written(texts.mapInArrow(run, f"pairs array<{PAIR}>, times array<long>"), "class_pairs")
     known = counted.select(F.posexplode("times").alias("at", "times")).where("times > 0")
     known = known.selectExpr(f"at div {ALL_CLASSES} as ka", f"at % {ALL_CLASSES} as kb", "times")
-    found = classed(counted.select(F.inline("pairs")), words).select("ka", "kb", F.lit(1).alias("times"))
+    found = classed(counted.select(F.inline("pairs")), words)
     steps = np.zeros((ALL_CLASSES, ALL_CLASSES))
     # At most ALL_CLASSES ** 2 rows of three numbers.
     for r in known.unionByName(found).groupBy("ka", "kb").agg(F.sum("times").alias("n")).collect():
@@ -484,14 +502,20 @@ def fit(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
     }
 
 
+def _bounds(lists: pa.Array) -> np.ndarray:
+    """Where each list starts among the flattened values, and where the last one stops; a null is empty."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+
+
 def scored(docs: DataFrame, fitted: dict) -> DataFrame:
     """Every row with n_tokens, n_known, train_tokens, base_score and score (log10, whole text).
 
     score: for each token, log10 of the transition from the class before, plus log10 of its share in
     its own class: (c + 0.5) / (class tokens + 0.5 * (class words + 1)), so an unseen word has a
     share too. base_score is the smoothed unigram sum. Counts and classes of frequent words are held
-    by each task; the counts of other words of a text are joined once per text, and neighbouring
-    tokens that lack a class with the table of classes, so no frequent word is a join key. A null or empty text is its end alone.
+    by each task; the counts and classes of other words are joined once per text, so no frequent word
+    is a join key, and neighbours that lacked a class then find it in their own text's list. A null or
+    empty text is its end alone.
     """
     keep = [c for c in docs.columns if c != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
@@ -501,7 +525,7 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
         m, codes = held.value, WordCodes()
         own, counts = np.append(m["held_kind"], END_CLASS), np.append(m["held_n"], m["ends"])
         value = m["step"] - m["room"]
-        for batch in small_batches(batches, "text", 2_000_000):
+        for batch in small_batches(batches, "text", 1_000_000):
             flat, stops = tokens(raw(batch.column("text")), codes)
             starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
             at = _held_places(flat, m["held"])
@@ -521,7 +545,17 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
             first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)])
             offsets = pa.array(np.searchsorted(row[first], np.arange(len(bounds))).astype(np.int32))
             times = np.diff(np.append(first, len(row))).astype(np.int32)
-            lacking = np.concatenate([[0], np.cumsum(~both)])[bounds]
+            # A symbol is a class, or ALL_CLASSES more than the place in its text's list of other words.
+            begin = np.searchsorted(row[first], np.arange(len(bounds)))
+            number = np.zeros(len(row), np.int64)
+            number[first] = 1
+            symbol = kind.copy()
+            place = np.empty(len(row), np.int64)
+            place[order] = np.cumsum(number) - 1 - begin[row]
+            symbol[rest] = np.where(kind[rest] < 0, ALL_CLASSES + place, kind[rest])
+            lacking = pa.array(np.concatenate([[0], np.cumsum(~both)])[bounds].astype(np.int32))
+            left = np.concatenate([[END_CLASS], symbol[:-1]])
+            sides = [pa.ListArray.from_arrays(lacking, pa.array(x[~both].astype(np.int32))) for x in (left, symbol)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep]
                 + [
@@ -531,62 +565,65 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
                     pa.array(model),
                     pa.ListArray.from_arrays(offsets, pa.array(code[first].view(np.int64))),
                     pa.ListArray.from_arrays(offsets, pa.array(times)),
-                    pa.ListArray.from_arrays(
-                        pa.array(lacking.astype(np.int32)), _open_pairs(flat, kind, before, np.flatnonzero(~both))
-                    ),
+                    *sides,
                 ],
-                names=[*keep, "n_tokens", "_known", "_logs", "_model", "_codes", "_times", "_pairs"],
+                names=[*keep, "n_tokens", "_known", "_logs", "_model", "_codes", "_times", "_left", "_right"],
             )
 
-    schema = (fields + ", " if fields else "") + (
-        "n_tokens long, _known long, _logs double, _model double, _codes array<long>, _times array<int>, "
-        f"_pairs array<{PAIR}>"
-    )
+    head = (fields + ", " if fields else "") + "n_tokens long, _known long, _logs double, _model double"
+    schema = head + ", _codes array<long>, _times array<int>, _left array<int>, _right array<int>"
     parts = docs.select(*keep, "text").mapInArrow(run, schema)
     parts = written(parts.withColumn("_row", F.monotonically_increasing_id()), "parts")
-    value = fitted["model"]["step"] - fitted["model"]["room"]
-    # ALL_CLASSES ** 2 rows of three numbers.
-    values = docs.sparkSession.createDataFrame(
-        pa.table(
-            {
-                "ka": pa.array(np.repeat(np.arange(ALL_CLASSES, dtype=np.int32), ALL_CLASSES)),
-                "kb": pa.array(np.tile(np.arange(ALL_CLASSES, dtype=np.int32), ALL_CLASSES)),
-                "value": pa.array(value.ravel()),
-            }
-        )
-    )
-    rest = parts.select("_row", F.explode(F.arrays_zip("_codes", "_times")).alias("x")).select(
-        "_row", F.col("x._codes").alias("code"), F.col("x._times").alias("t")
+    rest = parts.select("_row", F.posexplode(F.arrays_zip("_codes", "_times")).alias("place", "x")).select(
+        "_row", "place", F.col("x._codes").alias("code"), F.col("x._times").alias("t")
     )
     n = F.coalesce("n", F.lit(0))
-    counted = rest.join(fitted["counts"], "code", "left").select(
-        "_row",
-        (F.col("t") * F.log10(n + 0.5)).alias("more"),
-        F.when(n > 0, F.col("t")).otherwise(0).alias("found"),
-        F.lit(0.0).alias("steps"),
-    )
-    stepped = (
-        classed(parts.select("_row", F.inline("_pairs")), fitted["words"])
-        .join(F.broadcast(values), ["ka", "kb"])
-        .select("_row", F.lit(0.0).alias("more"), F.lit(0).alias("found"), F.col("value").alias("steps"))
-    )
+    kind = F.coalesce("kind", _of_ending("code"))
+    looked_up = rest.join(fitted["counts"], "code", "left").join(fitted["words"].select("code", "kind"), "code", "left")
     sums = (
-        counted.unionByName(stepped)
+        looked_up.select(
+            "_row",
+            (F.col("t") * F.log10(n + 0.5)).alias("more"),
+            F.when(n > 0, F.col("t")).otherwise(0).alias("found"),
+            (F.col("place").cast("long") * ALL_CLASSES + kind).alias("at"),
+        )
+        .repartition("_row")
         .groupBy("_row")
-        .agg(F.sum("more").alias("_more"), F.sum("found").alias("_found"), F.sum("steps").alias("_steps"))
+        .agg(F.sum("more").alias("_more"), F.sum("found").alias("_found"), F.collect_list("at").alias("_kinds"))
+    )
+    value = fitted["model"]["step"] - fitted["model"]["room"]
+    shared = docs.sparkSession.sparkContext.broadcast(value)
+    names = [*keep, "n_tokens", "_known", "_logs", "_model", "_more", "_found"]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, kinds = np.diff(_bounds(batch.column("_left"))), _bounds(batch.column("_kinds"))
+            text = np.repeat(np.arange(batch.num_rows), pairs)
+            at = batch.column("_kinds").flatten().to_numpy()
+            kind = np.zeros(len(at) + 1, np.int64)
+            kind[np.repeat(kinds[:-1], np.diff(kinds)) + at // ALL_CLASSES] = at % ALL_CLASSES
+            sides = [batch.column(c).flatten().to_numpy() for c in ("_left", "_right")]
+            ka, kb = (
+                np.where(x < ALL_CLASSES, x, kind[np.where(x < ALL_CLASSES, 0, kinds[text] + x - ALL_CLASSES)])
+                for x in sides
+            )
+            steps = np.bincount(text, shared.value[ka, kb], batch.num_rows).astype(float)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(steps)], names=[*names, "_steps"])
+
+    resolved = (
+        parts.drop("_codes", "_times")
+        .join(sums, "_row", "left")
+        .select(*names, "_left", "_right", "_kinds")
+        .mapInArrow(step, head + ", _more double, _found long, _steps double")
     )
     total = fitted["total"]
     room = float(np.log10(total + 0.5 * (fitted["distinct"] + 1)))
     logs = F.col("_logs") + F.coalesce("_more", F.lit(0.0))
-    return (
-        parts.drop("_codes", "_times", "_pairs")
-        .join(sums, "_row", "left")
-        .select(
-            *keep,
-            "n_tokens",
-            (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"),
-            (logs - F.col("n_tokens") * room).alias("base_score"),
-            (logs + F.col("_model") + F.coalesce("_steps", F.lit(0.0))).alias("score"),
-        )
+    return resolved.select(
+        *keep,
+        "n_tokens",
+        (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (logs - F.col("n_tokens") * room).alias("base_score"),
+        (logs + F.col("_model") + F.col("_steps")).alias("score"),
     )
