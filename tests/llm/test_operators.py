@@ -27,6 +27,7 @@ from tonelake.llm import (
     toxicity,
 )
 from tonelake.llm.common import remainder
+from tonelake.llm.scratch import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -457,6 +458,33 @@ def test_long_lines_recur_from_two_texts_and_short_ones_with_digits(spark):
         assert out[i].text == "\n".join([t, *left])
 
 
+def test_lines_that_cannot_recur_are_not_shuffled(spark, docs, monkeypatch):
+    plans = {}
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, label)
+
+    want = found(lines.without_recurring(docs))
+    monkeypatch.setattr(lines, "written", seen)
+    for bits in (6, 25):  # with 64 places many lines pass by chance
+        monkeypatch.setattr(lines, "LEAF_BITS", bits)
+        assert found(lines.without_recurring(docs)) == want
+        assert "hashpartitioning" not in plans["lines"] and "Join" not in plans["lines"]
+
+
+def test_words_of_a_line_as_by_pattern():
+    rng = random.Random(12)
+    space = " \t\r\x0b\f"
+    for _ in range(2_000):
+        line = "".join(rng.choice(space + "ab1<*>é\u00a0\u2028\x1c٣") for _ in range(rng.randrange(14)))
+        words = [w for w in re.split(f"[{space}]+", line) if w]
+        words = ["<*>" if re.search("[0-9]", w) else w for w in words]
+        plain = any(not re.search("[0-9]", w) for w in re.split(f"[{space}]+", line) if w)
+        got = lines._words(line.encode())
+        assert got == ([w.encode() for w in words] if plain else None)
+
+
 def test_toxicity_learns_words_and_empty_texts_score_zero(spark):
     rng = random.Random(1)
     clean = [" ".join(f"a{rng.randint(0, 80)}" for _ in range(40)) for _ in range(120)]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonelake.llm.common import CODES_HELD, lower_words, raw, small_batches
+from tonelake.llm.common import CODES_HELD, bit_map, in_bit_map, lower_words, raw, small_batches
 from tonelake.llm.scratch import written
 
 #: Frequent words exchanged over the classes, the classes, and the classes of endings that rare and
@@ -162,18 +162,12 @@ def seen_map(counts: DataFrame, bits: int = SEEN_BITS) -> np.ndarray:
     A word that is not in it is rarer, so its class is that of its ending. One that is in it is looked
     up; with far more words than places nearly all are, with the same result.
     """
-    slot = F.shiftrightunsigned("code", 5).bitwiseAND((1 << bits) - 1)
-    words = counts.where(F.col("n") >= SEEN).select(slot.alias("slot")).groupBy(F.expr("slot >> 6").alias("word"))
-    # At most 2 ** (bits - 6) rows of two numbers.
-    found = words.agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[found["word"].to_numpy()] = found["mask"].to_numpy()
-    return table.view(np.uint64)
+    words = counts.where(F.col("n") >= SEEN)
+    return bit_map(words.select(F.shiftrightunsigned("code", 5).alias("slot")), "slot", bits)
 
 
 def _perhaps(seen: np.ndarray, code: np.ndarray) -> np.ndarray:
-    slot = (code >> np.uint64(5)) & np.uint64(64 * len(seen) - 1)
-    return (seen[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    return in_bit_map(seen, code >> np.uint64(5))
 
 
 def _kinds(at: np.ndarray, code: np.ndarray, own: np.ndarray, seen: np.ndarray) -> np.ndarray:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonelake.llm.common import Codes, bit_map, in_bit_map, raw, small_batches
 from tonelake.llm.scratch import written
 
 #: Leading words that, with the number of words, choose a leaf.
@@ -15,29 +22,95 @@ MIN_DOCS = 5
 LONG_DOCS, LONG = 2, 20
 #: Share of a template's places that must be fixed words or fields with digits; one is a word at least.
 FIXED = 0.6
-WILD = "<*>"
+WILD = b"<*>"
+#: The code of a variable field.
+WILD_CODE = int(np.uint64(xxhash.xxh3_64_intdigest(WILD)).view(np.int64))
+#: Places, as a power of two, of the bit map of leaves that enough texts reach (4 MB).
+LEAF_BITS = 25
+_DIGITS = b"0123456789"
 
 
-_SPACE = r" \t\r\x0B\f"
-#: A whole word with a digit in it, and a line that has a word without one.
-_FIELD = rf"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+"
-_PLAIN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9]++(?![^{_SPACE}])"
+def _words(line: bytes) -> list[bytes] | None:
+    """Words of a line; one that holds a digit is a variable field. None if no word is without one."""
+    words = line.split()
+    if not words:
+        return None
+    if len(line.translate(None, _DIGITS)) == len(line):
+        return words
+    words = [w if len(w.translate(None, _DIGITS)) == len(w) else None for w in words]
+    if words.count(None) == len(words):
+        return None
+    return [WILD if w is None else w for w in words]
 
 
-def _words(line: Column) -> Column:
-    """Words of a line; one that holds a digit is a variable field."""
-    return F.array_remove(F.split(F.regexp_replace(line, _FIELD, WILD), f"[{_SPACE}]+"), "")
+def _leaf(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d %b" % (len(words), b" ".join(words[:DEPTH])))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, at, words, leaf) of each line with MIN_WORDS words; doc is a hash of the text."""
-    return (
-        docs.where("text is not null")
-        .select("doc_id", F.md5("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .where(F.col("line").rlike(_PLAIN))
-        .select("doc_id", "doc", "at", _words(F.col("line")).alias("words"))
-        .withColumn("leaf", F.xxhash64(F.size("words"), F.slice("words", 1, DEPTH)))
-    )
+def _signed(codes: list[int]) -> pa.Array:
+    return pa.array(np.array(codes, np.uint64).view(np.int64))
+
+
+def leaf_texts(docs: DataFrame) -> DataFrame:
+    """(leaf, doc, long): each leaf that a text's lines reach, once; doc is a hash of the text, and
+    long tells that the leaf's lines have LONG words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", 4_000_000):
+            leaf, doc, long = [], [], []
+            for text in raw(batch.column("text")):
+                found = {_leaf(w): len(w) >= LONG for w in map(_words, text.split(b"\n")) if w}
+                leaf += found.keys()
+                long += found.values()
+                doc += [xxhash.xxh3_64_intdigest(text)] * len(found)
+            yield pa.RecordBatch.from_arrays(
+                [_signed(leaf), _signed(doc), pa.array(long, pa.bool_())], names=["leaf", "doc", "long"]
+            )
+
+    return docs.where("text is not null").select("text").mapInArrow(run, "leaf long, doc long, long boolean")
+
+
+def line_rows(docs: DataFrame, leaves: np.ndarray) -> DataFrame:
+    """(doc_id, doc, at, leaf, line, words) of each line whose leaf is in the bit map `leaves`.
+
+    doc is a hash of the text, line one of the words, and words their codes.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(leaves)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, codes = held.value, Codes()
+        for batch in small_batches(batches, "text", 4_000_000):
+            rows, leaf, words = [], [], []
+            for i, text in enumerate(raw(batch.column("text"))):
+                for at, line in enumerate(text.split(b"\n")):
+                    if w := _words(line):
+                        rows.append((i, at))
+                        leaf.append(_leaf(w))
+                        words.append(w)
+            near = np.flatnonzero(in_bit_map(seen, np.array(leaf, np.uint64)))
+            if not len(near):
+                continue
+            leaf, words = [leaf[k] for k in near], [words[k] for k in near]
+            of, at = np.array(rows, np.int32)[near].T
+            texts = raw(batch.column("text"))
+            digest = {i: hashlib.md5(texts[i]).hexdigest() for i in set(of.tolist())}
+            sizes = np.cumsum([0, *map(len, words)]).astype(np.int32)
+            flat = _signed([codes[x] for w in words for x in w])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(of)),
+                    pa.array([digest[i] for i in of.tolist()]),
+                    pa.array(at),
+                    _signed(leaf),
+                    _signed([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words]),
+                    pa.ListArray.from_arrays(pa.array(sizes), flat),
+                ],
+                names=["doc_id", "doc", "at", "leaf", "line", "words"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, doc string, at int, leaf long, line long, words array<long>"
+    return docs.where("text is not null").select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _template(least: Column) -> Column:
@@ -63,29 +136,26 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     many, as that one needs fewer texts. Leaves that too few texts reach are dropped by a count first, so only lines that
     can recur are spread to words. All counts are partial sums; no leaf is gathered in one task.
     """
-    rows = line_rows(docs)
     wanted = F.when(F.size("words") >= LONG, min(min_docs, LONG_DOCS)).otherwise(min_docs)
     leaves = (
-        rows.select("leaf", "doc", wanted.alias("wanted"))
+        leaf_texts(docs)
         .distinct()
         .groupBy("leaf")
-        .agg(F.count("*").alias("texts"), F.min("wanted").alias("wanted"))
-        .where("texts >= wanted")
-        .select("leaf")
+        .agg(F.count("*").alias("texts"), F.first("long").alias("long"))
+        .where(F.col("texts") >= F.when(F.col("long"), min(min_docs, LONG_DOCS)).otherwise(min_docs))
     )
-    near = written(rows.join(leaves, "leaf"), "lines")
-    line = F.xxhash64("words").alias("line")
-    lines = near.select("leaf", line, "doc", "words")
+    near = written(line_rows(docs, bit_map(leaves, "leaf", LEAF_BITS)), "lines")
+    lines = near.select("leaf", "line", "doc", "words")
     texts = lines.groupBy("leaf", "line").agg(
         F.countDistinct("doc").alias("texts"), F.first("words").alias("words")
     )
-    digits = F.size(F.filter("words", lambda w: w == WILD))
+    digits = F.size(F.filter("words", lambda w: w == WILD_CODE))
     least = F.greatest(F.ceil(FIXED * F.size("words")) - digits, F.lit(1)).cast("int")
     texts = written(texts.withColumn("least", least), "line_texts")
     # Distinct lines carry their counts, so a line in many texts is spread to words once.
     places = texts.select("leaf", "line", "texts", wanted.alias("wanted"), F.posexplode("words").alias("place", "word"))
     common = (
-        places.where(F.col("word") != WILD)
+        places.where(F.col("word") != WILD_CODE)
         .groupBy("leaf", "place", "word")
         .agg(F.sum("texts").alias("seen"), F.min("wanted").alias("wanted"))
         .where("seen >= wanted")
@@ -107,7 +177,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         .select("leaf", "line", F.inline("found"))
     )
     templates = written(templates, "line_templates")
-    placed = near.select("doc_id", "doc", "at", "leaf", line).join(templates, ["leaf", "line"])
+    placed = near.select("doc_id", "doc", "at", "leaf", "line").join(templates, ["leaf", "line"])
     found = (
         placed.groupBy("template")
         .agg(
