@@ -372,6 +372,34 @@ def test_lacking_classes_are_gathered_by_word_not_joined_per_pair(spark):
     assert {(r.ka, r.kb): r.n for r in sums} == dict(want)
 
 
+def test_one_look_up_serves_transitions_and_scores(spark, docs, monkeypatch):
+    monkeypatch.setattr(brown, "HELD_WORDS", 60)
+    rows = docs.select("doc_id", "text", (F.col("doc_id") % 5 == 1).alias("held_out"))
+    fitted = brown.fit(rows.where("not held_out").select("text"), clustered=50)
+    want = found(brown.scored(rows, fitted))
+    made, looked_up = [], brown.looked_up
+    monkeypatch.setattr(brown, "looked_up", lambda *args: made.append(looked_up(*args)) or made[-1])
+    got = found(brown.fitted_scores(rows, "held_out", clustered=50))
+    for key, r in got.items():
+        assert r[:-1] == want[key][:-1] and r.score == pytest.approx(want[key].score)
+    (texts,) = made
+    # Transitions by a plain walk over the words of the training texts.
+    m = fitted["model"]
+    kinds = {r.code: r.kind for r in fitted["words"].collect()}
+    kinds |= dict(zip(m["held"].view(np.int64).tolist(), m["held_kind"].tolist()))
+    codes, steps = brown.WordCodes(), collections.Counter()
+    for r in rows.where("not held_out").collect():
+        before = brown.END_CLASS
+        for word in (r.text or "").encode().lower().split():
+            code = int(np.uint64(codes[word]).view(np.int64))
+            kind = kinds.get(code, brown.CLASSES + code % brown.ENDINGS)
+            steps[before * brown.ALL_CLASSES + kind] += 1
+            before = kind
+        steps[before * brown.ALL_CLASSES + brown.END_CLASS] += 1
+    cells = collections.Counter(c for r in texts.where("not held_out").collect() for c in r._cells)
+    assert cells == steps
+
+
 def test_passages_with_substitutions_are_found(spark, docs):
     rng = random.Random(9)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(40)]

@@ -330,17 +330,6 @@ def placed(words: DataFrame, steps: np.ndarray) -> DataFrame:
     return words.where(F.col("n") >= SEEN).mapInArrow(run, "code long, n long, kind int")
 
 
-def _open_pairs(code: np.ndarray, kind: np.ndarray, before: np.ndarray, rows: np.ndarray) -> pa.StructArray:
-    """Neighbouring tokens at `rows`, the first (a, ka) and the second (b, kb): classes, or -1 and the code."""
-    ka, kb = before[rows], kind[rows]
-    a, b = np.where(ka < 0, np.append(code[-1:], code[:-1])[rows], 0), np.where(kb < 0, code[rows], 0)
-    sides = [a.astype(np.uint64).view(np.int64), ka.astype(np.int16), b.astype(np.uint64).view(np.int64), kb.astype(np.int16)]
-    return pa.StructArray.from_arrays([pa.array(x) for x in sides], names=["a", "ka", "b", "kb"])
-
-
-PAIR = "struct<a:long,ka:short,b:long,kb:short>"
-
-
 def _of_ending(code: str) -> Column:
     return (F.col(code).bitwiseAND(ENDINGS - 1) + CLASSES).cast("int")
 
@@ -363,7 +352,10 @@ def gathered(rows: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def classed(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(ka, kb, times) of the pairs, those classes looked up that are -1: those of `words`, or else of endings."""
+    """(ka, kb, times) of the pairs, those classes looked up that are -1: those of `words`, or else of endings.
+
+    For pairs that come as a table; the model finds the classes of a text's neighbours by `looked_up`.
+    """
     once = F.lit(1).cast("long").alias("times")
     # A cell is the class on the left of the word, or ALL_CLASSES more than the one on its right.
     right = (F.col("kb") + ALL_CLASSES).cast("int").alias("cell")
@@ -380,60 +372,22 @@ def classed(pairs: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def transitions(
-    texts: DataFrame, held_words: np.ndarray, kinds: np.ndarray, seen: np.ndarray, words: DataFrame
-) -> np.ndarray:
-    """How often each class follows each other one over all tokens of encoded texts. kinds: classes of
-    the held words; those of the others are gathered by word."""
-    held = texts.sparkSession.sparkContext.broadcast((held_words, np.append(kinds, END_CLASS), seen))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, own, seen = held.value
-        total = np.zeros(ALL_CLASSES**2, np.int64)
-        for code in _decoded(batches):
-            at = _held_places(code, frequent)
-            kind = _kinds(at, code, own, seen)
-            before = np.concatenate([[END_CLASS], kind[:-1]])
-            known = (kind >= 0) & (before >= 0)
-            total += np.bincount(before[known] * ALL_CLASSES + kind[known], minlength=len(total))
-            rows = _open_pairs(code, kind, before, np.flatnonzero(~known))
-            yield made(rows, [])
-        yield made(none, total)
-
-    none = _open_pairs(*[np.empty(0, np.int64)] * 4)
-
-    def made(rows: pa.StructArray, times: np.ndarray | list) -> pa.RecordBatch:
-        lists = [
-            pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows, pa.array(times, pa.int64()))
-        ]
-        return pa.RecordBatch.from_arrays(lists, names=["pairs", "times"])
-
-    counted = written(texts.mapInArrow(run, f"pairs array<{PAIR}>, times array<long>"), "class_pairs")
-    known = counted.select(F.posexplode("times").alias("at", "times")).where("times > 0")
-    known = known.selectExpr(f"at div {ALL_CLASSES} as ka", f"at % {ALL_CLASSES} as kb", "times")
-    found = classed(counted.select(F.inline("pairs")), words)
-    steps = np.zeros((ALL_CLASSES, ALL_CLASSES))
-    # At most ALL_CLASSES ** 2 rows of three numbers.
-    for r in known.unionByName(found).groupBy("ka", "kb").agg(F.sum("times").alias("n")).collect():
-        steps[r.ka, r.kb] = r.n
-    return steps
-
-
-def fit(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
-    """Counts and classes of all words of `docs`, and transitions between classes.
+def word_classes(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
+    """Counts and classes of all words of `docs`.
 
     The most frequent words are exchanged over the classes; their pairs are a table of fixed size,
     which one task clusters. Every other word seen SEEN times or more, however many there are, goes
     to the class of the largest exchange gain by the classes it stands between: its counts are
     gathered by a shuffle and its class comes from them alone. Words seen less often keep the class
     of their last three bytes, which so tells what unseen words, of the same classes, are like. The
-    table of words has one row per distinct word and stays distributed. Transitions are then counted
-    anew over all tokens.
+    table of words has one row per distinct word and stays distributed.
     """
     texts = written(encoded(docs), "tokens")
     counts = written(token_counts(texts), "token_counts")
     end = int(END_CODE.view(np.int64))
-    total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
+    total, distinct, ends = counts.agg(
+        F.sum("n"), F.count("*"), F.sum(F.when(F.col("code") == end, F.col("n")))
+    ).first()
     top = counts.where(F.col("code") != end).orderBy(F.desc("n"), "code").limit(HELD_WORDS)
     top = top.toArrow()
     by_rank, n_by_rank = top["code"].to_numpy().view(np.uint64), top["n"].to_numpy()
@@ -465,60 +419,78 @@ def fit(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
     place = _places(held, chosen)
     core = place >= 0
     kinds[core] = of[place[core]]
-    steps = transitions(texts, held, kinds, seen, words)
     # Sizes of classes: of words placed, of rarer ones by their endings, and of clustered ones.
     size, distinct_in = np.zeros(ALL_CLASSES), np.zeros(ALL_CLASSES)
-    ending = (F.col("code").bitwiseAND(ENDINGS - 1) + CLASSES).cast("int").alias("kind")
-    rare = counts.where((F.col("n") < SEEN) & (F.col("code") != end)).select(ending, "n")
+    rare = counts.where((F.col("n") < SEEN) & (F.col("code") != end)).select(_of_ending("code").alias("kind"), "n")
     for kind, n, k in words.select("kind", "n").unionByName(rare).groupBy("kind").agg(F.sum("n"), F.count("*")).collect():
         size[kind], distinct_in[kind] = n, k
     rare = core & (held_n < SEEN)
     for at, sign, which in ((_ending(held), -1, rare), (kinds, 1, core)):
         np.add.at(size, at[which], sign * held_n[which])
         np.add.at(distinct_in, at[which], sign)
-    size[END_CLASS] = steps[:, END_CLASS].sum()
+    size[END_CLASS] = int(ends or 0)
     distinct_in[END_CLASS] = 1
-    smooth = steps + 0.5
     return {
         "counts": counts,
         "words": words,
         "total": int(total or 0),
         "distinct": int(distinct or 0),
         "model": {
-            "step": np.log10(smooth) - np.log10(smooth.sum(axis=1, keepdims=True)),
             "room": np.log10(size + 0.5 * (distinct_in + 1)),
             "held": held,
             "held_n": held_n,
             "held_kind": kinds,
             "seen": seen,
-            "ends": int(size[END_CLASS]),
+            "ends": int(ends or 0),
         },
     }
 
 
+def _with_steps(classes: dict, texts: DataFrame) -> dict:
+    """The model of `word_classes` with transitions, counted over all tokens of `looked_up` texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ALL_CLASSES**2, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("_cells").flatten().to_numpy(), minlength=len(total))
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], names=["cell", "n"])
+
+    steps = np.zeros(ALL_CLASSES**2)
+    # At most ALL_CLASSES ** 2 rows of two numbers.
+    for r in texts.select("_cells").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        steps[r.cell] = r.n
+    smooth = steps.reshape(ALL_CLASSES, ALL_CLASSES) + 0.5
+    step = np.log10(smooth) - np.log10(smooth.sum(axis=1, keepdims=True))
+    return {**classes, "model": {**classes["model"], "step": step}}
+
+
+def fit(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
+    """Counts and classes of all words of `docs`, and transitions between classes."""
+    classes = word_classes(docs, clustered)
+    return _with_steps(classes, looked_up(docs.select("text"), classes))
+
+
 def _bounds(lists: pa.Array) -> np.ndarray:
     """Where each list starts among the flattened values, and where the last one stops; a null is empty."""
     return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
 
 
-def scored(docs: DataFrame, fitted: dict) -> DataFrame:
-    """Every row with n_tokens, n_known, train_tokens, base_score and score (log10, whole text).
+def looked_up(docs: DataFrame, classes: dict) -> DataFrame:
+    """Every row with n_tokens, its tokens known, the sum of log10 of their counts and 0.5, and _cells: for each
+    token, ALL_CLASSES times the class before it plus its own.
 
-    score: for each token, log10 of the transition from the class before, plus log10 of its share in
-    its own class: (c + 0.5) / (class tokens + 0.5 * (class words + 1)), so an unseen word has a
-    share too. base_score is the smoothed unigram sum. Counts and classes of frequent words are held
-    by each task; the counts and classes of other words are joined once per text, so no frequent word
-    is a join key, and neighbours that lacked a class then find it in their own text's list. A null or
-    empty text is its end alone.
+    Counts and classes of frequent words are held by each task; the counts and classes of other words
+    are joined once per text, so no frequent word is a join key, and neighbours that lacked a class
+    then find it in their own text's list. A null or empty text is its end alone.
     """
     keep = [c for c in docs.columns if c != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    held = docs.sparkSession.sparkContext.broadcast(fitted["model"])
+    held = docs.sparkSession.sparkContext.broadcast(classes["model"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, codes = held.value, WordCodes()
         own, counts = np.append(m["held_kind"], END_CLASS), np.append(m["held_n"], m["ends"])
-        value = m["step"] - m["room"]
         for batch in small_batches(batches, "text", 1_000_000):
             flat, stops = tokens(raw(batch.column("text")), codes)
             starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
@@ -528,7 +500,6 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
             kind = _kinds(at, flat, own, m["seen"])
             before = np.concatenate([[END_CLASS], kind[:-1]])
             both = (kind >= 0) & (before >= 0)
-            model = np.add.reduceat(np.where(both, value[before, kind], 0.0), starts)
             known = np.add.reduceat(np.where(rest, 0, (n > 0).astype(np.int64)), starts)
             logs = np.add.reduceat(np.where(rest, 0.0, np.log10(n + 0.5)), starts)
             bounds = np.concatenate([[0], stops])
@@ -547,24 +518,26 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
             place = np.empty(len(row), np.int64)
             place[order] = np.cumsum(number) - 1 - begin[row]
             symbol[rest] = np.where(kind[rest] < 0, ALL_CLASSES + place, kind[rest])
-            lacking = pa.array(np.concatenate([[0], np.cumsum(~both)])[bounds].astype(np.int32))
             left = np.concatenate([[END_CLASS], symbol[:-1]])
+            lacking = pa.array(np.concatenate([[0], np.cumsum(~both)])[bounds].astype(np.int32))
             sides = [pa.ListArray.from_arrays(lacking, pa.array(x[~both].astype(np.int32))) for x in (left, symbol)]
+            cells = pa.array((before[both] * ALL_CLASSES + kind[both]).astype(np.int16))
+            complete = pa.array(np.concatenate([[0], np.cumsum(both)])[bounds].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep]
                 + [
                     pa.array(stops - starts),
                     pa.array(known),
                     pa.array(logs),
-                    pa.array(model),
+                    pa.ListArray.from_arrays(complete, cells),
                     pa.ListArray.from_arrays(offsets, pa.array(code[first].view(np.int64))),
                     pa.ListArray.from_arrays(offsets, pa.array(times)),
                     *sides,
                 ],
-                names=[*keep, "n_tokens", "_known", "_logs", "_model", "_codes", "_times", "_left", "_right"],
+                names=[*keep, "n_tokens", "_known", "_logs", "_cells", "_codes", "_times", "_left", "_right"],
             )
 
-    head = (fields + ", " if fields else "") + "n_tokens long, _known long, _logs double, _model double"
+    head = (fields + ", " if fields else "") + "n_tokens long, _known long, _logs double, _cells array<short>"
     schema = head + ", _codes array<long>, _times array<int>, _left array<int>, _right array<int>"
     parts = docs.select(*keep, "text").mapInArrow(run, schema)
     parts = written(parts.withColumn("_row", F.monotonically_increasing_id()), "parts")
@@ -573,9 +546,9 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
     )
     n = F.coalesce("n", F.lit(0))
     kind = F.coalesce("kind", _of_ending("code"))
-    looked_up = rest.join(fitted["counts"], "code", "left").join(fitted["words"].select("code", "kind"), "code", "left")
+    met = rest.join(classes["counts"], "code", "left").join(classes["words"].select("code", "kind"), "code", "left")
     sums = (
-        looked_up.select(
+        met.select(
             "_row",
             (F.col("t") * F.log10(n + 0.5)).alias("more"),
             F.when(n > 0, F.col("t")).otherwise(0).alias("found"),
@@ -585,11 +558,9 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
         .groupBy("_row")
         .agg(F.sum("more").alias("_more"), F.sum("found").alias("_found"), F.collect_list("at").alias("_kinds"))
     )
-    value = fitted["model"]["step"] - fitted["model"]["room"]
-    shared = docs.sparkSession.sparkContext.broadcast(value)
-    names = [*keep, "n_tokens", "_known", "_logs", "_model", "_more", "_found"]
+    names = [*keep, "n_tokens", "_known", "_logs"]
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs, kinds = np.diff(_bounds(batch.column("_left"))), _bounds(batch.column("_kinds"))
             text = np.repeat(np.arange(batch.num_rows), pairs)
@@ -601,23 +572,66 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
                 np.where(x < ALL_CLASSES, x, kind[np.where(x < ALL_CLASSES, 0, kinds[text] + x - ALL_CLASSES)])
                 for x in sides
             )
-            steps = np.bincount(text, shared.value[ka, kb], batch.num_rows).astype(float)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(steps)], names=[*names, "_steps"])
-
-    resolved = (
+            had = np.diff(_bounds(batch.column("_cells")))
+            cells = np.concatenate([batch.column("_cells").flatten().to_numpy(), ka * ALL_CLASSES + kb]).astype(np.int16)
+            order = np.argsort(np.concatenate([np.repeat(np.arange(batch.num_rows), had), text]), kind="stable")
+            offsets = np.concatenate([[0], np.cumsum(had + pairs)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells[order]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], names=[*names, "_cells"])
+
+    more, found = F.coalesce("_more", F.lit(0.0)), F.coalesce("_found", F.lit(0))
+    texts = (
         parts.drop("_codes", "_times")
         .join(sums, "_row", "left")
-        .select(*names, "_left", "_right", "_kinds")
-        .mapInArrow(step, head + ", _more double, _found long, _steps double")
+        .withColumn("_logs", F.col("_logs") + more)
+        .withColumn("_known", F.col("_known") + found)
+        .select(*names, "_cells", "_left", "_right", "_kinds")
+        .mapInArrow(complete, head)
     )
+    return written(texts, "text_cells")
+
+
+def _summed(texts: DataFrame, fitted: dict) -> DataFrame:
+    """The scores of `looked_up` texts."""
+    own = ("n_tokens", "_known", "_logs", "_cells")
+    keep = [c for c in texts.columns if c not in own]
+    names = [*keep, *own[:-1]]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*names).schema.fields)
+    value = fitted["model"]["step"] - fitted["model"]["room"]
+    shared = texts.sparkSession.sparkContext.broadcast(value.ravel())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = np.repeat(np.arange(batch.num_rows), np.diff(_bounds(batch.column("_cells"))))
+            steps = shared.value[batch.column("_cells").flatten().to_numpy()]
+            steps = np.bincount(text, steps, batch.num_rows).astype(float)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(steps)], names=[*names, "_steps"])
+
     total = fitted["total"]
     room = float(np.log10(total + 0.5 * (fitted["distinct"] + 1)))
-    logs = F.col("_logs") + F.coalesce("_more", F.lit(0.0))
-    return resolved.select(
+    return texts.mapInArrow(run, f"{fields}, _steps double").select(
         *keep,
         "n_tokens",
-        (F.col("_known") + F.coalesce("_found", F.lit(0))).alias("n_known"),
+        F.col("_known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * room).alias("base_score"),
-        (logs + F.col("_model") + F.col("_steps")).alias("score"),
+        (F.col("_logs") - F.col("n_tokens") * room).alias("base_score"),
+        (F.col("_logs") + F.col("_steps")).alias("score"),
     )
+
+
+def scored(docs: DataFrame, fitted: dict) -> DataFrame:
+    """Every row with n_tokens, n_known, train_tokens, base_score and score (log10, whole text).
+
+    score: for each token, log10 of the transition from the class before, plus log10 of its share in
+    its own class: (c + 0.5) / (class tokens + 0.5 * (class words + 1)), so an unseen word has a
+    share too. base_score is the smoothed unigram sum.
+    """
+    return _summed(looked_up(docs, fitted), fitted)
+
+
+def fitted_scores(docs: DataFrame, held_out: str, clustered: int = CLUSTERED) -> DataFrame:
+    """`scored` rows of all `docs` by the model fitted on those whose column `held_out` is false. The words
+    of a text are looked up once, for the transitions and for its score."""
+    classes = word_classes(docs.where(~F.col(held_out)), clustered)
+    texts = looked_up(docs, classes)
+    return _summed(texts, _with_steps(classes, texts.where(~F.col(held_out))))
