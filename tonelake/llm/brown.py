@@ -55,7 +55,9 @@ def tokens(texts: list[bytes], codes: WordCodes) -> tuple[np.ndarray, np.ndarray
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """codes: every text's tokens, its end included."""
+    """Every row, with codes in place of its text: the text's tokens, its end included."""
+    keep = [c for c in docs.columns if c != "text"]
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
@@ -63,20 +65,27 @@ def encoded(docs: DataFrame) -> DataFrame:
             flat, stops = tokens(raw(batch.column("text")), codes)
             offsets = pa.array(np.concatenate([[0], stops]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([lists], names=["codes"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], names=[*keep, "codes"])
 
-    return docs.select("text").mapInArrow(run, "codes array<long>")
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}codes array<long>")
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], limit: int = 600_000) -> Iterator[np.ndarray]:
-    """All codes of some texts one after the other, about `limit` at a time."""
+def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `limit` codes, at least one row each."""
     for batch in batches:
-        sizes = np.diff(batch.column("codes").offsets.to_numpy())
+        stops = np.cumsum(np.diff(_bounds(batch.column("codes"))))
         start = 0
-        while start < len(sizes):
-            n = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), limit, "right")))
-            yield batch.column("codes").slice(start, n).flatten().to_numpy().view(np.uint64)
-            start += n
+        while start < len(stops):
+            had = stops[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(stops, had + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], limit: int = 600_000) -> Iterator[np.ndarray]:
+    """All codes of some texts one after the other, about `limit` at a time."""
+    for batch in _slices(batches, limit):
+        yield batch.column("codes").flatten().to_numpy().view(np.uint64)
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -372,8 +381,8 @@ def classed(pairs: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def word_classes(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
-    """Counts and classes of all words of `docs`.
+def word_classes(texts: DataFrame, clustered: int = CLUSTERED) -> dict:
+    """Counts and classes of all words of encoded texts.
 
     The most frequent words are exchanged over the classes; their pairs are a table of fixed size,
     which one task clusters. Every other word seen SEEN times or more, however many there are, goes
@@ -382,7 +391,7 @@ def word_classes(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
     of their last three bytes, which so tells what unseen words, of the same classes, are like. The
     table of words has one row per distinct word and stays distributed.
     """
-    texts = written(encoded(docs), "tokens")
+    texts = texts.select("codes")
     counts = written(token_counts(texts), "token_counts")
     end = int(END_CODE.view(np.int64))
     total, distinct, ends = counts.agg(
@@ -412,7 +421,7 @@ def word_classes(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
     steps = np.array(found.steps if found else np.zeros(ALL_CLASSES**2)).reshape(ALL_CLASSES, ALL_CLASSES)
     words = written(placed(surroundings(texts, chosen, of, held, seen), steps), "words")
     # Classes of the held words: at most HELD_WORDS rows of two numbers.
-    codes = docs.sparkSession.createDataFrame(pa.table({"code": held.view(np.int64)}))
+    codes = texts.sparkSession.createDataFrame(pa.table({"code": held.view(np.int64)}))
     known = words.join(F.broadcast(codes), "code").select("code", "kind").toArrow()
     kinds = _ending(held)
     kinds[_places(known["code"].to_numpy().view(np.uint64), held)] = known["kind"].to_numpy()
@@ -467,8 +476,9 @@ def _with_steps(classes: dict, texts: DataFrame) -> dict:
 
 def fit(docs: DataFrame, clustered: int = CLUSTERED) -> dict:
     """Counts and classes of all words of `docs`, and transitions between classes."""
-    classes = word_classes(docs, clustered)
-    return _with_steps(classes, looked_up(docs.select("text"), classes))
+    texts = written(encoded(docs.select("text")), "tokens", "zstd")
+    classes = word_classes(texts, clustered)
+    return _with_steps(classes, looked_up(texts, classes))
 
 
 def _bounds(lists: pa.Array) -> np.ndarray:
@@ -476,32 +486,33 @@ def _bounds(lists: pa.Array) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
 
 
-def looked_up(docs: DataFrame, classes: dict) -> DataFrame:
-    """Every row with n_tokens, its tokens known, the sum of log10 of their counts and 0.5, and _cells: for each
+def looked_up(texts: DataFrame, classes: dict) -> DataFrame:
+    """Every row of encoded texts with n_tokens, its tokens known, the sum of log10 of their counts and 0.5, and _cells: for each
     token, ALL_CLASSES times the class before it plus its own.
 
     Counts and classes of frequent words are held by each task; the counts and classes of other words
     are joined once per text, so no frequent word is a join key, and neighbours that lacked a class
     then find it in their own text's list. A null or empty text is its end alone.
     """
-    keep = [c for c in docs.columns if c != "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    held = docs.sparkSession.sparkContext.broadcast(classes["model"])
+    keep = [c for c in texts.columns if c != "codes"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "codes")
+    held = texts.sparkSession.sparkContext.broadcast(classes["model"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, codes = held.value, WordCodes()
+        m = held.value
         own, counts = np.append(m["held_kind"], END_CLASS), np.append(m["held_n"], m["ends"])
-        for batch in small_batches(batches, "text", 1_000_000):
-            flat, stops = tokens(raw(batch.column("text")), codes)
+        log, some = np.log10(counts + 0.5), (counts > 0).astype(np.int64)
+        for batch in _slices(batches, 200_000):
+            stops = _bounds(batch.column("codes"))[1:]
+            flat = batch.column("codes").flatten().to_numpy().view(np.uint64)
             starts = np.concatenate([[0], stops[:-1]]).astype(np.int64)
             at = _held_places(flat, m["held"])
             rest = at < 0
-            n = np.where(rest, 0, counts[at])
             kind = _kinds(at, flat, own, m["seen"])
             before = np.concatenate([[END_CLASS], kind[:-1]])
             both = (kind >= 0) & (before >= 0)
-            known = np.add.reduceat(np.where(rest, 0, (n > 0).astype(np.int64)), starts)
-            logs = np.add.reduceat(np.where(rest, 0.0, np.log10(n + 0.5)), starts)
+            known = np.add.reduceat(np.where(rest, 0, some[at]), starts)
+            logs = np.add.reduceat(np.where(rest, 0.0, log[at]), starts)
             bounds = np.concatenate([[0], stops])
             # Each text's other words, once each.
             row, code = np.searchsorted(stops, np.flatnonzero(rest), "right"), flat[rest]
@@ -539,8 +550,8 @@ def looked_up(docs: DataFrame, classes: dict) -> DataFrame:
 
     head = (fields + ", " if fields else "") + "n_tokens long, _known long, _logs double, _cells array<short>"
     schema = head + ", _codes array<long>, _times array<int>, _left array<int>, _right array<int>"
-    parts = docs.select(*keep, "text").mapInArrow(run, schema)
-    parts = written(parts.withColumn("_row", F.monotonically_increasing_id()), "parts")
+    parts = texts.select(*keep, "codes").mapInArrow(run, schema)
+    parts = written(parts.withColumn("_row", F.monotonically_increasing_id()), "parts", "zstd")
     rest = parts.select("_row", F.posexplode(F.arrays_zip("_codes", "_times")).alias("place", "x")).select(
         "_row", "place", F.col("x._codes").alias("code"), F.col("x._times").alias("t")
     )
@@ -580,7 +591,7 @@ def looked_up(docs: DataFrame, classes: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], names=[*names, "_cells"])
 
     more, found = F.coalesce("_more", F.lit(0.0)), F.coalesce("_found", F.lit(0))
-    texts = (
+    ready = (
         parts.drop("_codes", "_times")
         .join(sums, "_row", "left")
         .withColumn("_logs", F.col("_logs") + more)
@@ -588,7 +599,7 @@ def looked_up(docs: DataFrame, classes: dict) -> DataFrame:
         .select(*names, "_cells", "_left", "_right", "_kinds")
         .mapInArrow(complete, head)
     )
-    return written(texts, "text_cells")
+    return written(ready, "text_cells", "zstd")
 
 
 def _summed(texts: DataFrame, fitted: dict) -> DataFrame:
@@ -626,12 +637,13 @@ def scored(docs: DataFrame, fitted: dict) -> DataFrame:
     its own class: (c + 0.5) / (class tokens + 0.5 * (class words + 1)), so an unseen word has a
     share too. base_score is the smoothed unigram sum.
     """
-    return _summed(looked_up(docs, fitted), fitted)
+    return _summed(looked_up(encoded(docs), fitted), fitted)
 
 
 def fitted_scores(docs: DataFrame, held_out: str, clustered: int = CLUSTERED) -> DataFrame:
     """`scored` rows of all `docs` by the model fitted on those whose column `held_out` is false. The words
-    of a text are looked up once, for the transitions and for its score."""
-    classes = word_classes(docs.where(~F.col(held_out)), clustered)
-    texts = looked_up(docs, classes)
+    of a text are encoded and looked up once, for the fit and for its score."""
+    texts = written(encoded(docs), "tokens", "zstd")
+    classes = word_classes(texts.where(~F.col(held_out)), clustered)
+    texts = looked_up(texts, classes)
     return _summed(texts, _with_steps(classes, texts.where(~F.col(held_out))))
