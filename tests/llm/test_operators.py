@@ -440,6 +440,56 @@ def test_items_of_every_length_are_found_with_substitutions(spark, monkeypatch,
     assert {(r.doc_id, r.item_id) for r in out} == {(i, i) for i in range(last + 1)} | {(None, last)}
 
 
+@pytest.mark.parametrize("held", [0, 1_000_000])
+def test_passages_over_both_ends_and_repeated_ids_equal_all_shifts(spark, monkeypatch, held):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", held)
+    rng = random.Random(21)
+
+    def prose(n):
+        return [rng.choice("abcdefgh") for _ in range(n)]
+
+    items = [(1, prose(30)), (1, prose(9)), (2, prose(25)), (2, prose(60)), (3, prose(4)), (4, ["ab"] * 22)]
+    docs = [(i, prose(rng.randint(1, 40))) for i in range(10)]
+    for k, (_, item) in enumerate(items):
+        docs.append((20 + k, item[3:] + prose(5)))
+        docs.append((40 + k, prose(5) + item[:-2]))
+        docs.append((60 + k, item + prose(7) + item))
+        docs.append((60 + k, prose(3) + item))
+        docs.append((80 + k, item[-18:] + item[:18]))
+    docs.append((None, items[0][1]))
+    want = {}
+    for doc_id, words in docs:
+        for item_id, item in items:
+            compared = min(len(item), decontamination.WINDOW)
+            for shift in range(-len(item), len(words)):
+                same = [0 <= j + shift < len(words) and words[j + shift] == w for j, w in enumerate(item)]
+                agreeing = max(sum(same[j : j + compared]) for j in range(len(item) - compared + 1))
+                if agreeing >= decontamination.AGREE * compared:
+                    rank = (agreeing, -shift, compared)
+                    want[doc_id, item_id] = max(want.get((doc_id, item_id), rank), rank)
+    assert len(want) > 20 and min(-r[1] for r in want.values()) < 0
+    text = lambda rows: [(i, " ".join(w)) for i, w in rows]
+    out = decontamination.contaminated(
+        spark.createDataFrame(text(docs), "doc_id long, text string"),
+        spark.createDataFrame(text(items), "item_id long, text string"),
+    )
+    assert dict(out.dtypes) == {"doc_id": "bigint", "item_id": "bigint", "agreeing": "int", "compared": "int", "doc_word": "int"}
+    rows = out.collect()
+    assert {(r.doc_id, r.item_id): (r.agreeing, -r.doc_word, r.compared) for r in rows} == want
+    assert len(rows) == len(want)
+
+
+def test_hits_leave_their_documents_behind(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = decontamination.contaminated(docs, docs.withColumnRenamed("doc_id", "item_id"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    compares = [line for line in plan.splitlines() if "aggregate(" in line]
+    assert compares and not any("words#" in line for line in compares)
+    assert not re.search(r"Filter .*split\(", plan)  # words are made once a row
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_recurring_lines_go_but_the_first(docs, texts):
     rows = found(lines.without_recurring(docs))
     first = min(i for i, t in enumerate(texts) if t and t.startswith("header line"))

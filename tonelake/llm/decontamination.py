@@ -25,6 +25,12 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _placed(rows: DataFrame, words: str, at: str) -> DataFrame:
+    """A row for each place `at` of an array of words. The outer form, as Spark would put a filter on
+    the array's size below the other and so make the words twice."""
+    return rows.select("*", F.posexplode_outer(words).alias(at, "_w")).where(F.col(at).isNotNull()).drop("_w")
+
+
 def _seeds(words: Column, at: Column, masks: tuple[str, ...]) -> Column:
     """One hash per mask for the word position `at`; null where the mask leaves the text."""
     found = []
@@ -41,8 +47,7 @@ def seeds(items: DataFrame) -> DataFrame:
     for n, masks in SHORT.items():
         own = F.when(F.size(item) == n, _seeds(item, at, masks)).otherwise(own)
     return (
-        items.select("item_id", word_hashes(F.col("text")).alias("item"))
-        .select("item_id", "item", F.posexplode("item").alias("item_at", "_w"))
+        _placed(items.select("item_id", word_hashes(F.col("text")).alias("item")), "item", "item_at")
         .select("item_id", "item_at", F.explode(own).alias("seed"))
         .where("seed is not null")
     )
@@ -80,7 +85,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     them. No items give no rows.
 
     Documents are read once and their seeds are never shuffled while the item seeds are few
-    enough to broadcast, which is counted first. Beyond that they are joined by shuffle.
+    enough to broadcast, which is counted first. Beyond that they are joined by shuffle. A hit takes
+    along the words beside the item only, never its document, and equal hits are made one before
+    their words are compared.
     """
     items = items.select("item_id", "text").where("text is not null")
     found = seeds(items)
@@ -88,37 +95,45 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     known = items.select("item_id", word_hashes(F.col("text")).alias("item"))
     lengths = {r.n for r in known.select(F.size("item").alias("n")).where(F.col("n") <= max(SHORT)).distinct().collect()}
     masks = tuple(dict.fromkeys([*MASKS, *(m for n in sorted(lengths & SHORT.keys()) for m in SHORT[n])]))
+    # The longest text of an item_id, which may be repeated.
+    found = found.join(known.groupBy("item_id").agg(F.max(F.size("item")).alias("n")), "item_id")
     words = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
-    pairs = known.select("item", F.posexplode("item").alias("at", "_w"))
-    pairs = pairs.select(_pair(F.col("item"), F.col("at")).alias("pair")).distinct()
-    placed = words.select("doc_id", "words", F.posexplode("words").alias("at", "_w")).withColumn(
-        "pair", _pair(F.col("words"), F.col("at"))
-    )
     seed = F.explode(_seeds(F.col("words"), F.col("at"), masks)).alias("seed")
+    shift = (F.col("at") - F.col("item_at")).alias("shift")
     if small:
+        placed = _placed(words, "words", "at")
         if 1 not in lengths:  # an item of one word has no pair
+            pairs = _placed(known, "item", "at").select(_pair(F.col("item"), F.col("at")).alias("pair")).distinct()
+            placed = placed.withColumn("pair", _pair(F.col("words"), F.col("at")))
             placed = placed.join(F.broadcast(pairs), "pair", "left_semi")
         hits = placed.select("doc_id", "words", "at", seed).join(F.broadcast(found), "seed")
-        hits = hits.join(F.broadcast(known), "item_id")
+        hits = hits.select("doc_id", "item_id", "n", "words", shift)
     else:
-        row = F.xxhash64("doc_id", "words").alias("row")  # doc_id may be null or repeated
-        met = placed.select(row, "at", seed).where("seed is not null").join(found, "seed")
-        shifts = met.select("row", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-        hits = shifts.join(words.withColumn("row", row), "row").join(known, "item_id")
-        hits = hits.withColumn("at", F.col("shift")).withColumn("item_at", F.lit(0))
-    shift = (F.col("at") - F.col("item_at")).alias("shift")
+        # doc_id may be null or repeated.
+        words = words.withColumn("row", F.xxhash64("doc_id", "words"))
+        met = _placed(words, "words", "at").select("row", "at", seed).where("seed is not null").join(found, "seed")
+        hits = met.select("row", "item_id", "n", shift).distinct().join(words, "row")
+    before = F.greatest(-F.col("shift"), F.lit(0))  # words of the item in front of the document
+    beside = F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.greatest(F.col("n") - before, F.lit(0)))
+    # A passage is hit by every mask at every word of it, and compared once.
+    hits = hits.select("doc_id", "item_id", "shift", beside.alias("beside")).distinct()
+    hits = hits.join(F.broadcast(known) if small else known, "item_id")
     compared = F.least(F.size("item"), F.lit(WINDOW)).alias("compared")
+    # One number with the order of (agreeing, -shift, compared); neither share count passes 2 ** 6.
+    back = F.lit(1 << 31) - F.col("shift").cast("long")
+    rank = F.shiftleft(F.col("agreeing").cast("long"), 40) + F.shiftleft(back, 6) + F.col("compared").cast("long")
+    best = F.col("best")
     return (
-        hits.select("doc_id", "item_id", shift, compared, "words", "item")
-        .withColumn("agreeing", _best_window(F.col("words"), F.col("item"), F.col("shift")))
+        hits.select("doc_id", "item_id", "shift", compared, "beside", "item")
+        .withColumn("agreeing", _best_window(F.col("beside"), F.col("item"), F.least("shift", F.lit(0))))
         .where(F.col("agreeing") >= AGREE * F.col("compared"))
         .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("agreeing", -F.col("shift"), "compared")).alias("best"))
+        .agg(F.max(rank).alias("best"))
         .select(
             "doc_id",
             "item_id",
-            F.col("best.agreeing").alias("agreeing"),
-            F.col("best.compared").alias("compared"),
-            (-F.col("best.col2")).alias("doc_word"),
+            F.shiftright(best, 40).cast("int").alias("agreeing"),
+            best.bitwiseAND(63).cast("int").alias("compared"),
+            (F.lit(1 << 31) - F.shiftright(best, 6).bitwiseAND((1 << 34) - 1)).cast("int").alias("doc_word"),
         )
     )
